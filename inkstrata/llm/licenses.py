@@ -57,7 +57,20 @@ def shingles(w: Column) -> Column:
 
 def band_values(hashes: Column) -> Column:
     """MinHash values of the hashes, one for each band."""
-    return F.array(*[F.array_min(F.transform(hashes, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(BANDS)])
+
+    def least(k: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k))))
+
+    return F.array(*[least(k) for k in range(BANDS)])
+
+
+def _least_hashes(hashes: Column) -> Column:
+    """The hashes that the band values are of."""
+
+    def least(k: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(h, F.lit(k)).alias("v"), h.alias("h"))))["h"]
+
+    return F.array(*[least(k) for k in range(BANDS)])
 
 
 def _prepared(spark: SparkSession, templates: dict[str, str]) -> list:
@@ -66,8 +79,7 @@ def _prepared(spark: SparkSession, templates: dict[str, str]) -> list:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", words(F.col("text")).alias("w"))
     rows = rows.select("license", shingles(F.col("w")).alias("shingles"), shingle_hashes(F.col("w")).alias("h"))
-    least = F.array(*[F.array_min(F.transform("h", lambda h, k=k: F.struct(F.xxhash64(h, F.lit(k)).alias("v"), h.alias("h"))))["h"] for k in range(BANDS)])
-    found = rows.select("license", "shingles", F.size("h").alias("n"), band_values(F.col("h")).alias("bands"), least.alias("anchors")).collect()
+    found = rows.select("license", "shingles", F.size("h").alias("n"), band_values(F.col("h")).alias("bands"), _least_hashes(F.col("h")).alias("anchors")).collect()
     if short := [r["license"] for r in found if not r["n"]]:
         raise ValueError(f"templates of under {SHINGLE} words: {short}")
     return found
@@ -87,7 +99,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: st
         return spark.createDataFrame([], empty.format(docs.schema[id_col].dataType.simpleString()))
     known = _prepared(spark, TEMPLATES if templates is None else templates)
     anchors = sorted({a for t in known for a in t["anchors"]})
-    held = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).withColumn("h", shingle_hashes(F.col("w")))
+    # An exploded array of one is worked out once for a row; a plain column would be copied into every lambda that uses it.
+    split = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(words(F.col(text_col)))).alias("w"))
+    held = split.select("doc_id", "w", F.explode(F.array(shingle_hashes(F.col("w")))).alias("h"))
     held = held.where(F.arrays_overlap("h", F.array(*[F.lit(a) for a in anchors])))
 
     def windows(n: int) -> Column:
@@ -102,8 +116,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: st
         hits = F.flatten(F.transform(signed, lambda x: F.transform(F.filter(bands, lambda t: F.exists(F.zip_with(t["bands"], x["bands"], lambda a, b: a == b), lambda e: e)), lambda t: F.struct(t["license"].alias("license"), x["start"].alias("start"), t["shingles"].alias("shingles")))))
         return F.transform(hits, lambda x: F.struct(x["license"].alias("license"), x["start"].cast("long").alias("start"), (F.size(F.array_intersect(x["shingles"], shingles(F.slice(F.col("w"), x["start"] + 1, n + SHINGLE - 1)))) / F.size(x["shingles"])).alias("part")))
 
-    found = held.select("doc_id", F.explode(F.concat(*[windows(n) for n in sorted({t["n"] for t in known})])).alias("m"))
-    found = found.select("doc_id", "m.license", "m.start", "m.part").where(F.col("part") >= containment - 1e-9)
+    found = held.select("doc_id", F.explode_outer(F.concat(*[windows(n) for n in sorted({t["n"] for t in known})])).alias("m"))
+    found = found.where("m is not null").select("doc_id", "m.license", "m.start", "m.part").where(F.col("part") >= containment - 1e-9)
     best = F.max(F.struct("part", (-F.col("start")).alias("first")))
     return found.groupBy("doc_id", "license").agg(best.alias("best")).select("doc_id", "license", F.round("best.part", 6).alias("containment"), (-F.col("best.first")).alias("first_word"))
 
@@ -121,8 +135,8 @@ d0 AS (SELECT doc_id, {cut} AS w FROM documents),
 d1 AS (SELECT doc_id, len(w) - {SHINGLE - 1} AS total, unnest(range(1, len(w) - {SHINGLE - 2})) AS i, w FROM d0 WHERE len(w) >= {SHINGLE}),
 hits AS (SELECT doc_id, total, i - 1 AS p, license, n, s FROM d1 JOIN tpl ON array_to_string(w[i : i + {SHINGLE - 1}], ' ') = s),
 starts AS (SELECT DISTINCT doc_id, license, n, unnest(range(least(greatest(p - n + 1, 0), greatest(total - n, 0)), least(p, greatest(total - n, 0)) + 1)) AS start FROM hits),
-found AS (SELECT a.doc_id, a.license, a.start, count(DISTINCT h.s) / any_value(k)::DOUBLE AS part
-  FROM starts a JOIN hits h ON a.doc_id = h.doc_id AND a.license = h.license AND h.p BETWEEN a.start AND a.start + a.n - 1 JOIN parts USING (license) GROUP BY ALL),
+found AS (SELECT a.doc_id, a.license, a.start, count(DISTINCT h.s) / any_value(pt.k)::DOUBLE AS part
+  FROM starts a JOIN hits h ON a.doc_id = h.doc_id AND a.license = h.license AND h.p BETWEEN a.start AND a.start + a.n - 1 JOIN parts pt ON a.license = pt.license GROUP BY ALL),
 best AS (SELECT doc_id, license, max(part) AS part FROM found WHERE part >= {containment} - 1e-9 GROUP BY ALL)
 SELECT doc_id, license, round(part, 6) AS containment, min(start) AS first_word FROM best JOIN found USING (doc_id, license, part) GROUP BY ALL
 """
