@@ -23,32 +23,64 @@ from .common import attach, utf8
 
 LENGTH = 2048
 END = 1
-KEEP_WORDS = 400_000
+KEEP_WORDS = 600_000
+MARK = "\0"
 
 _loaded: dict[str, "WordIds"] = {}
 
 
+def stem_of(word: str) -> tuple[str, str]:
+    """A word as two parts with the same ids: what stands before a last comma or full stop, and that.
+
+    The vocabulary is of lower-cased text and ends a token where letters end. Only plain
+    Latin words are lower-cased here, for which that comes to the same.
+    """
+    stem, tail = (word[:-1], word[-1]) if word[-1:] in (",", ".") and word[-2:-1].isalpha() else (word, "")
+    return (stem.lower() if stem.isalpha() and max(stem) < "\u0130" else stem), tail
+
+
 class WordIds:
-    """Ids of a text, word by word, as little-endian unsigned 32-bit numbers."""
+    """Ids of texts, word by word, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) > KEEP_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        self.known: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}
+        mark = self._encode(MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that weren't met before, many stems at once with a mark between them."""
+        parts = {w: stem_of(w) for w in words}
+        stems = self.stems
+        if len(stems) > KEEP_WORDS:
+            stems.clear()
+        new = {s for pair in parts.values() for s in pair}.difference(stems)
+        plain = [s for s in new if self.mark is not None and MARK not in s]
+        for s in new.difference(plain):
+            stems[s] = self._encode(s).tobytes()
+        for at in range(0, len(plain), 5_000):
+            part = plain[at : at + 5_000]
+            ids = self._encode(f" {MARK} ".join(part))
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4  # in bytes
+            starts = np.concatenate(([0], ends[:-1] + 4))
+            raw = ids.tobytes()
+            stems.update((s, raw[a:b]) for s, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True))
+        self.known.update((w, stems[stem] + stems[tail]) for w, (stem, tail) in parts.items())
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        if len(self.known) > KEEP_WORDS:
+            self.known = {"": b""}
+        if new := set().union(*split).difference(self.known):
+            self.learn(list(new))
+        known = self.known.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
 def tokenizer(path: str) -> WordIds:
@@ -63,6 +95,11 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def _encoded(words: WordIds, texts: list[str | None]) -> Iterator[bytes]:
+    for at in range(0, len(texts), 250):
+        yield from words.ids([t or "" for t in texts[at : at + 250]])
+
+
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (packed uint32), doc_tokens, bucket, sequence_id, offset.
 
@@ -78,8 +115,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         words = tokenizer(tokenizer_path)
         for texts in batches:
             rows, starts, sizes, ids, totals = [0], [], [], [], []
-            for text in texts.to_pylist():
-                all_ids = words.ids(text or "") + end
+            for found in _encoded(words, texts.to_pylist()):
+                all_ids = found + end
                 at = 0
                 for size in piece_lengths(len(all_ids) // 4, length):
                     starts.append(at)
