@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BREAKS, EOL, GAP, found, is_blank, lines, strip, substitute
+from .text import BREAKS, EOL, GAP, found, is_blank, let, strip
 
 # Patterns and words that decide what is a heading, a table or an image.
 HEADING = r"\A[ \t]*(#{1,6})[ \t]+([^\n]+?)[ \t]*(?:\n|\z)"
@@ -100,40 +100,38 @@ def captions_of_table(table: Column) -> Column:
     return found(table, HTML_CAPTION, 2)
 
 
+SPANS = "array<struct<start:int,stop:int>>"
+
+
+def _places(text: Column, pattern: str) -> Column:
+    """(start, stop) of all matches, from the lengths of what lies between them."""
+
+    def made(x: Column) -> Column:
+        def total(values: Column, n: Column) -> Column:
+            return F.aggregate(F.slice(values, F.lit(1), n), F.lit(0), lambda acc, v: acc + F.length(v))
+
+        start = F.transform(x["hits"], lambda t, i: F.struct((total(x["gaps"], i + 1) + total(x["hits"], i)).alias("start"), F.length(t).alias("n")))
+        return F.transform(start, lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["n"]).alias("stop")))
+
+    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), found(text, pattern).alias("hits")), made)
+
+
+def _merged(spans: Column) -> Column:
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        wider = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))))
+        return F.when((F.size(acc) > 0) & (s["start"] < last["stop"]), wider).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
+
+
 def table_spans(text: Column) -> Column:
-    """(start, stop, html) of HTML and pipe tables, 0-based characters in order, merged where they overlap.
+    """(start, stop) of HTML and pipe tables, 0-based characters in order, merged where they overlap.
 
-    A pipe table is a row, a separator, and the rows that follow. All within the row: one
-    pass over its lines, of which a table start is one with a separator after it.
+    A pipe table is a row, a separator, and the rows that follow.
     """
-    pieces = F.split(text, HTML_TABLE, -1)
-    tables = found(text, HTML_TABLE)
-    html = F.transform(
-        tables,
-        lambda t, i: F.struct(
-            (F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda n, p: n + F.length(p)) + F.aggregate(F.slice(tables, 1, i), F.lit(0), lambda n, p: n + F.length(p))).alias("start"),
-            F.length(t).alias("size"),
-        ),
-    )
-    html = F.transform(html, lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["size"]).alias("stop")))
-    # Pipe tables by one pattern: a row line, a separator line, row lines.
-    piece = F.split(text, PIPE_TABLE, -1)
-    pipes = found(text, PIPE_TABLE)
-    pipe = F.transform(
-        pipes,
-        lambda t, i: F.struct(
-            (F.aggregate(F.slice(piece, 1, i + 1), F.lit(0), lambda n, p: n + F.length(p)) + F.aggregate(F.slice(pipes, 1, i), F.lit(0), lambda n, p: n + F.length(p))).alias("start"),
-            F.length(t).alias("size"),
-        ),
-    )
-    pipe = F.transform(pipe, lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["size"]).alias("stop")))
-    spans = F.array_sort(F.concat(html, pipe))
-    none = F.array().cast("array<struct<start:int,stop:int>>")
-    return F.aggregate(
-        spans,
-        none,
-        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["stop"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(s))),
-    )
+    has = text.contains("|") | F.lower(text).contains("<table")
+    return F.when(has, _merged(F.concat(_places(text, HTML_TABLE), _places(text, PIPE_TABLE)))).when(text.isNotNull(), F.array().cast(SPANS))
 
 
 _ROW = rf"(?=[^{BREAKS}]*\|)[^{BREAKS}]*+(?:{EOL}|\z)"
@@ -144,9 +142,6 @@ PIPE_TABLE = rf"(?U){_AT_LINE}{_ROW}{_RULE}(?:{_ROW})*+"
 
 def table_segments(text: Column) -> Column:
     """(text, translatable) pieces in order: prose and the words of captions are, table bodies aren't."""
-    spans = table_spans(text)
-    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["stop"]))), F.array(F.length(text)))
-    pieces = F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda i: F.struct(F.substring(text, edges[i] + 1, edges[i + 1] - edges[i]).alias("text"), (i % 2 == 0).alias("prose")))
     kind = "array<struct<text:string,translatable:boolean>>"
 
     def cut(p: Column) -> Column:
@@ -165,8 +160,14 @@ def table_segments(text: Column) -> Column:
         is_html = ~p["prose"] & F.lower(F.ltrim(table)).startswith("<table")
         return F.when(is_html, F.flatten(inner).cast(kind)).otherwise(whole.cast(kind))
 
-    parts = F.filter(F.flatten(F.transform(pieces, cut)), lambda p: p["text"].isNotNull() & (p["text"] != ""))
-    return F.transform(parts, lambda p: F.struct(p["text"].alias("text"), (p["translatable"] & ~is_blank(p["text"])).alias("translatable")))
+    def pieces(edges: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda i: F.struct(F.substring(text, edges[i] + 1, edges[i + 1] - edges[i]).alias("text"), (i % 2 == 0).alias("prose")))
+
+    edges = let(table_spans(text), lambda s: F.concat(F.array(F.lit(0)), F.flatten(F.transform(s, lambda x: F.array(x["start"], x["stop"]))), F.array(F.length(text))))
+    parts = F.filter(F.flatten(F.transform(let(edges, pieces), cut)), lambda p: p["text"].isNotNull() & (p["text"] != ""))
+    plain = F.array(F.struct(text.alias("text"), (~is_blank(text)).alias("translatable"))).cast(kind)
+    split = F.transform(parts, lambda p: F.struct(p["text"].alias("text"), (p["translatable"] & ~is_blank(p["text"])).alias("translatable")))
+    return F.when(text.contains("|") | F.lower(text).contains("<table"), split.cast(kind)).otherwise(plain)
 
 
 def caption_openers(text: Column) -> Column:
@@ -194,5 +195,3 @@ IMAGE_LINE = r"(?U)\A\s*!\[[^\]]*\]\([^)]+\)\s*\z"
 PANEL_LABEL = r"(?U)\A\s*[（(][a-z][）)]"
 STRICT_OPENER = r"(?U)\A\s*(图|表)\s*([0-9]+)\s*[.．。:：]\s*"
 LOOSE_OPENER = r"(?U)\A\s*(图|表)\s*([0-9]+)\s+"
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["lines", "substitute"]

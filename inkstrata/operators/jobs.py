@@ -29,7 +29,7 @@ def outcomes(polls: DataFrame, timeout_s: float = TIMEOUT_S) -> DataFrame:
     """
     start = polls.groupBy("job_id").agg(F.min("ts").alias("_start"))
     ends = polls.where(F.col("state").isin(DONE, FAILED)).join(start, "job_id")
-    ends = ends.where(F.col("ts").cast("double") <= F.col("_start").cast("double") + timeout_s)
+    ends = ends.where(F.col("ts") <= F.col("_start") + F.make_dt_interval(secs=F.lit(timeout_s).cast("decimal(18,6)")))
     first = F.min(F.struct(F.col("ts").alias("ts"), (F.col("state") == DONE).alias("ok"), F.coalesce("result_url", F.lit("")).alias("url"), F.coalesce("err_msg", F.lit("unknown error")).alias("err")))
     got = ends.groupBy("job_id").agg(first.alias("_e"))
     e = F.col("_e")

@@ -64,7 +64,7 @@ def heading_levels(spark, sf_dir):
     text = F.concat(F.lit("# Region\n\n"), F.array_join(F.transform("names", lambda x: F.concat(F.lit("## "), x, F.lit(" ##\n\ntext\n\n"))), ""))
     docs = n.select(F.col("n_regionkey").cast("long").alias("doc_id"), text.alias("text"))
     titles = F.transform(F.filter(F.transform(markdown.blocks(F.col("text")), markdown.heading), lambda h: h.isNotNull()), lambda h: h["title"])
-    return docs.select("doc_id", F.array_join(markdown.heading_levels(F.col("text")), ",").alias("levels"), F.array_join(titles, ",").alias("titles"))
+    return docs.select("doc_id", F.array_join(markdown.heading_levels(F.col("text")).cast("array<string>"), ",").alias("levels"), F.array_join(titles, ",").alias("titles"))
 
 
 def reference_scope(spark, sf_dir):
@@ -76,7 +76,7 @@ def reference_scope(spark, sf_dir):
 def pipe_tables(spark, sf_dir):
     docs = _rendered(spark, sf_dir, F.concat(F.lit("| "), F.col("l_partkey"), F.lit(" | "), F.col("l_quantity").cast("int"), F.lit(" |\n")), "Intro.\n\n| part | qty |\n|---|---:|\n", "\nOutro | no.\n")
     body = tables.document_tables(docs)
-    rows = body.select("doc_id", F.explode(F.slice(F.split(F.rtrim("body"), "\n"), 3, 100_000)).alias("r"))
+    rows = body.select("doc_id", F.posexplode(F.split("body", "\n")).alias("n", "r")).where("n >= 2 and r <> ''")
     cell = F.split(F.col("r"), r"\|")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.sum(F.trim(cell[2]).cast("long")).alias("sum_qty"))
 
@@ -84,7 +84,7 @@ def pipe_tables(spark, sf_dir):
 def html_tables(spark, sf_dir):
     docs = _rendered(spark, sf_dir, F.concat(F.lit("<tr><td>"), F.col("l_partkey"), F.lit("</td></tr>")), "A\n<table><caption>Parts</caption>", "</table>\nB")
     parts = segment.document_parts(docs)
-    return parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("translatable"), F.trim(F.translate("text", "\n", " "))))), ",").alias("free"), F.max(F.regexp_count("text", F.lit("<td>"))).alias("n_cells"))
+    return parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("translatable"), F.trim(F.translate("text", "\n", " "))))), ",").alias("free"), F.max(F.regexp_count("text", F.lit("<td>"))).cast("long").alias("n_cells"))
 
 
 def table_images(spark, sf_dir):
@@ -132,7 +132,7 @@ def strong_parity(spark, sf_dir):
 
 
 def term_protection(spark, sf_dir):
-    docs = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", r"[^A-Za-z ]+", " ").alias("text"))
+    docs = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.coalesce("html", F.lit("")), r"[^A-Za-z ]+", " ").alias("text"))
     values = protect.spans(F.col("text"), TERMS)
     return docs.select("page_id", F.size(values).cast("long").alias("n_terms"))
 
@@ -170,7 +170,7 @@ def indent_levels(spark, sf_dir):
     word = F.when(F.col("l_returnflag") == "R", "if x then").when(F.col("l_returnflag") == "A", "end if").otherwise("step")
     rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*ORDER).alias("o"), F.concat(F.lit("1: "), word).alias("line"))
     got = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]).alias("rows"))
-    levels = F.transform(pseudocode.indented(F.col("rows")), lambda r: (F.length(F.regexp_extract(r, r"\A1: ( *)", 1)) / 4).cast("long"))
+    levels = F.transform(pseudocode.indented(F.col("rows")), lambda r: (F.length(F.regexp_extract(r, r"\A1: ( *)", 1)) / 4).cast("int").cast("string"))
     return got.select(F.col("l_orderkey").alias("doc_id"), F.array_join(levels, ",").alias("levels"))
 
 
@@ -243,9 +243,10 @@ def asset_refs(spark, sf_dir):
 
 
 def secret_scan(spark, sf_dir):
-    found = readers.secret_in(F.concat(F.col("text"), F.lit("\n# end")))
-    docs = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?m)^\s*(?:export\s+)?[A-Z0-9_]*(?:API_KEY|TOKEN)\s*[:=]\s*[\"']?[^\s\"']") & ~F.col("text").rlike(r"sk-"))
-    return docs.select("doc_id", found.alias("secret"))
+    c = _table(spark, sf_dir, "customer")
+    key = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("see sk-"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"), F.lit(" here\n"))).otherwise(F.lit(""))
+    text = F.concat(F.lit("# keys\nexport APP_TOKEN="), F.col("c_name"), F.lit("\n"), key, F.lit('X_API_KEY: "k'), F.col("c_custkey"), F.lit('"\n'))
+    return c.select("c_custkey", readers.secret_in(text).alias("secret"))
 
 
 def keep_set(spark, sf_dir):
@@ -258,7 +259,7 @@ def keep_set(spark, sf_dir):
 def structure_checks(spark, sf_dir):
     docs = _table(spark, sf_dir, "pages").where("html is not null")
     fails = validate.failures(F.col("html"), F.concat(F.col("html"), F.lit("<td>")))
-    return docs.select("page_id", F.array_contains(fails, "table marks").alias("marks"), F.array_contains(fails, "headings").alias("headings"), F.size(validate.failures(F.col("html"), F.when(F.col("html").contains("**"), "x").otherwise(F.col("html")))).cast("long").alias("n_same"))
+    return docs.select("page_id", F.array_contains(fails, "table marks").alias("marks"), F.array_contains(fails, "headings").alias("headings"), F.size(validate.failures(F.col("html"), F.col("html"))).cast("long").alias("n_same"))
 
 
 def stripped_lines(spark, sf_dir):
