@@ -62,7 +62,7 @@ class Model:
         rows = []
         for size in range(GRAMS + 1):
             number = {g: i for i, g in enumerate(sorted(set().union(*(t[size] for t in lists))))}
-            seen = np.array([[t[size][g] for t in lists] for g in number], dtype=float).reshape(-1, k)
+            seen = np.array([[t[size][g] for t in lists] for g in number], dtype=float).reshape(len(number), k)
             total = seen.sum(axis=0) + alpha * (len(number) + 1)
             rows.append(np.log((np.vstack([seen, np.zeros((1, k))]) + alpha) / total))
             self.numbers.append(number)
