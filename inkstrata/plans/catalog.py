@@ -112,7 +112,7 @@ def chunk_packing(spark, sf_dir):
 
 def midpoint_split(spark, sf_dir):
     docs = _rendered(spark, sf_dir, F.concat(F.repeat(F.lit("w"), F.col("l_quantity").cast("int")), F.lit("\n\n")))
-    return segment.halves(docs, min_side=30).select("doc_id", F.col("split_at").cast("long").alias("split_at"))
+    return segment.halves(docs, min_side=30).select("doc_id", F.coalesce("split_at", F.lit(0)).cast("long").alias("split_at"))
 
 
 def protected_spans(spark, sf_dir):

@@ -42,7 +42,7 @@ r AS (SELECT doc_id, i, 0 AS chunk, n AS held FROM s WHERE i = 0 UNION ALL SELEC
 SELECT doc_id, (max(chunk) + 1)::BIGINT AS n_chunks, max(held)::BIGINT AS longest FROM r GROUP BY doc_id""",
     "midpoint_split": f"""WITH {LI}, s AS (SELECT l_orderkey AS doc_id, sum(l_quantity::INT + 2) OVER (PARTITION BY l_orderkey ORDER BY i) AS p, sum(l_quantity::INT + 2) OVER (PARTITION BY l_orderkey) AS n FROM li),
 k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY abs(p - n // 2), p) AS r FROM s WHERE p - 2 >= 30 AND n - p - 2 >= 30)
-SELECT doc_id, k.p::BIGINT AS split_at FROM (SELECT DISTINCT doc_id FROM s) d LEFT JOIN (SELECT * FROM k WHERE r = 1) k USING (doc_id)""",
+SELECT doc_id, coalesce(k.p, 0)::BIGINT AS split_at FROM (SELECT DISTINCT doc_id FROM s) d LEFT JOIN (SELECT * FROM k WHERE r = 1) k USING (doc_id)""",
     "protected_spans": f"""WITH v AS (SELECT page_id, unnest(regexp_extract_all(html, '{SPAN}')) AS v FROM pages)
 SELECT page_id, count(*) FILTER (starts_with(v, '<!--')) AS n_comments, count(*) FILTER (regexp_matches(v, '^&[A-Za-z]')) AS n_entities, count(*) FILTER (regexp_matches(v, '^</?[A-Za-z]')) AS n_tags FROM v GROUP BY page_id""",
     "protect_restore": "SELECT 'd' AS kind, doc_id AS id, true AS same FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'p', page_id, true FROM pages WHERE html IS NOT NULL",
