@@ -145,7 +145,7 @@ def translate(docs: DataFrame, work_dir: str, translator: Translator = echo, set
     counts = {"cache_hits": 0, "api_calls": 0, "adaptive_splits": 0, "prompt_tokens": 0, "completion_tokens": 0}
 
     chunks = document_chunks(docs, s.max_chars, id_col, text_col, target_language=s.target_language, translate_references=s.translate_references)
-    chunks.withColumn("key", F.when("translatable", cache_key(F.col("text"), s))).write.parquet(f"{run}/chunks")
+    chunks.withColumn("key", F.when(F.col("translatable"), cache_key(F.col("text"), s))).write.parquet(f"{run}/chunks")
     chunks = spark.read.parquet(f"{run}/chunks")
     counts["chunks"] = chunks.where("translatable").count()
     # A leaf is what is asked: a chunk, or a part of one with the sides it was reached by.
@@ -164,7 +164,7 @@ def translate(docs: DataFrame, work_dir: str, translator: Translator = echo, set
             path = f"{run}/asked-{depth}-{attempt}"
             judged(ask(asked, translator), s.terms).select("key", "text", "answer", "translation", "problem").write.parquet(path)
             done = spark.read.parquet(path)
-            sums = done.agg(F.count_if(F.col("answer")["text"].isNotNull()), F.sum(F.col("answer")["prompt_tokens"]), F.sum(F.col("answer")["completion_tokens"]), F.count_if("problem is not null")).first()
+            sums = done.agg(F.count_if(F.col("answer")["text"].isNotNull()), F.sum(F.col("answer")["prompt_tokens"]), F.sum(F.col("answer")["completion_tokens"]), F.count_if(F.col("problem").isNotNull())).first()
             counts["api_calls"] += sums[0]
             counts["prompt_tokens"] += sums[1] or 0
             counts["completion_tokens"] += sums[2] or 0
@@ -188,7 +188,7 @@ def translate(docs: DataFrame, work_dir: str, translator: Translator = echo, set
     answers = leaves.join(cache_hits(leaves.select("key", "text").dropDuplicates(["key"]), spark.read.parquet(cache_path), s.terms), "key", "left")
     roots = answers.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("side", "translation"))).alias("_l"))
     roots = roots.select(F.col("root").alias("key"), F.when(F.exists("_l", lambda x: x["translation"].isNull()), F.lit(None)).otherwise(F.array_join(F.transform("_l", lambda x: x["translation"]), "")).alias("translation"))
-    merged = chunks.join(roots, "key", "left").withColumn("_out", F.when("translatable", F.col("translation")).otherwise(F.col("text")))
+    merged = chunks.join(roots, "key", "left").withColumn("_out", F.when(F.col("translatable"), F.col("translation")).otherwise(F.col("text")))
     whole = merged.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("chunk_no", "text", "_out"))).alias("_c"),
     )
