@@ -5,7 +5,8 @@ elements with their classes and ids that leads to a piece of text. Over the diff
 pages of the host a node's importance is the entropy of what it says, relative to that
 of as many different texts, times the weight of its presentation: navigation, page
 headers and footers, side columns, notices, adverts, forms, hidden parts and reader
-comments weigh nothing, and neither do lists of links outside an article. Branches
+comments weigh nothing, and neither do lists of links outside an article. No page, article or
+main, nor what holds one, is ruled out by its names or as a form. Branches
 of low importance are taken out of each page; what is left is its text.
 
 The tree is never in one place. Pages give a row per style node, which are counted by
@@ -34,7 +35,10 @@ MIN_IMPORTANCE = 0.15
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|canvas|object|audio|video|xmp"
-SKIPPED = frozenset("head nav footer aside form menu dialog button select title fieldset".split())
+SKIPPED = frozenset("head nav footer aside menu dialog button select title".split())
+FORMS = frozenset("form fieldset".split())
+WHOLE = frozenset("html body main article".split())
+NEVER = frozenset("nav footer aside title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SKIPPED_NAMES = frozenset(
@@ -45,6 +49,10 @@ SKIPPED_NAMES = frozenset(
 HEADER_NAMES = frozenset("header masthead topbar".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
+# What rules an element out: names, being a form, or anything else. The first two give way in an
+# element that holds an article or main; forms also give way where they hold most of a page.
+NAMED, FORM, RULED = 1, 2, 4
+
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
     re.S | re.I,
@@ -54,27 +62,32 @@ _NAME = re.compile(r"[a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
 
 
-def _presented(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """The element's label in a style path, and whether its presentation alone rules it out."""
-    label, out = tag, tag in SKIPPED or (tag == "header" and not inside)
+def _presented(tag: str, attributes: str, inside: bool) -> tuple[str, int]:
+    """The element's label in a style path, and what of its presentation rules it out (NAMED, FORM, RULED; 0: nothing)."""
+    label, out = tag, FORM if tag in FORMS else RULED if tag in SKIPPED else NAMED if tag == "header" and not inside else 0
     if attributes and attributes.strip(" /"):
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), unescape(a or b or c).lower()
             if name in ("class", "id"):
                 words = _NAME.findall(value)
-                out = out or not SKIPPED_NAMES.isdisjoint(words) or (not inside and not HEADER_NAMES.isdisjoint(words))
+                if not SKIPPED_NAMES.isdisjoint(words) or (not inside and not HEADER_NAMES.isdisjoint(words)):
+                    out |= NAMED
                 label += "." + ".".join(sorted(_DIGITS.sub("0", w) for w in words))
-            elif name == "role":
-                out = out or value in SKIPPED_ROLES
+            elif name == "role" and value in SKIPPED_ROLES:
+                out |= FORM if value == "form" else RULED
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-                out = True
-    return label, out
+                out |= RULED
+    return label, out & RULED if tag in WHOLE else out
 
 
 def blocks_of(html: str) -> list[tuple[str, str, bool, bool]]:
-    """(style path, text, weighs nothing, inside an article or main) of each block with text, in page order."""
-    blocks: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, ruled out, inside article or main
+    """(style path, text, weighs nothing, inside an article or main) of each block with text, in page order.
+
+    If that would leave no block, only those inside an element of ``NEVER`` weigh nothing.
+    """
+    blocks: list[tuple[str, str, bool, bool, bool, int]] = []  # path, text, links of a list, inside, in NEVER, element
+    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, path, inside article or main, in NEVER, element
+    above, ruled, holds = [0], [0], [True]  # of each element: its parent, what rules it out, whether it holds an article or main
     words: list[str] = []
     linked = total = links = 0
 
@@ -83,8 +96,8 @@ def blocks_of(html: str) -> list[tuple[str, str, bool, bool]]:
         if words:
             text = " ".join("".join(words).split())
             if text:
-                _, path, out, inside = stack[-1] if stack else ("", "", False, False)
-                blocks.append((path, text, out or (not inside and linked > 0.8 * total and "li" in path), inside))
+                _, path, inside, never, element = stack[-1] if stack else ("", "", False, False, 0)
+                blocks.append((path, text, not inside and linked > 0.8 * total and "li" in path, inside, never, element))
         words.clear()
         linked = total = 0
 
@@ -135,14 +148,30 @@ def blocks_of(html: str) -> list[tuple[str, str, bool, bool]]:
                     break
         if tag in VOID:
             continue
-        _, path, out, inside = stack[-1] if stack else ("", "", False, False)
-        label, skip = _presented(tag, attributes, inside)
-        stack.append((tag, f"{path}/{label}", out or skip, inside or tag in ("article", "main")))
+        _, path, inside, never, element = stack[-1] if stack else ("", "", False, False, 0)
+        label, out = _presented(tag, attributes, inside)
+        if tag in ("article", "main"):
+            inside, up = True, element
+            while not holds[up]:
+                holds[up] = True
+                up = above[up]
+        above.append(element)
+        ruled.append(out)
+        holds.append(False)
+        stack.append((tag, f"{path}/{label}", inside, never or tag in NEVER, len(above) - 1))
     if at < len(html):
         words.append(unescape(html[at:]))
         total += len(html) - at
     flush()
-    return blocks
+    for i in range(1, len(above)):
+        ruled[i] = ruled[above[i]] | (ruled[i] & RULED if holds[i] else ruled[i])
+    outs = [ruled[b[5]] | (RULED if b[2] else 0) for b in blocks]
+    size = {why: sum(len(b[1]) for b, out in zip(blocks, outs, strict=True) if out == why) for why in (0, FORM)}
+    if size[FORM] > size[0]:
+        outs = [out & ~FORM for out in outs]
+    if all(outs):
+        outs = [b[4] for b in blocks]
+    return [(b[0], b[1], bool(out), b[3]) for b, out in zip(blocks, outs, strict=True)]
 
 
 def _digest(text: str) -> int:

@@ -155,6 +155,21 @@ def test_site_tree(spark):
     assert sitetree.extract(pages.union(spark.createDataFrame([(5, "u", "<" * 40_000)], pages.schema))).count() == len(rows) + 1
 
 
+def main_text(html):
+    return " ".join(text for _, text in sitetree.weighed(html))
+
+
+def test_site_tree_keeps_pages_with_names_of_parts():
+    assert main_text("<body class='has-sidebar'><p>Whole text</p><footer>f</footer></body>") == "Whole text"
+    assert main_text("<body><main class='content with-sidebar'><p>Whole text</p><div class='sidebar'>s</div></main></body>") == "Whole text"
+    assert main_text("<body><article class='post comments-open'><p>Whole text</p></article></body>") == "Whole text"
+    assert main_text("<body><form><fieldset><div class='page-with-menu'><main><p>Whole text</p></main></div></fieldset></form></body>") == "Whole text"
+    assert main_text("<body><form><div><p>Whole text of a page</p></div></form><div>small print</div></body>") == "Whole text of a page small print"
+    assert main_text("<body><nav>n</nav><div class='no-sidebar'><p>Whole text</p><aside>a</aside></div><footer>f</footer></body>") == "Whole text"
+    assert main_text("<body><article><p>Text of an article</p><form>Search</form><div class='share'>Share</div></article></body>") == "Text of an article"
+    assert main_text("<html><head><title>t</title></head><body><nav>n</nav></body></html>") == ""
+
+
 def test_license_scan(spark):
     grant = licenses.TEMPLATES["MIT-permission"]
     near = grant.replace("charge", "costs", 1)
