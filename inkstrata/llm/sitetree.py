@@ -34,7 +34,8 @@ MIN_IMPORTANCE = 0.15
 # Names of HTML elements and of what page parts are usually called.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|canvas|object|audio|video|xmp"
+RAW = frozenset("noscript template textarea iframe svg math canvas object audio video xmp".split())  # besides script and style
+FLAT = frozenset("textarea xmp".split())  # up to the first close tag, whatever stands between
 SKIPPED = frozenset("head nav footer aside menu dialog button select title".split())
 FORMS = frozenset("form fieldset".split())
 WHOLE = frozenset("html body main article".split())
@@ -53,8 +54,10 @@ SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 # element that holds an article or main; forms also give way where they hold most of a page.
 NAMED, FORM, RULED = 1, 2, 4
 
+_SKIP = r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+_RAW = re.compile(rf"{_SKIP}|<(/?)({'|'.join(sorted(RAW))})(?=[\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)", re.S | re.I)
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
+    rf"{_SKIP}|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -80,6 +83,29 @@ def _presented(tag: str, attributes: str, inside: bool) -> tuple[str, int]:
     return label, out & RULED if tag in WHOLE else out
 
 
+def raw_ends(html: str) -> dict[int, int]:
+    """Where each raw element but script and style ends, by its start; the unclosed ones are left out.
+
+    Nested elements are matched inside out; a self-closed svg or math tag is a whole element.
+    """
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in _RAW.finditer(html):
+        tag = (m[3] or "").lower()
+        starts = opened.setdefault(tag, [])
+        if not tag:
+            continue
+        if m[2]:
+            if starts:
+                ends[starts[0] if tag in FLAT else starts[-1]] = m.end()
+                starts[:] = [] if tag in FLAT else starts[:-1]
+        elif tag in ("svg", "math") and m[4].endswith("/>"):
+            ends[m.start()] = m.end()
+        else:
+            starts.append(m.start())
+    return ends
+
+
 def blocks_of(html: str) -> list[tuple[str, str, bool, bool]]:
     """(style path, text, weighs nothing, inside an article or main) of each block with text, in page order.
 
@@ -106,7 +132,8 @@ def blocks_of(html: str) -> list[tuple[str, str, bool, bool]]:
         del stack[index:]
 
     at = 0
-    for m in _TOKEN.finditer(html):
+    ends: dict[int, int] | None = None
+    while m := _TOKEN.search(html, at):
         if m.start() > at:
             piece = unescape(html[at : m.start()])
             words.append(piece)
@@ -117,6 +144,11 @@ def blocks_of(html: str) -> list[tuple[str, str, bool, bool]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in RAW:
+            if not closing:
+                ends = raw_ends(html) if ends is None else ends
+                at = ends.get(m.start(), at)
+            continue
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1

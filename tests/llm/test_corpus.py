@@ -170,6 +170,18 @@ def test_site_tree_keeps_pages_with_names_of_parts():
     assert main_text("<html><head><title>t</title></head><body><nav>n</nav></body></html>") == ""
 
 
+def test_site_tree_raw_elements():
+    for raw in ("<video-js>v</video-js>", "<svg-icon>v</svg-icon>", "<object-list>v</object-list>", "<math-field>v</math-field>"):
+        assert main_text(f"<p>One</p>{raw}<p>two</p>") == "One v two"
+    for raw in ("<svg viewBox='0 0 1 1'/>", "<math />", "<video src=a>", "<iframe src=a>", "<noscript>", "<object data='a>b'>", "</svg>"):
+        assert main_text(f"<p>One</p>{raw}<p>two</p>") == "One two", raw
+    assert main_text("<p>One</p><svg/><p>two</p><svg><text>s</text><svg>t</svg>u</svg><p>three</p>") == "One two three"
+    assert main_text("<p>One</p><video><p>two</p><video>v</video><p>three</p><script>var a = '</p><svg>';</script ><style>s") == "One two three"
+    assert main_text("<p>One</p><textarea>a <b <textarea></textarea><p>two</p><script>s <p>t</p>") == "One two"
+    assert main_text("<p>One</p><iframe src=a><p>two</p><iframe src=b>b</iframe>") == "One two"
+    assert main_text("<p>One</p>" + "<svg>" * 100_000 + "<p>two</p>") == "One two"
+
+
 def test_license_scan(spark):
     grant = licenses.TEMPLATES["MIT-permission"]
     near = grant.replace("charge", "costs", 1)
