@@ -47,6 +47,7 @@ SKIPPED_NAMES = frozenset(
     "footer sidebar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login register share sharing social "
     "related recommended comment comments respond disqus reply replies pagination pager search widget toolbar hidden skip".split()
 )
+LEAD_NAMES = frozenset("lead lede intro introduction standfirst dek deck summary abstract excerpt subtitle subheading headline title".split())
 HEADER_NAMES = frozenset("header masthead topbar".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
@@ -61,6 +62,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_LIST = re.compile(r"/li(?=[./]|\Z)")
 _NAME = re.compile(r"[a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -123,7 +125,7 @@ def blocks_of(html: str) -> list[tuple[str, str, bool, bool]]:
             text = " ".join("".join(words).split())
             if text:
                 _, path, inside, never, element = stack[-1] if stack else ("", "", False, False, 0)
-                blocks.append((path, text, not inside and linked > 0.8 * total and "li" in path, inside, never, element))
+                blocks.append((path, text, not inside and linked > 0.8 * total and bool(_LIST.search(path)), inside, never, element))
         words.clear()
         linked = total = 0
 
@@ -211,10 +213,21 @@ def _digest(text: str) -> int:
 
 
 def weighed(html: str) -> list[tuple[str, str]]:
-    """(style path, text) of the blocks that presentation leaves; if some are in an article or main, those."""
+    """(style path, text) of the blocks that presentation leaves.
+
+    If most of their text is in an article or main, those inside, and a headline or lead before the first.
+    """
     blocks = [b for b in blocks_of(html) if not b[2]]
-    if any(b[3] for b in blocks):
-        blocks = [b for b in blocks if b[3]]
+    size = [len(text) for _, text, _, _ in blocks]
+    if 2 * sum(n for n, b in zip(size, blocks, strict=True) if b[3]) > sum(size):
+        kept, before, headed = [], True, False
+        for b in blocks:
+            before = before and not b[3]
+            names = b[0].replace("/", ".").split(".")
+            headed = headed or "h1" in names
+            if b[3] or (before and (headed or "p" in names or not LEAD_NAMES.isdisjoint(names))):
+                kept.append(b)
+        blocks = kept
     return [(path, text) for path, text, _, _ in blocks]
 
 

@@ -182,6 +182,17 @@ def test_site_tree_raw_elements():
     assert main_text("<p>One</p>" + "<svg>" * 100_000 + "<p>two</p>") == "One two"
 
 
+def test_site_tree_text_outside_articles():
+    cards = "".join(f"<article class='card'><p>Card {i}</p></article>" for i in range(3))
+    assert main_text(f"<div class='content'><p>The main text of this page is here</p></div>{cards}") == "The main text of this page is here Card 0 Card 1 Card 2"
+    article = "<article><p>The text of the article itself, which is longer</p></article>"
+    assert main_text(f"<div class='legal'>All rights</div><h1>Headline</h1><div>By A</div>{article}<div>after</div>") == "Headline By A The text of the article itself, which is longer"
+    assert main_text(f"<div class='lead'>Lead</div><p>Second</p>{article}<p>after</p>") == "Lead Second The text of the article itself, which is longer"
+    for name in ("headline", "public", "client"):
+        assert main_text(f"<div class='{name}'><h2><a href='/a'>Linked</a></h2></div><p>text</p>") == "Linked text"
+    assert main_text("<ul><li class='a'><a href='/a'>Linked</a></li><li><div><a href='/a'>Linked</a></div></li></ul><p>text</p>") == "text"
+
+
 def test_license_scan(spark):
     grant = licenses.TEMPLATES["MIT-permission"]
     near = grant.replace("charge", "costs", 1)
