@@ -6,13 +6,13 @@ pages of the host a node's importance is the entropy of what it says, relative t
 of as many different texts, times the weight of its presentation: navigation, page
 headers and footers, side columns, notices, adverts, forms, hidden parts and reader
 comments weigh nothing, and neither do lists of links outside an article. No page, article or
-main, nor what holds one, is ruled out by its names or as a form. Branches
-of low importance are taken out of each page; what is left is its text.
+main, nor what holds one, is ruled out by its names or as a form. What
+branches of low importance repeat is taken out of each page; what is left is its text.
 
 The tree is never in one place. Pages give a row per style node, which are counted by
 (host, node, text) and then by (host, node) with partial sums before they move, so a
-host with a third of all pages is a few rows for each task. Only nodes found
-unimportant go back to the pages.
+host with a third of all pages is a few rows for each task. Only the repeated texts of
+nodes found unimportant go back to the pages; pages that share their body count as one.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .common import attach, cut_lineage
 
 MIN_PAGES = 8
 MIN_IMPORTANCE = 0.15
+MIN_SHARE = 0.01  # of a node's pages, which bounds the texts taken out of a node by 100
+BODY_CHARS = 200
 
 # Names of HTML elements and of what page parts are usually called.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,6 +65,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _LIST = re.compile(r"/li(?=[./]|\Z)")
+_HEADING = re.compile(r"/h[1-6](?=[./]|\Z)")
+_INSIDE = re.compile(r"/(?:article|main)(?=[./]|\Z)")
 _NAME = re.compile(r"[a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -231,27 +235,48 @@ def weighed(html: str) -> list[tuple[str, str]]:
     return [(path, text) for path, text, _, _ in blocks]
 
 
+def _body(said: dict[str, str]) -> list[str]:
+    """Style paths of a page's body, by which copies are told: its longest texts but headings, until they are most of it.
+
+    Those in an article or main if there are some. Elsewhere a body has ``BODY_CHARS``; a page without one is its own body.
+    """
+    paths = [p for p in said if not _HEADING.search(p)]
+    inside = [p for p in paths if _INSIDE.search(p)]
+    size, taken, body = sum(len(said[p]) for p in inside or paths), 0, []
+    for path in sorted(inside or paths, key=lambda p: (-len(said[p]), p)):
+        if 2 * taken <= size:
+            taken += len(said[path])
+            body.append(path)
+    return body if body and (inside or taken >= BODY_CHARS) else list(said)
+
+
+def _said(blocks: list[tuple[str, str]]) -> dict[str, str]:
+    by_path: dict[str, list[str]] = {}
+    for path, text in blocks:
+        by_path.setdefault(path, []).append(text)
+    return {path: "\n".join(texts) for path, texts in by_path.items()}
+
+
 def _nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.list_(pa.struct([("node", pa.int64()), ("said", pa.int64()), ("page", pa.int64())]))
     for pages in batches:
         out = []
         for html in pages.to_pylist():
-            by_path: dict[str, list[str]] = {}
-            for path, text in weighed(html or ""):
-                by_path.setdefault(path, []).append(text)
-            said = {_digest(path): _digest("\n".join(texts)) for path, texts in by_path.items()}
-            page = _digest(repr(sorted(said.items())))
-            out.append([{"node": n, "said": s, "page": page} for n, s in said.items()])
+            texts = _said(weighed(html or ""))
+            said = {path: _digest(f"{path}\n{text}") for path, text in texts.items()}
+            page = _digest(repr(sorted(said[path] for path in _body(texts))))
+            out.append([{"node": _digest(path), "said": s, "page": page} for path, s in said.items()])
         yield pa.array(out, kind)
 
 
 def _text(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for pages, low in batches:
         out = []
-        for html, nodes in zip(pages.to_pylist(), low.to_pylist(), strict=True):
-            blocks, dropped = weighed(html or ""), set(nodes or ())
-            kept = [text for path, text in blocks if _digest(path) not in dropped] if dropped else [text for _, text in blocks]
-            out.append(" ".join(kept or [text for _, text in blocks]))
+        for html, said in zip(pages.to_pylist(), low.to_pylist(), strict=True):
+            blocks, low_said = weighed(html or ""), set(said or ())
+            dropped = {path for path, text in _said(blocks).items() if _digest(f"{path}\n{text}") in low_said} if low_said else set()
+            kept = [b for b in blocks if b[0] not in dropped]
+            out.append(" ".join(text for _, text in (blocks if all(_HEADING.search(path) for path, _ in kept) else kept)))
         yield pa.array(out, pa.string())
 
 
@@ -261,28 +286,36 @@ def host_of(url_col: str) -> Column:
     return F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/?#]*)", 1))
 
 
-def style_nodes(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(host, node, pages, importance) of each style node over the different pages of its host."""
+def said_of(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """(host, node, said, n) of each text of a style node and the different pages with it; pages with equal bodies are one."""
     made = attach(pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")), "_n", _nodes, "array<struct<node:bigint,said:bigint,page:bigint>>", F.col("html"))
     rows = made.select("host", F.explode("_n").alias("_n")).select("host", "_n.node", "_n.said", "_n.page").distinct()
-    said = rows.groupBy("host", "node", "said").agg(F.count("*").alias("n"))
+    return rows.groupBy("host", "node", "said").agg(F.count("*").alias("n"))
+
+
+def style_nodes(said: DataFrame) -> DataFrame:
+    """(host, node, pages, importance) of each style node over the different pages of its host."""
     nodes = said.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("x"))
     entropy = F.log2("pages") - F.col("x") / F.col("pages")
     return nodes.select("host", "node", "pages", F.when(F.col("pages") > 1, entropy / F.log2("pages")).otherwise(1.0).alias("importance"))
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     Null or empty html: empty text. A host's node is judged once ``min_pages`` different
-    pages have it; pages of smaller hosts, and pages that would lose all their
-    text, keep what presentation leaves. A null url belongs to the host ''. Repeated
-    pages come back repeated and count once for importance. Other columns are left out.
+    pages have it; then its texts that are repeated, and on at least ``min_share`` of those
+    pages, are taken out. Pages of smaller hosts, and pages that would lose all their
+    text but headings, keep what presentation leaves. A null url belongs to the host ''. Repeated
+    pages, and pages of one body, come back all and count once for importance. Other columns are left out.
     """
-    low = cut_lineage(style_nodes(pages, html_col, url_col).where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance)).groupBy("host").agg(F.collect_set("node").alias("nodes")))
+    said = cut_lineage(said_of(pages, html_col, url_col))
+    nodes = style_nodes(said).where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance)).select("host", "node", "pages")
+    repeated = said.where("n > 1").join(nodes, ["host", "node"]).where(F.col("n") >= F.lit(min_share) * F.col("pages"))
+    low = cut_lineage(repeated.groupBy("host").agg(F.collect_set("said").alias("said")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("_host"))
     if low.isEmpty():
-        rows = rows.withColumn("nodes", F.lit(None).cast("array<bigint>"))
+        rows = rows.withColumn("said", F.lit(None).cast("array<bigint>"))
     else:
         rows = rows.join(low, rows["_host"] == low["host"], "left")
-    return attach(rows, "text", _text, "string", F.col("html"), F.col("nodes")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return attach(rows, "text", _text, "string", F.col("html"), F.col("said")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

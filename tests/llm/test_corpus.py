@@ -193,6 +193,19 @@ def test_site_tree_text_outside_articles():
     assert main_text("<ul><li class='a'><a href='/a'>Linked</a></li><li><div><a href='/a'>Linked</a></div></li></ul><p>text</p>") == "text"
 
 
+def test_site_tree_copies_of_one_body(spark):
+    article = "<div class='legal'>All rights</div><article><h1>Title {0}</h1><div class='date'>day {0}</div><p>{1}</p></article>"
+    plain = "<h1>Title {0}</h1><div class='text'>{1}</div>"
+    shared = [("Shared words of the body", i) for i in range(180)] + [(f"Own words of body {i}", i) for i in range(180, 200)]
+    rows = [(f"{host}{i}", f"http://{host}.org/{i}", frame.format(i, body)) for host, frame in (("a", article), ("b", plain)) for body, i in shared]
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    for body, i in shared:
+        assert got[f"a{i}"] == f"Title {i} day {i} {body}" and got[f"b{i}"] == f"Title {i} {body}"
+    notice = [(i, "http://c.org/", f"<div class='a'>{'Own words' if i == 7 else 'Notice'}</div><div class='b'>Text {i}</div>") for i in range(100)]
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(notice, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Own words Text 7" and got[8] == "Text 8"
+
+
 def test_license_scan(spark):
     grant = licenses.TEMPLATES["MIT-permission"]
     near = grant.replace("charge", "costs", 1)
