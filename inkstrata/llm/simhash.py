@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bytes_of, cut_lineage, utf8
+from .common import attach, bytes_of, cut_lineage, unused, utf8
 
 SHINGLE = 3
 DISTANCE = 3
@@ -225,11 +225,14 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_run: int = MAX_RUN) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component, all columns kept.
+    """One row of each component of ``docs``, all columns kept: the one with the least id.
 
-    Of rows that repeat such an id one stays. Rows without an id can't stand for a group
-    and all stay.
+    Rows are told by id and text, so rows that share an id are in components of their own
+    texts. A null id comes after all others, and among equal ids the least digest of the text
+    first. Of rows with the same id and text one stays.
     """
-    named = components(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, max_run=max_run)
-    kept = named.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.unhex(F.md5(utf8(text_col))).alias("digest")))
+    named = components(keyed, id_col=key, text_col=text_col, max_run=max_run)
+    kept = named.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

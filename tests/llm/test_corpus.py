@@ -293,6 +293,16 @@ def test_simhash(docs, empty):
     assert simhash.components(empty).count() == simhash.keep_first(empty).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_component(spark):
+    texts = [f"{name} stands alone among all of the other texts of this table {name}" for name in ("first", "second", "third", "fourth")]
+    assert all((fingerprint(a) ^ fingerprint(b)).bit_count() > 3 for a in texts for b in texts if a != b)
+    rows = [(1, texts[0], "a"), (2, texts[0], "b"), (2, texts[1], "c"), (None, texts[2], "d"), (None, texts[2], "d"), (None, texts[1], "e"), (3, texts[3], "f"), (3, texts[3], "f"), (None, None, "g"), (None, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r["_key"] for r in kept.collect()) == Counter("acdfg")
+
+
 @pytest.mark.parametrize("max_run", [20_000, 4])
 def test_simhash_links(spark, max_run):
     rng = random.Random(11)
