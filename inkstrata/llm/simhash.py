@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bytes_of, cut_lineage, unused, utf8
+from .common import attach, bytes_of, cut_lineage, shuffle_width, unused, utf8
 
 SHINGLE = 3
 DISTANCE = 3
@@ -68,13 +68,17 @@ def _rotated(fp: Column, i: int) -> Column:
 
 
 def chain_keys(prints: DataFrame) -> DataFrame:
-    """(key, fp, start): 64 keys for each fingerprint, from the first two links of the four chains."""
+    """(key, fp, start): 64 keys for each fingerprint, from the first two links of the four chains.
+
+    Fingerprints are few bytes each, so they are dealt out to all tasks before they become 64.
+    """
     fp, keys = F.col("fp"), []
     for i in range(4):
         head = F.shiftrightunsigned(_rotated(fp, i), 32)
         for j in range(16):
             keys.append(head.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << j))).bitwiseOR(F.lit((16 * i + j) << 32)))
-    return prints.select("fp", F.posexplode(F.array(*keys)).alias("n", "key")).select("key", "fp", (F.col("n") / 16).cast("int").alias("start"))
+    dealt = prints.select("fp").repartition(shuffle_width(prints))
+    return dealt.select("fp", F.posexplode(F.array(*keys)).alias("n", "key")).select("key", "fp", (F.col("n") / 16).cast("int").alias("start"))
 
 
 def refined_keys(crowded: DataFrame) -> DataFrame:
@@ -89,11 +93,11 @@ def refined_keys(crowded: DataFrame) -> DataFrame:
     return spread.select(key.alias("key"), "fp", "start")
 
 
-def links_of(values: np.ndarray, start: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among different fingerprints of one run."""
+def links_of(values: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among different fingerprints of one run, as two columns."""
     turn = np.uint64(16 * start)
     ring = values if start == 0 else (values << turn) | (values >> np.uint64(64 - 16 * start))
-    links, rest = [], np.arange(len(values))
+    roots, members, rest = [values[:0]], [values[:0]], np.arange(len(values))
     while len(rest) > 1:
         root, rest = rest[0], rest[1:]
         open_ = [root]
@@ -103,52 +107,57 @@ def links_of(values: np.ndarray, start: int) -> list[tuple[int, int]]:
             near = chain.copy()
             near[chain] = np.bitwise_count(x[chain]) <= DISTANCE
             found = rest[near]
-            links += [(int(values[root]), int(values[f])) for f in found]
-            open_ += found.tolist()
-            rest = rest[~near]
-    return links
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Rows (key, fp, start) of each run of two or more equal keys, batch by batch; the last run of a batch waits for the next."""
-    held: list[np.ndarray] = []
-
-    def split(block: np.ndarray, ended: bool) -> list[np.ndarray]:
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(block[:, 0])) + 1, [len(block)]))
-        if not ended:
-            held[:] = [block[edges[-2] :]]
-            edges = edges[:-1]
-        return [block[edges[k] : edges[k + 1]] for k in np.flatnonzero(np.diff(edges) > 1)]
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        block = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-        if held and held[-1][-1, 0] == block[0, 0] == block[-1, 0]:
-            held.append(block)
-        else:
-            yield split(np.concatenate([*held, block]), False)
-    if held:
-        yield split(np.concatenate(held), True)
+            if len(found):
+                roots.append(np.full(len(found), values[root]))
+                members.append(values[found])
+                open_ += found.tolist()
+                rest = rest[~near]
+    return np.concatenate(roots), np.concatenate(members)
+
+
+def _rows(a: np.ndarray, b: np.ndarray, start: int) -> pa.RecordBatch:
+    columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(a), start, np.int32))], ["a", "b", "start"])
 
 
 def _run_links(max_run: int):
-    """Links (a, b, -1) of sorted runs; the members of runs over ``max_run`` come back as (fp, fp, start)."""
+    """Links (a, b, -1) of sorted runs of equal keys; members of runs over ``max_run`` come back as (fp, fp, start).
+
+    The last run of a batch waits for the next batch, but no more than ``max_run`` of it are
+    held: what goes beyond is given out as it comes.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for runs in _runs(batches):
-            a, b, start = [], [], []
-            for run in runs:
-                values, at = np.ascontiguousarray(run[:, 1]).view(np.uint64), int(run[0, 2])
-                if len(values) > max_run:
-                    found, at = [(v, v) for v in values.tolist()], at
-                else:
-                    found, at = links_of(values, at), -1
-                a += [x for x, _ in found]
-                b += [y for _, y in found]
-                start += [at] * len(found)
-            ids = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(start, pa.int32())], ["a", "b", "start"])
+        key, start, held, size = None, 0, [], 0  # the run that may go on
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if 1 < size <= max_run:
+                yield _rows(*links_of(np.concatenate(held), start), -1)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, prints, starts = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            prints = np.ascontiguousarray(prints).view(np.uint64)
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+            sizes, pairs = np.diff(edges), []
+            for k in np.union1d(np.flatnonzero(sizes > 1), [0, len(sizes) - 1]):
+                run, at = prints[edges[k] : edges[k + 1]], edges[k]
+                if 0 < k < len(sizes) - 1 and len(run) <= max_run:
+                    pairs.append(links_of(run, int(starts[at])))
+                    continue
+                if key is None or keys[at] != key:
+                    yield from ended()
+                    key, start, held, size = keys[at], int(starts[at]), [], 0
+                held.append(run.copy())
+                size += len(run)
+                if size > max_run:
+                    for part in held:
+                        yield _rows(part, part, start)
+                    held = []
+            if pairs:
+                yield _rows(np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs]), -1)
+        yield from ended()
 
     return scan
 
