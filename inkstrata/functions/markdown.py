@@ -176,22 +176,15 @@ def caption_openers(text: Column) -> Column:
     An explicit mark after the number makes a caption anywhere; a space does where the last
     line that isn't blank is an image or a panel label. Lines end at line feeds.
     """
-    rows = F.split(text, "\n", -1)
-    filled = F.filter(F.transform(rows, lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda x: ~is_blank(x["r"]))
-    opens = F.transform(filled, lambda x: x["r"].rlike(IMAGE_LINE) | x["r"].rlike(PANEL_LABEL))
+    marked = F.regexp_replace(text, rf"(?Umd)^{_IN_LINE}*+{OPENER}{_IN_LINE}*+{OPENER_MARK}{_IN_LINE}*+", "$1$2：")
+    before = rf"(^{_IN_LINE}*+(?:{IMAGE_LINE}{_IN_LINE}*+|{PANEL_LABEL}[^\n]*+)\n(?:[\s\x1C-\x1F]*\n)?)"
+    return F.regexp_replace(marked, rf"(?Umd){before}{_IN_LINE}*+{OPENER}{_IN_LINE}++", "$1$2$3：")
 
-    def rewritten(x: Column, k: Column) -> Column:
-        strict = F.regexp_replace(x["r"], STRICT_OPENER, "$1$2：")
-        loose = F.regexp_replace(x["r"], LOOSE_OPENER, "$1$2：")
-        after = (k > 0) & F.get(opens, k - 1)
-        return F.when(F.get(opens, k), x["r"]).when(x["r"].rlike(STRICT_OPENER), strict).when(after, loose).otherwise(x["r"])
 
-    changed = F.map_from_entries(F.transform(filled, lambda x, k: F.struct(x["i"].alias("i"), rewritten(x, k).alias("r"))))
-    return F.array_join(F.transform(rows, lambda r, i: F.coalesce(changed[i], r)), "\n")
+_IN_LINE = r"[\s\x1C-\x1F&&[^\n]]"
 
-
-# Lines that open a caption or stand before one.
-IMAGE_LINE = r"(?U)\A\s*!\[[^\]]*\]\([^)]+\)\s*\z"
-PANEL_LABEL = r"(?U)\A\s*[（(][a-z][）)]"
-STRICT_OPENER = r"(?U)\A\s*(图|表)\s*([0-9]+)\s*[.．。:：]\s*"
-LOOSE_OPENER = r"(?U)\A\s*(图|表)\s*([0-9]+)\s+"
+# What opens a caption or stands before one.
+IMAGE_LINE = r"!\[[^\]\n]*\]\([^)\n]+\)"
+PANEL_LABEL = r"[（(][a-z][）)]"
+OPENER = rf"(图|表){_IN_LINE}*+([0-9]++)"
+OPENER_MARK = r"[.．。:：]"

@@ -59,8 +59,9 @@ def collapse(c: Column) -> Column:
 
 
 def percent_decode(c: Column) -> Column:
-    """%xx as UTF-8 bytes; a plus stays one, malformed text stays as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    """%xx as UTF-8 bytes; a plus stays one, and so does a per cent sign without two digits after it."""
+    whole = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(whole)
 
 
 def percent_encode(c: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from inkstrata.functions import markdown as M
 from inkstrata.functions.protect import span_pattern
-from inkstrata.functions.text import found, is_blank, let, lines, strip
+from inkstrata.functions.text import found, is_blank, let, lines
 
 MIN_CHUNK = 1000
 PART = "array<struct<text:string,translatable:boolean>>"
@@ -123,54 +123,53 @@ def document_chunks(docs: DataFrame, max_chars: int = 12_000, id_col: str = "doc
 
 # Where a text may be split, best first.
 SPLITS = (r"\n[ \t]*\n", r"(?U)(?<=[.!?。！？])\s+", r"\n", r"[ \t]+")
+FILLED = r"(?U)[^\s\x1C-\x1F]+"
 
 
 def split_position(text: Column, min_side: int = 400) -> Column:
     """Characters before the best place to split a text near its middle, null if there is none.
 
     Blank lines come before ends of sentences, those before line ends and spaces. Neither
-    side may have fewer than ``min_side`` characters, and no protected span is cut.
+    side may have fewer than ``min_side`` characters without the white space at its ends, and no
+    protected span is cut. Patterns are matched in the JVM; lengths of what lies between
+    their matches and of the matches, in turn, are all that the array function sees.
     """
 
-    def ends(pattern: str, rank: int) -> Column:
+    def lengths(pattern: str) -> Column:
         gaps, hits = F.split(text, pattern, -1), found(text, pattern)
-        sizes = F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h")), lambda x: F.length(x["g"]) + F.length(F.coalesce(x["h"], F.lit(""))))
-        return _running(sizes, lambda p: F.struct(F.lit(rank).alias("rank"), F.abs(p - F.floor(F.length(text) / 2)).alias("off"), p.alias("at")))
+        return F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h")), lambda x: F.array(F.length(x["g"]), F.coalesce(F.length(x["h"]), F.lit(0)))))
 
-    def bounds() -> Column:
-        gaps, hits = F.split(text, span_pattern(), -1), found(text, span_pattern())
-        sizes = F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h")), lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(F.coalesce(x["h"], F.lit(""))).alias("h")))
-        return _spans(sizes)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            yield pa.array([None if row[0] is None else nearest_split(*(np.cumsum(np.asarray(x, np.int64)) for x in row), min_side) for row in zip(*(c.to_pylist() for c in columns), strict=True)], pa.int64())
 
-    def best(state: Column) -> Column:
-        def fits(c: Column) -> Column:
-            at = c["at"]
-            left, right = strip(F.substring(text, F.lit(1), at.cast("int"))), strip(F.substring(text, (at + 1).cast("int"), F.length(text)))
-            inside = F.exists(state["spans"], lambda s: (s["start"] < at) & (at < s["stop"]))
-            return (at > 0) & (at < F.length(text)) & ~inside & (F.length(left) >= min_side) & (F.length(right) >= min_side)
+    return F.arrow_udf(run, "bigint")(lengths(FILLED), lengths(span_pattern()), *[lengths(p) for p in SPLITS])
 
-        return F.array_min(F.filter(state["places"], fits))["at"]
 
-    places = F.concat(*[ends(p, k) for k, p in enumerate(SPLITS)])
-    return let(F.struct(places.alias("places"), bounds().alias("spans")), best)
+def nearest_split(filled: np.ndarray, spans: np.ndarray, *places_and_least) -> int | None:
+    """The first kind of places that has one where both sides are long enough and no span is open, and of it the nearest to the middle.
 
-
-def _running(sizes: Column, fn) -> Column:
-    """``fn`` of the running sum at each item."""
-    return F.transform(_sums(sizes), fn)
-
-
-def _sums(sizes: Column) -> Column:
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            yield pa.array([None if x is None else np.cumsum(np.asarray(x, np.int64)).tolist() for x in b.to_pylist()], pa.list_(pa.int64()))
-
-    return F.arrow_udf(run, "array<bigint>")(sizes)
-
-
-def _spans(sizes: Column) -> Column:
-    flat = _sums(F.flatten(F.transform(sizes, lambda x: F.array(x["g"], x["h"]))))
-    return let(flat, lambda f: F.transform(F.sequence(F.lit(0), F.floor(F.size(f) / 2).cast("int") - 1), lambda i: F.struct(F.get(f, 2 * i).alias("start"), F.get(f, 2 * i + 1).alias("stop"))))
+    All arrays are ends: of a gap and of a match in turn. ``filled`` matches runs without white space.
+    """
+    *places, least = places_and_least
+    size = int(filled[-1]) if len(filled) else 0
+    first, last = filled[0::2], filled[1::2]  # where runs begin and end; the last pair is the rest of the text
+    first, last = first[:-1], last[:-1]
+    if not len(first):
+        return None
+    for ends in places:
+        at = np.unique(ends[1::2][:-1])
+        at = at[(at > 0) & (at < size)]
+        before, after = np.searchsorted(last, at, "right") - 1, np.searchsorted(first, at, "left")
+        # White space ends at every place, so that no run goes across one.
+        left = np.where(before >= 0, last[before], first[0]) - first[0]
+        right = np.where(after < len(first), last[-1] - first[np.minimum(after, len(first) - 1)], 0)
+        opened = np.searchsorted(spans[0::2], at, "left") - 1  # the last span that begins before
+        inside = (opened >= 0) & (at < spans[1::2][opened])
+        fit = at[(left >= least) & (right >= least) & ~inside]
+        if len(fit):
+            return int(fit[np.argmin(np.abs(fit - size // 2))])
+    return None
 
 
 def halves(texts: DataFrame, text_col: str = "text", min_side: int = 400) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,17 @@ VERSION = 1
 CACHE = "key string, source_sha256 string, translation string, version int, prompt_tokens long, completion_tokens long, total_tokens long"
 
 
+def checked_url(url: str) -> str:
+    """A service's address without white space and slashes at its end; only this machine may be spoken to without https."""
+    plain = url.strip().rstrip("/")
+    parts = urlsplit(plain)
+    if parts.scheme not in ("http", "https") or not parts.hostname:
+        raise ValueError("the address of a service needs http or https and a host")
+    if parts.scheme == "http" and parts.hostname not in ("localhost", "127.0.0.1", "::1"):
+        raise ValueError("remote services have to use https")
+    return plain
+
+
 @dataclass(frozen=True)
 class Settings:
     """What shapes an answer, and how often it is asked for."""
@@ -51,8 +63,7 @@ class Settings:
     def __post_init__(self):
         if self.max_chars < 1000 or self.tries < 1 or self.min_side < 100:
             raise ValueError("max_chars is at least 1000, tries 1, min_side 100")
-        if not (self.base_url.startswith("https://") or self.base_url.removeprefix("http://").split("/")[0].split(":")[0] in ("localhost", "127.0.0.1", "[")):
-            raise ValueError("remote services have to use https")
+        checked_url(self.base_url)
 
 
 def language_name(code: str) -> str:

@@ -27,9 +27,21 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*.pdf", mode: str = "precise") -> DataFrame:
-    """path, length, content and ``refused`` (over the mode's limit) of files; the sizes are known before a byte is read."""
+    """path, length, content and ``refused`` (over the mode's limit) of files.
+
+    Sizes are known before a byte is read; the content of refused files is null and is never read.
+    """
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return rows.select("path", "length", "content", (F.col("length") > LIMITS[mode]).alias("refused"))
+    fits = rows.where(F.col("length") <= LIMITS[mode]).select("path", "length", "content", F.lit(False).alias("refused"))
+    rest = rows.where(F.col("length") > LIMITS[mode]).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit(True).alias("refused"))
+    return fits.unionByName(rest)
+
+
+def content_lists(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id (the folder), list (the file's name) and json of all layout lists under a path, in the order of their names."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_content_list.json").text(path, wholetext=True)
+    file = F.col("_metadata.file_path")
+    return rows.select(F.regexp_extract(file, r"\A(.*)/[^/]*\z", 1).alias("doc_id"), F.regexp_extract(file, r"([^/]*)\z", 1).alias("list"), F.col("value").alias("json")).orderBy("doc_id", "list")
 
 
 def content_items(lists: DataFrame, json_col: str = "json") -> DataFrame:
@@ -87,9 +99,21 @@ def zip_members(files: DataFrame, content_col: str = "content") -> DataFrame:
 
 
 def glossary_lines(text: Column) -> Column:
-    """A JSON object as lines ``- source => target``; other text stripped."""
-    pairs = F.map_entries(F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"}))
-    return F.when(F.ltrim(text).startswith("{"), F.array_join(F.transform(pairs, lambda p: F.concat(F.lit("- "), p["key"], F.lit(" => "), p["value"])), "\n")).otherwise(strip(text))
+    """A JSON object as lines ``- source => target``; text that is no JSON stripped. Other JSON is an error."""
+
+    def lines(json: Column) -> Column:
+        pairs = F.map_entries(F.from_json(text, "map<string,string>"))
+        rows = F.array_join(F.transform(pairs, lambda p: F.concat(F.lit("- "), p["key"], F.lit(" => "), F.coalesce(p["value"], F.lit("None")))), "\n")
+        wrong = F.raise_error(F.lit("a glossary in JSON has to be an object of sources and targets")).cast("string")
+        return F.when(json.isNull(), strip(text)).when(F.schema_of_variant(json).startswith("OBJECT"), rows).otherwise(wrong)
+
+    return lines(F.try_parse_json(text))
+
+
+def glossary(text: Column) -> Column:
+    """(lines, sha256) of a glossary; null counts as empty and has the digest ''."""
+    own = F.coalesce(glossary_lines(text), F.lit(""))
+    return F.struct(own.alias("lines"), F.when(text.isNull(), F.lit("")).otherwise(F.sha2(own, 256)).alias("sha256"))
 
 
 def term_list(text: Column) -> Column:

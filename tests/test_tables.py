@@ -1,5 +1,6 @@
 """Figures, tables, assets, jobs, archives and translation over small tables."""
 
+import hashlib
 import io
 import zipfile
 
@@ -98,6 +99,29 @@ def test_jobs(spark, values):
     assert [tuple(x) for x in values(lambda m, t: jobs.mode_of(m, t, F.lit("image"), F.lit(True)), ("auto", "tok"), ("auto", ""), ("precise", ""))] == [("precise", None), ("agent", "images of tables need the precise mode and table recognition"), ("precise", "the precise mode needs a token")]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_job_stream_of_a_job_past_its_time(spark, tmp_path, zone):
+    """A job times out once, its later polls are ignored, and times are the same in any time zone."""
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = [("2026-01-01 00:00:00", 1, "pending"), ("2026-01-01 01:00:00", 2, "pending"), ("2026-01-01 01:00:30", 2, "pending"), ("2026-01-01 02:00:00", 1, "done"), ("2026-01-01 04:00:00", 3, "pending")]
+        for n, (at, job, state) in enumerate(rows):
+            one = spark.sql(f"SELECT {job} AS job_id, to_timestamp('{at}Z') AS ts, '{state}' AS state, 'u' AS result_url")
+            one.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        name = f"late_{zone[:3]}"
+        query = live.watch(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        got = sorted((r["job_id"], r["at"], r["state"], r["outcome"]) for r in spark.table(name).select("job_id", F.unix_timestamp("ts").alias("at"), "state", "outcome").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    start = 1767225600
+    assert got == [(1, start, "pending", None), (1, start + 900, "pending", "timeout"), (2, start + 3600, "pending", None), (2, start + 4500, "pending", "timeout"), (3, start + 14400, "pending", None)]
+
+
 def test_job_stream(spark, tmp_path):
     polls(spark).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(polls(spark).schema).parquet(str(tmp_path / "in"))
@@ -129,7 +153,19 @@ def test_readers(spark, values, tmp_path):
     items = spark.createDataFrame([(1, "l", '[{"type": "image", "page_idx": "2", "bbox": [1, 2, 3, 4], "img_path": "a", "image_caption": "[\\"Figure 1. x\\", \\" \\"]"}, {"type": "table", "table_caption": "plain"}]'), (2, "l", '{"a": 1}'), (3, "l", None)], "doc_id long, list string, json string")
     assert [(r["page_idx"], r["captions"]) for r in readers.content_items(items).where("doc_id = 1").orderBy("i").collect()] == [(2, ["Figure 1. x"]), (None, ["plain"])]
     assert values(readers.term_list, "# t\n\n- `token`\n* a b \n- token\nno") == [["token", "a b"]]
-    assert values(readers.glossary_lines, '{"row": "行"}', " raw ") == ["- row => 行", "raw"]
+    assert values(readers.glossary_lines, '{"row": "行", "n": 1}', " raw ", '{"row": ', None) == ["- row => 行\n- n => 1", "raw", '{"row":', None]
+    assert [tuple(g) for g in values(readers.glossary, " raw ", None)] == [("raw", hashlib.sha256(b"raw").hexdigest()), ("", "")]
+    with pytest.raises(Exception, match="has to be an object"):
+        values(readers.glossary_lines, '["row"]')
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b_content_list.json").write_text("[]")
+    (tmp_path / "in" / "a_content_list.json").write_text('[{"type": "text"}]')
+    assert [(r["list"], r["json"]) for r in readers.content_lists(spark, str(tmp_path / "in")).collect()] == [("a_content_list.json", '[{"type": "text"}]'), ("b_content_list.json", "[]")]
+    (tmp_path / "a.pdf").write_bytes(b"12345")
+    assert [(r["length"], bytes(r["content"]), r["refused"]) for r in readers.binary_files(spark, str(tmp_path)).collect()] == [(5, b"12345", False)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setitem(readers.LIMITS, "agent", 4)
+        assert [(r["length"], r["content"], r["refused"]) for r in readers.binary_files(spark, str(tmp_path), mode="agent").collect()] == [(5, None, True)]
     assert values(readers.secret_in, "a sk-abcdefghijklm b", "export MY_TOKEN='abc'\n", "# head\n`value-of-some-length`", "short") == ["sk-abcdefghijklm", "abc", "value-of-some-length", None]
 
 
@@ -151,6 +187,8 @@ def test_translate(spark, tmp_path):
     again, counts = T.translate(docs.where("doc_id < 3"), str(tmp_path), upper, s)
     assert counts["api_calls"] == 0 and counts["cache_hits"] == counts["chunks"] == 4 and {r["text"] for r in again.collect()} == {got[1]["text"]}
     assert T.usage(spark.read.parquet(str(tmp_path / "cache"))).first()["total_tokens"] > 0
-    with pytest.raises(ValueError):
-        T.Settings(base_url="http://e.org")
+    for url in ("http://e.org", "http://localhost:80@evil.example/", "localhost", "ftp://localhost", "https://", ""):
+        with pytest.raises(ValueError):
+            T.Settings(base_url=url)
+    assert [T.checked_url(u) for u in ("https://e.org/v1/ ", "http://[::1]:8080", "http://LOCALHOST")] == ["https://e.org/v1", "http://[::1]:8080", "http://LOCALHOST"]
     assert T.output_suffix("pt BR") == "pt-BR" and T.language_name("zh-CN") == "Simplified Chinese"

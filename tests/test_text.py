@@ -185,6 +185,18 @@ def test_captions(values):
     before = "![](a.jpg)\n\n图 3 一个图\n表 4 正文说明\n表 5. 名\n(a) 左\n图 6 右\n图7：已\n"
     after = "![](a.jpg)\n\n图3：一个图\n表 4 正文说明\n表5：名\n(a) 左\n图6：右\n图7：已\n"
     assert values(M.caption_openers, before, after, "", "plain\n") == [after, after, "", "plain\n"]
+    odd = ["(a) x\n \n\t\n  图 1  名", "![](a)\n(b)\n表 2 名\n表 3 名", "![](a) b\n图 1 名", "图 1\u3000．名", "![](a)\n图 12", "![](a)\n\n图 3.5 名\n"]
+    assert values(M.caption_openers, *odd) == ["(a) x\n \n\t\n图1：名", "![](a)\n(b)\n表2：名\n表 3 名", odd[2], "图1：名", odd[4], "![](a)\n\n图3：5 名\n"]
+
+
+def test_captions_and_splits_of_long_texts(values):
+    import time
+
+    text = "![](a.jpg)\n\n图 3 说明\n正文 一行。\n" * 5_000
+    began = time.time()
+    assert values(M.caption_openers, text)[0].count("图3：说明") == 5_000
+    assert values(lambda c: segment.split_position(c, 100), text)[0] is not None
+    assert time.time() - began < 30
 
 
 def test_listings(values):
@@ -201,8 +213,12 @@ def test_listings(values):
     assert values(pseudocode.plain_listings, got[0]["text"])[0]["text"] == got[0]["text"]
     assert values(pseudocode.plain_line, r"\hat{x}_{a+b} ^{2} \unknown \{s\} f (x ) < a >", "\t a") == ["hat(x)_(a+b) ^2 unknown {s} f(x) <a>", "     a"]
     assert pseudocode.decoded("&amp;amp;lt;&nbsp;") == "< "
+    lines = [r"a \Leftrightarrow b \Longleftrightarrow c", r"\sqrt{\frac{\hat{\mathbf{x}}}{\text{n m}}} \quad y", r"\left( a \right) \, b\\alpha \\_ \$5 $x$", "x_{a b}^{12}y^{n}_{k}", r"\leq\leqslant  , z ( )", "<  a b  >"]
+    want = ["a ⇔ b ⇔ c", "sqrt((hat(x)) / (n m)) y", "(a) bα _ $5 x", "x_(a b)^(12)y^n_k", "≤leqslant, z()", "<a b>"]
+    assert values(pseudocode.plain_line, *lines) == want
+    assert values(pseudocode.plain_tags, "a<br/>b<P>c<SUP class=x>2</sup><sub>i<b>j</b></sub><span>d</span>") == ["a\nb\nc^(2)_(ij)d"]
 
 
 def test_paths(values):
-    assert values(T.percent_decode, "a%20b+c", "%zz") == ["a b+c", "%zz"]
+    assert values(T.percent_decode, "a%20b+c", "%zz", "a%zz%20b%", "%C3%BC%2B") == ["a b+c", "%zz", "a%zz b%", "ü+"]
     assert values(T.percent_encode, "a b/ü*+~") == ["a%20b/%C3%BC%2A%2B~"]
