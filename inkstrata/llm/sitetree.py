@@ -1,18 +1,27 @@
 """Main text of web pages by a site style tree.
 
-The DOMs of a host's pages are merged into one tree: a *style node* is the path of block
-elements with their classes and ids that leads to a piece of text. Over the different
-pages of the host a node's importance is the entropy of what it says, relative to that
-of as many different texts, times the weight of its presentation: navigation, page
-headers and footers, side columns, notices, adverts, forms, hidden parts and reader
-comments weigh nothing, and neither do lists of links outside an article. No page, article or
-main, nor what holds one, is ruled out by its names or as a form. What
-branches of low importance repeat is taken out of each page; what is left is its text.
-
-The tree is never in one place. Pages give a row per style node, which are counted by
-(host, node, text) and then by (host, node) with partial sums before they move, so a
-host with a third of all pages is a few rows for each task. Only the repeated texts of
-nodes found unimportant go back to the pages; pages that share their body count as one.
+The DOMs of a host's pages are merged into one tree: a node is the path of block elements,
+with their classes and ids, that leads to an element, and the style nodes that hold text
+are its leaves. A leaf's importance is the product of two parts, over the different pages of
+the host that have it:
+
+* presentation: the share of these pages on which nothing of how the element is presented
+  speaks against it. Against it are elements and roles of navigation, page headers and
+  footers, side columns, forms and hidden parts, class and id names of such parts, lists of
+  links outside an article, and standing outside an article that holds most of a page;
+* content: the entropy of what it says, relative to that of as many different texts, with
+  one page more that says something new, so that few pages prove little.
+
+The importance of an inner node is the mean over the leaves below it, weighted by pages.
+A branch whose node is mostly ruled out or of low importance is removed from each page of
+the host; of leaves that are low for their content alone only what is repeated goes, so that
+a page's own text stays. Pages that share their body count as one.
+
+The tree is never in one place. Pages give a row per leaf, which are counted by
+(host, leaf, text) and then by (host, leaf) with partial sums before they move, so a
+host with a third of all pages is a few rows for each task. Only the removed branches and
+repeated texts of a host go back to its pages, broadcast if they are few, else dealt by host and
+a salt.
 """
 
 from __future__ import annotations
@@ -20,7 +29,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,8 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import attach, cut_lineage
 
-MIN_PAGES = 8
 MIN_IMPORTANCE = 0.15
+MIN_PRESENTED = 0.5
+PRIOR_PAGES = 1.0
+SALTS = 16
+BROADCAST_ENTRIES = 500_000  # 8 bytes each
 MIN_SHARE = 0.01  # of a node's pages, which bounds the texts taken out of a node by 100
 BODY_CHARS = 200
 
@@ -49,13 +63,19 @@ SKIPPED_NAMES = frozenset(
     "footer sidebar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login register share sharing social "
     "related recommended comment comments respond disqus reply replies pagination pager search widget toolbar hidden skip".split()
 )
+GENERIC_NAMES = frozenset(
+    "area bar block body bottom box button center column container content count display footer form global group head header holder html inner item items label left link links list main message meta "
+    "module nav outer page panel post posts right row section site slot text title top unit view wrap wrapper zone".split()
+)
 LEAD_NAMES = frozenset("lead lede intro introduction standfirst dek deck summary abstract excerpt subtitle subheading headline title".split())
 HEADER_NAMES = frozenset("header masthead topbar".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
-# What rules an element out: names, being a form, or anything else. The first two give way in an
-# element that holds an article or main; forms also give way where they hold most of a page.
-NAMED, FORM, RULED = 1, 2, 4
+# What speaks against an element: its names, something weak (a form, or a name that says more than
+# such a part's), or anything else. The first two give way in an element that holds an article or
+# main; what is weak also gives way where it holds most of a page.
+NAMED, WEAK, RULED = 1, 2, 4
+OUTSIDE = "/~outside"
 
 _SKIP = r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
 _RAW = re.compile(rf"{_SKIP}|<(/?)({'|'.join(sorted(RAW))})(?=[\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)", re.S | re.I)
@@ -72,18 +92,21 @@ _DIGITS = re.compile(r"\d+")
 
 
 def _presented(tag: str, attributes: str, inside: bool) -> tuple[str, int]:
-    """The element's label in a style path, and what of its presentation rules it out (NAMED, FORM, RULED; 0: nothing)."""
-    label, out = tag, FORM if tag in FORMS else RULED if tag in SKIPPED else NAMED if tag == "header" and not inside else 0
+    """The element's label in a style path, and what of its presentation speaks against it (NAMED, WEAK, RULED; 0: nothing)."""
+    label, out = tag, WEAK if tag in FORMS else RULED if tag in SKIPPED else NAMED if tag == "header" and not inside else 0
     if attributes and attributes.strip(" /"):
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), unescape(a or b or c).lower()
             if name in ("class", "id"):
                 words = _NAME.findall(value)
-                if not SKIPPED_NAMES.isdisjoint(words) or (not inside and not HEADER_NAMES.isdisjoint(words)):
-                    out |= NAMED
+                for one in value.split():
+                    own = {w for w in _NAME.findall(one) if not w.isdigit()}
+                    of_parts = own & (SKIPPED_NAMES if inside else SKIPPED_NAMES | HEADER_NAMES)
+                    if of_parts:
+                        out |= NAMED if own <= of_parts | GENERIC_NAMES else WEAK
                 label += "." + ".".join(sorted(_DIGITS.sub("0", w) for w in words))
             elif name == "role" and value in SKIPPED_ROLES:
-                out |= FORM if value == "form" else RULED
+                out |= WEAK if value == "form" else RULED
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                 out |= RULED
     return label, out & RULED if tag in WHOLE else out
@@ -112,11 +135,18 @@ def raw_ends(html: str) -> dict[int, int]:
     return ends
 
 
-def blocks_of(html: str) -> list[tuple[str, str, bool, bool]]:
-    """(style path, text, weighs nothing, inside an article or main) of each block with text, in page order.
+class Block(NamedTuple):
+    """A block with text: its style path and text, whether presentation speaks against it, and whether it is inside an article or main, or an element of ``NEVER``."""
 
-    If that would leave no block, only those inside an element of ``NEVER`` weigh nothing.
-    """
+    path: str
+    text: str
+    out: bool
+    inside: bool
+    never: bool
+
+
+def blocks_of(html: str) -> list[Block]:
+    """The blocks of a page that have text, in page order."""
     blocks: list[tuple[str, str, bool, bool, bool, int]] = []  # path, text, links of a list, inside, in NEVER, element
     stack: list[tuple[str, str, bool, bool, int]] = []  # tag, path, inside article or main, in NEVER, element
     above, ruled, holds = [0], [0], [True]  # of each element: its parent, what rules it out, whether it holds an article or main
@@ -204,35 +234,43 @@ def blocks_of(html: str) -> list[tuple[str, str, bool, bool]]:
     for i in range(1, len(above)):
         ruled[i] = ruled[above[i]] | (ruled[i] & RULED if holds[i] else ruled[i])
     outs = [ruled[b[5]] | (RULED if b[2] else 0) for b in blocks]
-    size = {why: sum(len(b[1]) for b, out in zip(blocks, outs, strict=True) if out == why) for why in (0, FORM)}
-    if size[FORM] > size[0]:
-        outs = [out & ~FORM for out in outs]
-    if all(outs):
-        outs = [b[4] for b in blocks]
-    return [(b[0], b[1], bool(out), b[3]) for b, out in zip(blocks, outs, strict=True)]
+    size = {why: sum(len(b[1]) for b, out in zip(blocks, outs, strict=True) if out == why) for why in (0, WEAK)}
+    if size[WEAK] > size[0]:
+        outs = [out & ~WEAK for out in outs]
+    found = [Block(b[0], b[1], bool(out), b[3], b[4]) for b, out in zip(blocks, outs, strict=True)]
+    return _around_articles(found)
+
+
+def _around_articles(blocks: list[Block]) -> list[Block]:
+    """Where articles and main hold most of the text that is left, the blocks outside are ruled out too, as leaves of their own, but for a headline or lead before the first."""
+    left = [b for b in blocks if not b.out]
+    if 2 * sum(len(b.text) for b in left if b.inside) <= sum(len(b.text) for b in left):
+        return blocks
+    marked, before, headed = [], True, False
+    for b in blocks:
+        if not b.out:
+            before = before and not b.inside
+            names = b.path.replace("/", ".").split(".")
+            headed = headed or "h1" in names
+            if not (b.inside or (before and (headed or "p" in names or not LEAD_NAMES.isdisjoint(names)))):
+                b = b._replace(path=b.path + OUTSIDE, out=True)
+        marked.append(b)
+    return marked
 
 
 def _digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def weighed(html: str) -> list[tuple[str, str]]:
-    """(style path, text) of the blocks that presentation leaves.
+@lru_cache(100_000)
+def chain_of(path: str) -> list[int]:
+    """Digests of the nodes on a style path that can be removed with all below them, the leaf last.
 
-    If most of their text is in an article or main, those inside, and a headline or lead before the first.
+    The page, its body, articles and main are never removed, nor what holds them.
     """
-    blocks = [b for b in blocks_of(html) if not b[2]]
-    size = [len(text) for _, text, _, _ in blocks]
-    if 2 * sum(n for n, b in zip(size, blocks, strict=True) if b[3]) > sum(size):
-        kept, before, headed = [], True, False
-        for b in blocks:
-            before = before and not b[3]
-            names = b[0].replace("/", ".").split(".")
-            headed = headed or "h1" in names
-            if b[3] or (before and (headed or "p" in names or not LEAD_NAMES.isdisjoint(names))):
-                kept.append(b)
-        blocks = kept
-    return [(path, text) for path, text, _, _ in blocks]
+    elements = path.split("/")[1:]
+    top = max((i for i, e in enumerate(elements) if e.split(".", 1)[0] in WHOLE), default=-1) + 1
+    return [_digest("/".join(elements[: i + 1])) for i in range(min(top, len(elements) - 1), len(elements))] if elements else [_digest("")]
 
 
 def _body(said: dict[str, str]) -> list[str]:
@@ -250,34 +288,49 @@ def _body(said: dict[str, str]) -> list[str]:
     return body if body and (inside or taken >= BODY_CHARS) else list(said)
 
 
-def _said(blocks: list[tuple[str, str]]) -> dict[str, str]:
+def _said(blocks: list[Block]) -> dict[str, str]:
     by_path: dict[str, list[str]] = {}
-    for path, text in blocks:
-        by_path.setdefault(path, []).append(text)
+    for b in blocks:
+        by_path.setdefault(b.path, []).append(b.text)
     return {path: "\n".join(texts) for path, texts in by_path.items()}
 
 
-def _nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("said", pa.int64()), ("page", pa.int64())]))
+def _text_digest(path: str, text: str) -> int:
+    return _digest(f"{path}\n{text}")
+
+
+def _leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("chain", pa.list_(pa.int64())), ("said", pa.int64()), ("page", pa.int64()), ("out", pa.bool_())]))
     for pages in batches:
         out = []
-        for html in pages.to_pylist():
-            texts = _said(weighed(html or ""))
-            said = {path: _digest(f"{path}\n{text}") for path, text in texts.items()}
-            page = _digest(repr(sorted(said[path] for path in _body(texts))))
-            out.append([{"node": _digest(path), "said": s, "page": page} for path, s in said.items()])
+        for html in pages:
+            blocks = blocks_of(html.as_py() or "")
+            texts, kept = _said(blocks), {b.path for b in blocks if not b.out}
+            said = {path: _text_digest(path, text) for path, text in texts.items()}
+            body = {path: text for path, text in texts.items() if path in kept}
+            page = _digest(repr(sorted(said[path] for path in (_body(body) if body else texts))))
+            out.append([{"chain": chain_of(path), "said": s, "page": page, "out": path not in kept} for path, s in said.items()])
         yield pa.array(out, kind)
 
 
-def _text(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for pages, low in batches:
-        out = []
-        for html, said in zip(pages.to_pylist(), low.to_pylist(), strict=True):
-            blocks, low_said = weighed(html or ""), set(said or ())
-            dropped = {path for path, text in _said(blocks).items() if _digest(f"{path}\n{text}") in low_said} if low_said else set()
-            kept = [b for b in blocks if b[0] not in dropped]
-            out.append(" ".join(text for _, text in (blocks if all(_HEADING.search(path) for path, _ in kept) else kept)))
-        yield pa.array(out, pa.string())
+def text_of(html: str, low: set[int], low_said: set[int]) -> str:
+    """A page's text without its host's low branches and repeated texts.
+
+    If only headings are left, the repeated texts stay; if nothing is, all but what stands in an element of ``NEVER``.
+    """
+    blocks = blocks_of(html)
+    branch = {path: low.isdisjoint(chain_of(path)) for path in {b.path for b in blocks}}
+    standing = [b for b in blocks if branch[b.path]]
+    dropped = {path for path, text in _said(standing).items() if _text_digest(path, text) in low_said} if low_said else set()
+    kept = [b for b in standing if b.path not in dropped]
+    if all(_HEADING.search(b.path) for b in kept):
+        kept = standing
+    return " ".join(b.text for b in kept or [b for b in blocks if not b.never])
+
+
+def _text(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for pages, low, said in batches:
+        yield pa.array([text_of(html.as_py() or "", set(a.as_py() or ()), set(b.as_py() or ())) for html, a, b in zip(pages, low, said, strict=True)], pa.string())
 
 
 def host_of(url_col: str) -> Column:
@@ -287,35 +340,52 @@ def host_of(url_col: str) -> Column:
 
 
 def said_of(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(host, node, said, n) of each text of a style node and the different pages with it; pages with equal bodies are one."""
-    made = attach(pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")), "_n", _nodes, "array<struct<node:bigint,said:bigint,page:bigint>>", F.col("html"))
-    rows = made.select("host", F.explode("_n").alias("_n")).select("host", "_n.node", "_n.said", "_n.page").distinct()
-    return rows.groupBy("host", "node", "said").agg(F.count("*").alias("n"))
+    """(host, chain, said, n, outs) of each text of a leaf: the different pages with it, and on how many presentation speaks against it. Pages with equal bodies are one."""
+    made = attach(pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")), "_n", _leaves, "array<struct<chain:array<bigint>,said:bigint,page:bigint,out:boolean>>", F.col("html"))
+    rows = made.select("host", F.explode("_n").alias("_n")).select("host", "_n.*").groupBy("host", "chain", "said", "page").agg(F.min("out").alias("out"))
+    return rows.groupBy("host", "chain", "said").agg(F.count("*").alias("n"), F.count_if("out").alias("outs"))
+
+
+def leaves(said: DataFrame) -> DataFrame:
+    """(host, chain, pages, presented, content) of each leaf over the different pages of its host."""
+    rows = said.groupBy("host", "chain").agg(F.sum("n").alias("pages"), F.sum("outs").alias("outs"), F.sum(F.col("n") * F.log2("n")).alias("x"))
+    entropy = F.when(F.col("pages") > 1, (F.log2("pages") - F.col("x") / F.col("pages")) / F.log2("pages")).otherwise(1.0)
+    content = (F.col("pages") * entropy + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
+    return rows.select("host", "chain", "pages", (1 - F.col("outs") / F.col("pages")).alias("presented"), content.alias("content"))
+
+
+def nodes(leaf: DataFrame) -> DataFrame:
+    """(host, node, presented, importance) of every node of the tree that can be removed: means over the leaves at and below it, weighted by pages."""
+    rows = leaf.select("host", "pages", "presented", "content", F.explode("chain").alias("node"))
+    mean = lambda c: F.sum(F.col("pages") * c) / F.sum("pages")
+    return rows.groupBy("host", "node").agg(mean(F.col("presented")).alias("presented"), mean(F.col("presented") * F.col("content")).alias("importance"))
 
 
-def style_nodes(said: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of each style node over the different pages of its host."""
-    nodes = said.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("x"))
-    entropy = F.log2("pages") - F.col("x") / F.col("pages")
-    return nodes.select("host", "node", "pages", F.when(F.col("pages") > 1, entropy / F.log2("pages")).otherwise(1.0).alias("importance"))
+def low_parts(said: DataFrame, min_importance: float = MIN_IMPORTANCE, min_presented: float = MIN_PRESENTED, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, nodes, said): a host's removed branches, and the repeated texts of leaves that are low for their content."""
+    leaf = leaves(said)
+    branches = nodes(leaf).where(F.col("presented") < min_presented).select("host", "node", F.lit(None).cast("bigint").alias("said"))
+    poor = leaf.where((F.col("presented") >= min_presented) & (F.col("presented") * F.col("content") < min_importance)).select("host", "chain", "pages")
+    repeated = said.where("n > 1").join(poor, ["host", "chain"]).where(F.col("n") >= F.lit(min_share) * F.col("pages"))
+    both = branches.unionByName(repeated.select("host", F.lit(None).cast("bigint").alias("node"), "said"))
+    return both.groupBy("host").agg(F.collect_set("node").alias("nodes"), F.collect_set("said").alias("said"))
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_importance: float = MIN_IMPORTANCE, min_presented: float = MIN_PRESENTED, min_share: float = MIN_SHARE, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    Null or empty html: empty text. A host's node is judged once ``min_pages`` different
-    pages have it; then its texts that are repeated, and on at least ``min_share`` of those
-    pages, are taken out. Pages of smaller hosts, and pages that would lose all their
-    text but headings, keep what presentation leaves. A null url belongs to the host ''. Repeated
-    pages, and pages of one body, come back all and count once for importance. Other columns are left out.
+    Null or empty html: empty text. Of a leaf of low content, texts on at least ``min_share`` of
+    its pages are taken out. A page that would lose all its text but headings keeps what is
+    repeated, and one that would lose everything keeps all outside navigation, side columns and
+    footers. A null url belongs to the host ''. Repeated pages, and pages of one body, come back
+    all and count once for importance. Other columns are left out.
     """
-    said = cut_lineage(said_of(pages, html_col, url_col))
-    nodes = style_nodes(said).where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance)).select("host", "node", "pages")
-    repeated = said.where("n > 1").join(nodes, ["host", "node"]).where(F.col("n") >= F.lit(min_share) * F.col("pages"))
-    low = cut_lineage(repeated.groupBy("host").agg(F.collect_set("said").alias("said")))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("_host"))
-    if low.isEmpty():
-        rows = rows.withColumn("said", F.lit(None).cast("array<bigint>"))
-    else:
-        rows = rows.join(low, rows["_host"] == low["host"], "left")
-    return attach(rows, "text", _text, "string", F.col("html"), F.col("said")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    low = cut_lineage(low_parts(cut_lineage(said_of(pages, html_col, url_col)), min_importance, min_presented, min_share))
+    entries = low.agg(F.sum(F.size("nodes") + F.size("said") + 4)).first()[0] or 0
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("host"))
+    if entries <= broadcast_entries:
+        rows = rows.join(F.broadcast(low), "host", "left")
+    else:  # a host may have a third of all pages
+        salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    return attach(rows, "text", _text, "string", F.col("html"), F.col("nodes"), F.col("said")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

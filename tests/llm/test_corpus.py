@@ -169,7 +169,9 @@ def test_site_tree(spark):
 
 
 def main_text(html):
-    return " ".join(text for _, text in sitetree.weighed(html))
+    """The text of a page that is alone on its host: what presentation speaks against goes."""
+    low = {n for b in sitetree.blocks_of(html) if b.out for n in sitetree.chain_of(b.path)[-1:]} - {n for b in sitetree.blocks_of(html) if not b.out for n in sitetree.chain_of(b.path)}
+    return sitetree.text_of(html, low, set())
 
 
 def test_site_tree_keeps_pages_with_names_of_parts():
@@ -183,6 +185,49 @@ def test_site_tree_keeps_pages_with_names_of_parts():
     assert main_text("<html><head><title>t</title></head><body><nav>n</nav></body></html>") == ""
 
 
+def test_site_tree_names_that_say_more():
+    """A name that says more than a part's gives way where the element holds most of the page."""
+    for name in ("content search-results", "notice-of-results", "comments-on-war"):
+        assert main_text(f"<div class='{name}'><p>The whole text of this page</p></div><div class='cookie-banner'>Take it</div>") == "The whole text of this page"
+        assert main_text(f"<article><section id='{name}'><p>The whole text</p></section></article>") == "The whole text"
+    assert main_text("<p>The longer text of the page itself</p><div class='search-results'>a b</div><div id='comments'><p>" + "c " * 99 + "</p></div>") == "The longer text of the page itself"
+
+
+def test_site_tree_against_brute_force(spark):
+    """Importance of every node of merged pages, worked out by hand from the blocks, and what it removes."""
+    rng = random.Random(4)
+    frames = ["<nav><ul><li><a href=a>{m}</a></li></ul></nav><div class='box'><div class='x'>{a}</div><p>{b}</p></div><div class='legal'>{c}</div>", "<article><h1>{a}</h1><p>{b}</p></article><div class='legal'>{c}</div><footer>{m}</footer>"]
+    rows = [(i, f"http://h{i % 3}.org/{i}", frames[rng.random() < 0.4].format(m=rng.choice("abc"), a=f"head {rng.randint(0, 9)}", b=f"body {rng.randint(0, 30)} of the page", c=rng.choice(["same", "same", "same", f"n{i}"]))) for i in range(120)]
+    pages = spark.createDataFrame([*rows, rows[5]], "page_id long, url string, html string")
+    counts = {}
+    for host in range(3):
+        said = {}
+        for _, url, html in rows:
+            if f"//h{host}." in url:
+                blocks = sitetree.blocks_of(html)
+                by_path = {b.path: [x.text for x in blocks if x.path == b.path] for b in blocks}
+                out = {p: all(b.out for b in blocks if b.path == p) for p in by_path}
+                body = repr(sorted((p, t) for p, t in by_path.items() if p in sitetree._body({p: "\n".join(t) for p, t in by_path.items() if not out[p]})))
+                for p, t in by_path.items():
+                    said.setdefault(p, {}).setdefault(("\n".join(t), body), []).append(out[p])
+        for p, by_text in said.items():
+            n, texts = len(by_text), Counter(t for t, _ in by_text)
+            entropy = -sum(c / n * math.log2(c / n) for c in texts.values()) / math.log2(n) if n > 1 else 1.0
+            counts[f"h{host}.org", p] = n, 1 - sum(min(o) for o in by_text.values()) / n, (n * entropy + 1) / (n + 1)
+    found = {(r["host"], tuple(r["chain"])): (r["pages"], r["presented"], r["content"]) for r in sitetree.leaves(sitetree.said_of(pages)).collect()}
+    assert found.keys() == {(h, tuple(sitetree.chain_of(p))) for h, p in counts}
+    for (h, p), want in counts.items():
+        assert found[h, tuple(sitetree.chain_of(p))] == pytest.approx(want)
+    tree = {(r["host"], r["node"]): (r["presented"], r["importance"]) for r in sitetree.nodes(sitetree.leaves(sitetree.said_of(pages))).collect()}
+    for key, got in tree.items():
+        below = [c for (h, p), c in counts.items() if h == key[0] and key[1] in sitetree.chain_of(p)]
+        n = sum(c[0] for c in below)
+        assert got == pytest.approx((sum(c[0] * c[1] for c in below) / n, sum(c[0] * c[1] * c[2] for c in below) / n))
+    whole = sorted(tuple(r) for r in sitetree.extract(pages).collect())
+    assert whole == sorted(tuple(r) for r in sitetree.extract(pages, broadcast_entries=0).collect()) and len(whole) == 121
+    assert all(f"body {re.search('body ([0-9]+)', r[2])[1]} of the page" in t[2] and not re.search(r"\b[abc]\b", t[2]) for r, t in zip(sorted([*rows, rows[5]]), whole))
+
+
 def test_site_tree_raw_elements():
     for raw in ("<video-js>v</video-js>", "<svg-icon>v</svg-icon>", "<object-list>v</object-list>", "<math-field>v</math-field>"):
         assert main_text(f"<p>One</p>{raw}<p>two</p>") == "One v two"
