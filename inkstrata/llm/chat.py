@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 NARRATORS = ("system",)
 NOBODY = "unknown"
+OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrators: tuple[str, ...] = NARRATORS) -> DataFrame:
@@ -25,19 +26,26 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     own messages, nothing (0, 0) of others. Narrators keep their role in every rendering and
     have no perspective; a conversation of narrators alone gives no rows.
 
-    A null speaker is the participant ``unknown``, null text is empty, null conversation
-    ids are one conversation. Turns with equal numbers and repeated rows all come back.
-    Other columns are left out. An empty table gives no rows.
+    A null speaker is a participant without a name: another than any that is called ``unknown``,
+    and null as a perspective. Breaks in a speaker's name are spaces in a rendering. Marks that
+    open or close a message are taken apart where they stand in a text (``<|`` becomes ``< |``),
+    so that no text can end its message. Null text is empty, null conversation ids are one
+    conversation. Turns with equal numbers are in the order of speaker (null first) and text,
+    which ``messages`` puts them in; repeated rows all come back. Other columns are left out. An
+    empty table gives no rows.
     """
-    speaker = F.coalesce(F.col(speaker_col).cast("string"), F.lit(NOBODY))
-    lines = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), speaker.alias("speaker"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    seats = lines.where(~F.col("speaker").isin(*narrators)).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    for mark in (OPEN, CLOSE):
+        text = F.replace(text, F.lit(mark), F.lit(mark.replace("<|", "< |")))
+    lines = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(speaker_col).cast("string").alias("speaker"), text.alias("text"))
+    narrates = F.coalesce(F.col("speaker").isin(*narrators), F.lit(False))
+    seats = lines.where(~narrates).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
     seen = lines.join(seats, lines["conv_id"].eqNullSafe(seats["_conv"]))
-    own = F.col("speaker") == F.col("perspective")
-    role = F.when(F.col("speaker").isin(*narrators), F.col("speaker")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
-    name = F.when(role == "user", F.col("speaker"))
-    head = F.concat(F.lit("<|im_start|>"), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
-    tail = "<|im_end|>\n"
+    own = ~narrates & F.col("speaker").eqNullSafe(F.col("perspective"))
+    role = F.when(narrates, F.col("speaker")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
+    name = F.when(role == "user", F.regexp_replace(F.coalesce("speaker", F.lit(NOBODY)), r"[\r\n]+", " "))
+    head = F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
+    tail = CLOSE + "\n"
     zero = F.lit(0).cast("long")
     return seen.select(
         "conv_id",
@@ -51,14 +59,23 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     )
 
 
+def messages(rotated: DataFrame) -> DataFrame:
+    """A rotation's messages in the order of each dialogue as one participant sees it.
+
+    A sort over all rows, dealt out by range, so a long dialogue is never one task's alone;
+    written as it is, each file holds stretches of dialogues in order.
+    """
+    return rotated.orderBy("conv_id", "perspective", "turn", F.col("name").asc_nulls_first(), "rendered")
+
+
 ROTATE_SQL = """
 WITH lines AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
-seats AS (SELECT DISTINCT conv_id AS conv, speaker AS perspective FROM lines WHERE speaker NOT IN ('system')),
+  SELECT conv_id, turn, role AS speaker, replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS text FROM conversations),
+seats AS (SELECT DISTINCT conv_id AS conv, speaker AS perspective FROM lines WHERE speaker IS DISTINCT FROM 'system'),
 seen AS (
   SELECT conv_id, perspective, turn, text,
-    CASE WHEN speaker IN ('system') THEN speaker WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
-    CASE WHEN speaker NOT IN ('system') AND speaker <> perspective THEN speaker END AS name
+    CASE WHEN speaker = 'system' THEN speaker WHEN speaker IS NOT DISTINCT FROM perspective THEN 'assistant' ELSE 'user' END AS role,
+    CASE WHEN speaker IS DISTINCT FROM 'system' AND speaker IS DISTINCT FROM perspective THEN regexp_replace(coalesce(speaker, 'unknown'), '[\\r\\n]+', ' ', 'g') END AS name
   FROM lines JOIN seats ON conv_id IS NOT DISTINCT FROM conv),
 heads AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM seen)
 SELECT conv_id, perspective, turn, role, name, head || text || '<|im_end|>' || chr(10) AS rendered,

@@ -7,9 +7,11 @@ hold the patterns that end in the same words, and a bucket's members are compare
 directly. Word numbers, not characters, are the alphabet; a word that no pattern has is
 number 0, so two words that are rare together always allow the longest jump.
 
-Documents never move: the tables are broadcast block by block, each block of at most
-``max_windows`` windows, and the documents pass through all blocks in one narrow stage
-each. The number of blocks follows the benchmark, so no broadcast grows with the data.
+Documents never move: the tables are built and broadcast block by block, each of at most about
+``max_windows`` windows, and the documents pass in one narrow stage. A text is split once for all the
+tables of a group of ``at_once`` windows; a larger benchmark has several groups, one after
+another in the same stage, and their results are united. The number of blocks follows the
+benchmark, so no broadcast grows with the data.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .common import attach, bytes_of, cut_lineage, unused, utf8
 
 WINDOW = 10
 SUFFIX = 4
+MAX_WINDOWS = 50_000  # of a table, which is what the driver holds at a time
+AT_ONCE = 100_000  # windows held together by a worker, 150 MB
 RESULT = "n_words long, spans array<struct<first:int,last:int>>, items array<string>"
 
 #: Word bytes after lower-casing A-Z are digits, a-z and everything beyond ASCII.
@@ -96,17 +100,17 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(table):
-    def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        patterns = table.value
-        for texts, before in batches:
+def _scan(tables):
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        patterns = [t.value for t in tables]
+        for texts in batches:
             counts, spans, items = [], [], []
-            for text, old in zip(bytes_of(texts), before.to_pylist(), strict=True):
+            for text in bytes_of(texts):
                 words = words_of(text)
-                hit, found = patterns.search(words)
-                if old:
-                    hit = merged(hit + [(x["first"], x["last"]) for x in old["spans"]])
-                    found |= set(old["items"])
+                hit, found = patterns[0].search(words)
+                for p in patterns[1:]:
+                    more, others = p.search(words)
+                    hit, found = merged(hit + more), found | others
                 counts.append(len(words))
                 spans.append([{"first": a, "last": b} for a, b in hit])
                 items.append(sorted(found))
@@ -129,7 +133,7 @@ def benchmark_windows(items: DataFrame, window: int, item_col: str, text_col: st
     return attach(narrow, "windows", cut, "array<binary>", F.col("text")).select(F.explode("windows").alias("window"), "item").distinct()
 
 
-def scan(docs: DataFrame, items: DataFrame, into: str = "contamination", *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_windows: int = 200_000) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, into: str = "contamination", *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS, at_once: int = AT_ONCE) -> DataFrame:
     """Add struct column ``into`` (n_words, spans, items) to every row of ``docs``.
 
     ``spans`` are word ranges [first, last) inside occurrences of a benchmark window,
@@ -142,17 +146,34 @@ def scan(docs: DataFrame, items: DataFrame, into: str = "contamination", *, text
     spark = docs.sparkSession
     found = cut_lineage(benchmark_windows(items, window, item_col, item_text_col))
     blocks = max(1, -(-found.count() // max_windows))
-    state = unused(docs, "_scan")
-    out = docs.withColumn(state, F.lit(None).cast(f"struct<{RESULT.replace('n_words long', 'n_words:bigint').replace('spans array', 'spans:array').replace('items array', 'items:array')}>"))
+    tables: list = []
+    parts: list[str] = []
+    out, size = docs, 0
     for block in range(blocks):
         windows: dict[bytes, list[str]] = {}
-        part = found if blocks == 1 else found.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == block)
+        part = found if blocks == 1 else found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
         for row in part.toLocalIterator():
             windows.setdefault(bytes(row["window"]), []).append(row["item"])
-        table = spark.sparkContext.broadcast(Patterns(windows))
-        out = attach(out, state, _scan(table), RESULT, utf8(text_col), F.col(state))
-    out = out.withColumn(into, F.col(state))
-    return out.drop(state)
+        tables.append(spark.sparkContext.broadcast(Patterns(windows)))
+        size += len(windows)
+        if size >= at_once or block == blocks - 1:  # these tables are held together, and texts are split once for all of them
+            parts.append(unused(out, "_scan"))
+            out = attach(out, parts[-1], _scan(tables), RESULT, utf8(text_col))
+            tables, size = [], 0
+    if len(parts) == 1:
+        return out.withColumn(into, F.col(parts[0])).drop(parts[0])
+    whole = attach(out, parts[0], _united, RESULT, F.array(*[F.col(p) for p in parts]))
+    return whole.withColumn(into, F.col(parts[0])).drop(*parts)
+
+
+def _united(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Results of several groups of tables as one."""
+    for batch in batches:
+        rows = []
+        for results in batch.to_pylist():
+            spans = merged([(x["first"], x["last"]) for r in results for x in r["spans"]])
+            rows.append({"n_words": results[0]["n_words"], "spans": [{"first": a, "last": b} for a, b in spans], "items": sorted({i for r in results for i in r["items"]})})
+        yield pa.array(rows, batch.type.value_type)
 
 
 def report(scanned: DataFrame, id_col: str = "doc_id", column: str = "contamination") -> DataFrame:

@@ -6,10 +6,9 @@ two boundary marks): 4-grams where they are known, else the 3-gram, 2-gram or si
 character at that place; the word then counts the mean over its places.
 
 The model is fitted on a bounded sample: ``max_rows`` expected rows of each language,
-taken by a hash of the id, whole texts, and of these the ``max_words`` most frequent words
-of each language (the n-grams are counted over all sampled words). Both bounds are
-parameters, so what is broadcast does not grow with the corpus. Prediction is one narrow
-stage over every text.
+taken by a hash of the id, whole texts and all their words. The bound is a parameter, so
+what is broadcast does not grow with the corpus. Prediction is one narrow stage over every
+text.
 """
 
 from __future__ import annotations
@@ -48,11 +47,11 @@ def grams_of(word: str) -> list[list[str]]:
 class Model:
     """Log probabilities of words and n-grams: a row number for each, and a row of numbers by language."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], max_words: int, alpha: float = 0.5):
+    def __init__(self, counts: dict[str, dict[str, int]], alpha: float = 0.5):
         self.langs = sorted(counts)
         k, lists = len(self.langs), []  # by language: words, then n-grams of 1, 2, ... characters
         for lang in self.langs:
-            tables: list[Counter] = [Counter(dict(sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:max_words])), *(Counter() for _ in range(GRAMS))]
+            tables: list[Counter] = [Counter(counts[lang]), *(Counter() for _ in range(GRAMS))]
             for word, n in counts[lang].items():
                 for place in grams_of(word):
                     for g in place:
@@ -113,18 +112,16 @@ class Model:
         return found
 
 
-def fit(docs: DataFrame, labelled: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 500, max_words: int = 50_000, max_langs: int = 200) -> Model:
+def fit(docs: DataFrame, labelled: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 500) -> Model:
     """A model of the rows where ``labelled`` holds and neither text nor language is null.
 
-    More than ``max_langs`` languages are refused. No labelled row: a model that knows no
-    language and calls every text ``und``.
+    Every language that a row is labelled with is learned. No labelled row: a model that knows
+    no language and calls every text ``und``.
     """
     rows = docs.where(labelled & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
-    if len(sizes) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model({}, max_words)
+        return Model({})
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_rows / n))).otherwise(share)
@@ -142,7 +139,7 @@ def fit(docs: DataFrame, labelled: Column, *, id_col: str = "doc_id", text_col:
     counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
     for r in counted.toLocalIterator():
         counts[r["lang"]][r["word"]] = r["n"]
-    return Model(counts, max_words)
+    return Model(counts)
 
 
 def predict(docs: DataFrame, model: Model, into: str = "language", text_col: str = "text") -> DataFrame:

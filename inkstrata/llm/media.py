@@ -78,8 +78,17 @@ def feature_of(samples: bytes) -> str:
     return f"mean={int(x.sum(dtype=np.int64)) * 1000 // len(x)};hist=" + ",".join(map(str, np.bincount(x >> 4, minlength=16)))
 
 
+BLOCKS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "section", "article", "blockquote", "tr")
+# What ends a caption whose own end is missing.
+AFTER_CAPTION = ("figure", "section", "article", "main", "body", "html")
+
+
 class _Items(HTMLParser):
-    """Ordered text and media items; a figure's caption goes to the media inside it."""
+    """Ordered text and media items; a figure's caption goes to the media inside it.
+
+    A caption ends at its own end tag, or at the end or beginning of what can't be in one. One
+    that belongs to no media is text.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -88,6 +97,34 @@ class _Items(HTMLParser):
         self.hidden = 0
         self.figure: int | None = None
         self.caption: list[str] | None = None
+        self.said: str | None = None  # the caption of a figure whose media may follow
+
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        text, self.caption = " ".join("".join(self.caption).split()), None
+        if not text:
+            return
+        media = [x for x in self.items[self.figure :] if x["kind"] == "media"] if self.figure is not None else []
+        for item in media:
+            item["caption"] = text
+        if not media and self.figure is not None:
+            self.said = text
+        elif not media:
+            self.words.append(text)
+            self.end_text()
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.end_text()
+        media = [x for x in self.items[self.figure :] if x["kind"] == "media"] if self.figure is not None else []
+        if self.said is not None:
+            for item in media:
+                item["caption"] = self.said
+            if not media:
+                self.words.append(self.said)
+                self.end_text()
+        self.figure = self.said = None
 
     def end_text(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -96,13 +133,16 @@ class _Items(HTMLParser):
             self.items.append({"position": len(self.items), "kind": "text", "text": text, "digest": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
+        if tag in AFTER_CAPTION:
+            self.end_caption()
         if tag in ("script", "style"):
             self.hidden += 1
         elif tag == "figcaption":
+            self.end_caption()
             self.end_text()
             self.caption = []
         elif tag == "figure":
-            self.end_text()
+            self.end_figure()
             self.figure = len(self.items)
         elif tag in ("img", "audio", "video", "source"):
             at = dict(attrs)
@@ -110,23 +150,23 @@ class _Items(HTMLParser):
             if src:
                 self.end_text()
                 self.items.append({"position": len(self.items), "kind": "media", "text": None, "digest": src.removeprefix(SCHEME) if src.startswith(SCHEME) else None, "caption": at.get("alt") or None})
-        elif tag in ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "section", "article", "blockquote", "tr"):
-            self.end_text()
-        elif tag == "br":
-            self.words.append(" ")
+        elif tag in BLOCKS or tag == "br":
+            (self.words if self.caption is None else self.caption).append(" ")
+            if tag != "br":
+                self.end_text()
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figure if self.figure is not None else len(self.items) :]:
-                if item["kind"] == "media":
-                    item["caption"] = text
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
-            self.end_text()
-            self.figure = None
-        elif tag in ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "section", "article", "blockquote", "tr"):
+            self.end_figure()
+        elif tag in AFTER_CAPTION or tag in BLOCKS:
+            if tag in AFTER_CAPTION:
+                self.end_caption()
+            elif self.caption is not None:
+                self.caption.append(" ")
             self.end_text()
 
     def handle_data(self, data):
@@ -138,7 +178,7 @@ def items_of(html: str) -> list[dict]:
     parser = _Items()
     parser.feed(html)
     parser.close()
-    parser.end_text()
+    parser.end_figure()
     return parser.items
 
 

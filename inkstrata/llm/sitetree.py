@@ -366,7 +366,10 @@ def low_parts(said: DataFrame, min_importance: float = MIN_IMPORTANCE, min_prese
     leaf = leaves(said)
     branches = nodes(leaf).where(F.col("presented") < min_presented).select("host", "node", F.lit(None).cast("bigint").alias("said"))
     poor = leaf.where((F.col("presented") >= min_presented) & (F.col("presented") * F.col("content") < min_importance)).select("host", "chain", "pages")
-    repeated = said.where("n > 1").join(poor, ["host", "chain"]).where(F.col("n") >= F.lit(min_share) * F.col("pages"))
+    # A leaf of a large host has many texts, so they are dealt out by a salt too.
+    salted = poor.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    texts = said.where("n > 1").withColumn("salt", F.pmod("said", F.lit(SALTS)).cast("int"))
+    repeated = texts.join(salted, ["host", "chain", "salt"]).where(F.col("n") >= F.lit(min_share) * F.col("pages"))
     both = branches.unionByName(repeated.select("host", F.lit(None).cast("bigint").alias("node"), "said"))
     return both.groupBy("host").agg(F.collect_set("node").alias("nodes"), F.collect_set("said").alias("said"))
 

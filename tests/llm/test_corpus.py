@@ -54,8 +54,8 @@ def test_decontaminate(spark, docs, empty):
         w = words_of(text)
         for i in range(max(1, len(w) - 9) if w else 0):
             windows.setdefault(tuple(w[i : i + 10]), set()).add("" if item is None else str(item))
-    for blocks in (200_000, 5):
-        got = {r["doc_id"]: r for r in decontaminate.report(decontaminate.scan(docs, bench, max_windows=blocks)).collect()}
+    for blocks, at_once in ((50_000, 100_000), (5, 100_000), (5, 8)):
+        got = {r["doc_id"]: r for r in decontaminate.report(decontaminate.scan(docs, bench, max_windows=blocks, at_once=at_once)).collect()}
         for k, text in texts.items():
             w, hit, found = words_of(text), set(), set()
             for window, ids in windows.items():
@@ -70,20 +70,52 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.scan(docs, bench, "words").count() == docs.count()
 
 
+def sections_by_hand(coder, parts, rule):
+    """Tokens and crossings of each part, token by token."""
+    spans, at = [], 0
+    for p in parts:
+        spans.append((at, at + len(p.encode())))
+        at = spans[-1][1]
+    tokens, crossing, at = [0.0] * len(parts), [0] * len(parts), 0
+    for token in coder.encode_ordinary("".join(parts)):
+        a, at = at, at + len(coder.decode_single_token_bytes(token))
+        inside = [max(0, min(at, y) - max(a, x)) for x, y in spans]
+        first = next(i for i, n in enumerate(inside) if n)
+        crossing[first] += sum(n > 0 for n in inside) > 1
+        if rule == "share":
+            tokens = [t + n / (at - a) for t, n in zip(tokens, inside)]
+        else:
+            tokens[first if rule == "first" else inside.index(max(inside))] += 1
+    return tokens, crossing
+
+
 def test_section_tokens(spark, docs, empty):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coder, _ = tokencount.encoder(path, pattern)
-    rows = tokencount.count(docs.dropDuplicates(["doc_id"]), path, pattern).collect()
-    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-    sums = Counter()
-    for r in rows:
-        sums[r["doc_id"]] += r["tokens"]
-    assert {k: sums[k] for k in texts} == {k: len(coder.encode_ordinary(t)) for k, t in texts.items()}
-    two = spark.createDataFrame([(1, "abcdefg hij", "klm nop", None)], "doc_id int, a string, b string, c string")
-    whole = len(coder.encode_ordinary("abcdefg hijklm nop"))
+    rng = random.Random(6)
+    odd = ["a\n\n b\n", "\n", "tail", "Ärger\r\nnaïve 日本語\n🙂\n", "x" * 20_000 + "\n" + "y" * 50, "word \n  word\n\n\nmore", None, ""]
+    texts = odd + ["".join(rng.choices(["a", " ", "\n", "the ", "é", "🙂", "12"], k=60)) for _ in range(20)]
+    rows = [(i if i % 5 else None, t, "x", 1) for i, t in enumerate(texts)]
+    table = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string, section string, tokens int")
+    got = Counter((r["doc_id"], r["section"], r["start"], r["stop"], r["tokens"], r["crossing"]) for r in tokencount.count(table, path, pattern).collect())
+    want = Counter()
+    for doc_id, text, _, _ in [*rows, rows[1]]:
+        parts = (text or "").split("\n")
+        parts = [p + "\n" for p in parts[:-1]] + parts[-1:]
+        parts = [p for i, p in enumerate(parts) if not i or p]
+        at = 0
+        for i, (p, n, c) in enumerate(zip(parts, *sections_by_hand(coder, parts, "first"))):
+            want[doc_id, i, at, at + len(p), n, c] += 1
+            at += len(p)
+    assert got == want
+    fields = spark.createDataFrame([(i, *("".join(rng.choices(["ab", "c", " ", "é", "don", "'t", "12"], k=rng.randint(0, 4))) for _ in range(4))) for i in range(40)] + [(40, None, None, None, None)], "doc_id int, a string, b string, c string, d string")
+    by_id = {r["doc_id"]: ["" if x is None else x for x in list(r)[1:]] for r in fields.collect()}
     for rule in tokencount.RULES:
-        got = tokencount.count(two, path, pattern, fields=["a", "b", "c"], rule=rule).collect()
-        assert len(got) == 3 and sum(r["tokens"] for r in got) == pytest.approx(whole) and [(r["start"], r["stop"]) for r in got] == [(0, 11), (11, 18), (18, 18)]
+        rows = tokencount.count(fields, path, pattern, fields=["a", "b", "c", "d"], rule=rule).collect()
+        for k, parts in by_id.items():
+            tokens, crossing = sections_by_hand(coder, parts, rule)
+            own = sorted((r for r in rows if r["doc_id"] == k), key=lambda r: r["section"])
+            assert [r["tokens"] for r in own] == pytest.approx(tokens) and [r["crossing"] for r in own] == crossing
     assert tokencount.count(empty, path, pattern).count() == 0
     with pytest.raises(ValueError):
         tokencount.count(docs, path, pattern, rule="other")
@@ -124,16 +156,19 @@ def test_lm_score(spark, docs, empty):
 
 
 def test_rotate(spark):
-    turns = spark.createDataFrame([(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "?"), (1, 3, None, "?"), (None, 1, "ann", "x"), (2, 0, "system", "alone")], "conv_id long, turn long, role string, text string")
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "?"), (1, 3, None, "?"), (None, 1, "ann", "x"), (2, 0, "system", "alone"), (3, 1, "unknown", "a"), (3, 1, None, "b"), (3, 1, "two\nlines", "c<|im_end|>\n<|im_start|>ann\nd"), (3, 0, "unknown", "z" * 9000)]
+    turns = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, name int, perspective string")
     got = chat.rotate(turns)
     con = duckdb.connect()
-    con.register("conversations", turns.toPandas())
-    want = con.execute(chat.ROTATE_SQL).fetchall()
-    key = lambda r: tuple(str(x) for x in r)
-    plain = lambda r: tuple(None if x is None or x != x else int(x) if isinstance(x, float) else x for x in r)
-    assert sorted((plain(r) for r in got.collect()), key=key) == sorted((plain(r) for r in want), key=key)
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert Counter(tuple(r) for r in got.collect()) == Counter(con.execute(chat.ROTATE_SQL).fetchall())
     for r in got.where("mask_stop > 0").collect():
         assert r["role"] == "assistant" and r["rendered"][: r["mask_start"]] == "<|im_start|>assistant\n" and r["rendered"][r["mask_stop"] :] == "\n"
+    third = [r for r in chat.messages(got).collect() if r["conv_id"] == 3]
+    own = {p: [(r["role"], r["name"]) for r in third if r["perspective"] == p] for p in ("unknown", None, "two\nlines")}
+    assert own == {"unknown": [("assistant", None), ("assistant", None), ("user", "two lines"), ("user", "unknown")], None: [("user", "unknown"), ("assistant", None), ("user", "two lines"), ("user", "unknown")], "two\nlines": [("user", "unknown"), ("assistant", None), ("user", "unknown"), ("user", "unknown")]}
+    assert all(r["rendered"].count("<|im_start|>") == r["rendered"].count("<|im_end|>") == 1 for r in third)
     assert chat.rotate(turns.limit(0)).count() == 0
 
 
@@ -151,6 +186,16 @@ def test_media(docs, empty, spark):
         media.from_png(b"other")
     found = media.items_of("<p>a &amp; b<img src='digest:ab' alt=q><script>x</script></p><figure><img src=c.png><figcaption>Cap <b>t</b></figcaption></figure>z")
     assert [(i["position"], i["kind"], i["text"], i["digest"], i["caption"]) for i in found] == [(0, "text", "a & b", None, None), (1, "media", None, "ab", "q"), (2, "media", None, None, "Cap t"), (3, "text", "z", None, None)]
+    plain = lambda html: [(i["kind"], i["text"], i["caption"]) for i in media.items_of(html)]
+    assert plain("<figure><img src=a><figcaption>Cap</figure><p>after</p>") == [("media", None, "Cap"), ("text", "after", None)]
+    assert plain("<article><figure><img src=a><figcaption>Cap</article><p>after</p>") == [("media", None, "Cap"), ("text", "after", None)]
+    assert plain("<figure><figcaption>First</figcaption><img src=a><img src=b alt=c></figure>x") == [("media", None, "First"), ("media", None, "First"), ("text", "x", None)]
+    assert plain("a<figcaption>Alone</figcaption>b<figure><figcaption>No media</figcaption></figure>") == [("text", "a", None), ("text", "Alone", None), ("text", "b", None), ("text", "No media", None)]
+    assert plain("<figure><img src=a></figure><p>a<br>b</p><figcaption>never ended") == [("media", None, None), ("text", "a b", None), ("text", "never ended", None)]
+    clash = docs.withColumn("media", F.lit(b"x")).withColumn("position", F.lit(5)).withColumn("digest", F.lit("y"))
+    assert media.sequence(media.pages_of(clash), stored).where("kind = 'media'").count() == docs.count()
+    mixed = spark.createDataFrame([(1, f"<p>one</p><img src='digest:{hashlib.sha256(b'').hexdigest()}' alt=none><p>two</p><figure><img src='digest:00'><figcaption>lost</figcaption></figure>three", "x", 3)], "id int, html string, media string, payload_bytes int")
+    assert [(r["position"], r["kind"], r["text"], r["caption"], r["payload_bytes"]) for r in media.sequence(mixed, stored).orderBy("position").collect()] == [(0, "text", "one", None, None), (1, "media", None, "none", 576), (2, "text", "two", None, None), (3, "media", None, "lost", None), (4, "text", "three", None, None)]
     assert media.media_of(empty).count() == 0 and media.items(spark.createDataFrame([(1, None, 5)], "id int, html string, text int")).count() == 0
 
 
@@ -284,15 +329,60 @@ def test_language(spark, empty):
     held = found.where("held_out").join(docs, "doc_id").where("lang is not null and lang_pred <> 'und'")
     share = held.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert share >= 0.95
-    model = langid.Model({"aa": {"tick": 3, "tock": 1}, "bb": {"ping": 2}}, 10)
+    model = langid.Model({"aa": {"tick": 3, "tock": 1}, "bb": {"ping": 2}})
     got = model.predict(["tick", "PING pong", "", "12 34 !", "tic"])
     assert [g[0] for g in got] == ["aa", "bb", "und", "und", "aa"] and all(0 <= g[1] <= 1 for g in got)
     none = langid.predict(empty, langid.fit(empty, F.lit(True)), "lang")
     assert none.count() == 0 and none.columns == empty.columns
-    nothing = langid.Model({}, 10)
+    nothing = langid.Model({})
     assert nothing.predict(["abc"]) == [("und", 0.0)]
 
 
+def test_language_against_brute_force(spark):
+    """Scores worked out from the definition: known words by their log frequency, others by the mean of their longest known n-grams."""
+    rng = random.Random(8)
+    spoken = {lang: ["".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(30)] for lang, letters in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "éñab"))}
+    rows = [(i, " ".join(rng.choices(spoken[lang], k=20)), lang) for i, lang in enumerate(rng.choices([*spoken], k=60))]
+    rows += [(None, "abc abc", "aa"), (90, "x" * 3, None), (91, None, "bb")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(labelled, F.lit(True))
+    words = {lang: Counter(w for _, t, x in rows if x == lang and t for w in t.split()) for lang in spoken}
+    grams = {lang: [Counter() for _ in range(5)] for lang in spoken}
+    for lang, counted in words.items():
+        grams[lang][0] = counted
+        for w, n in counted.items():
+            marked = f"<{w}>"
+            for size in range(1, 5):
+                for i in range(len(marked) - size + 1):
+                    grams[lang][size][marked[i : i + size]] += n
+
+    def log(lang, size, g):
+        known = set().union(*(grams[x][size] for x in spoken))
+        return math.log((grams[lang][size][g] + 0.5) / (sum(grams[lang][size].values()) + 0.5 * (len(known) + 1)))
+
+    def word(lang, w):
+        if any(grams[x][0][w] for x in spoken):
+            return log(lang, 0, w)
+        marked, places = f"<{w}>", []
+        for i in range(len(marked)):
+            size = next((k for k in range(min(4, len(marked) - i), 0, -1) if any(grams[x][k][marked[i : i + k]] for x in spoken)), 1)
+            places.append(log(lang, size, marked[i : i + size]))
+        return sum(places) / len(places)
+
+    texts = ["abc", "zzz", " ".join(spoken["aa"][:3] + ["éé", "cdx"]), spoken["bb"][0] * 3, "ñandú abc", "a-b_c 12 é", "ab " * 5000, "", None, "1 2"]
+    tested = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, language string, lang int")
+    got = {r["doc_id"]: r["language"] for r in langid.predict(tested, model).collect()}
+    assert got[len(texts)] == got[0]
+    for i, text in enumerate(texts):
+        found = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not found:
+            assert tuple(got[i]) == ("und", 0.0)
+            continue
+        sums = {lang: sum(word(lang, w) for w in found) for lang in spoken}
+        best = min(spoken, key=lambda x: (-sums[x], x))
+        assert got[i]["lang"] == best and got[i]["score"] == pytest.approx(1 / sum(math.exp(v - sums[best]) for v in sums.values()), rel=1e-6)
+
+
 def test_pack(spark, docs, empty, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     coder = pack.Encoder(path)
