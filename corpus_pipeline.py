@@ -6,15 +6,13 @@ shared folder and read again. Rejected documents are gone for the stages after.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstrata.llm import decontaminate, langid, pack, simhash
-from inkstrata.llm.common import table
+from inkstrata.llm.common import shared_folder, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +33,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, packed by power-of-two decomposition."""
+    import public_tokenizers
+
     return pack.report(pack.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
@@ -45,8 +45,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    work, docs = f"{shared}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    """The rows of the last stage over ``documents``. What the others keep stays in the shared folder, as those rows are read from it."""
+    work, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{work}/{name}")
         docs = spark.read.parquet(f"{work}/{name}")
