@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import found, let, quoted, substitute
+from .text import found, gaps_and_matches, let, quoted
 
 # The spans that are protected, in order of priority, and the placeholder's form.
 URL = r"(?:https?://|mailto:)[^\s<>()。！？；，、\u3000-\u303f\u2018-\u201f\uff00-\uffef]+"
@@ -68,15 +68,18 @@ def prefix_of(text: Column) -> Column:
 def protect(text: Column, terms: Sequence[str] = ()) -> Column:
     """(text, prefix, replacements (placeholder, value, ordered)) of a text; null for null."""
 
-    def made(prefix: Column) -> Column:
+    def made(x: Column) -> Column:
+        prefix, pieces = x["prefix"], x["pieces"]
+
         def placeholder(i: Column) -> Column:
             return F.concat(prefix, F.format_string("%05d", i), F.lit("__"))
 
-        swapped = substitute(text, span_pattern(terms), lambda m, i: placeholder(i))
-        kept = F.transform(spans(text, terms), lambda m, i: F.struct(placeholder(i).alias("placeholder"), m.alias("value"), (~may_move(m, terms)).alias("ordered")))
+        swapped = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, placeholder(F.floor(i / 2).cast("int"))).otherwise(p)), "")
+        values = F.filter(pieces, lambda p, i: i % 2 == 1)
+        kept = F.transform(values, lambda m, i: F.struct(placeholder(i).alias("placeholder"), m.alias("value"), (~may_move(m, terms)).alias("ordered")))
         return F.struct(swapped.alias("text"), prefix.alias("prefix"), kept.alias("replacements"))
 
-    return F.when(text.isNotNull(), let(prefix_of(text), made))
+    return F.when(text.isNotNull(), let(F.struct(prefix_of(text).alias("prefix"), gaps_and_matches(text, span_pattern(terms)).alias("pieces")), made))
 
 
 def restore(translated: Column, protected: Column) -> Column:

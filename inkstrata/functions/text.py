@@ -39,6 +39,18 @@ def found(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def gaps_and_matches(c: Column, pattern: str) -> Column:
+    """What lies before the first match, the match, and so on in turn, to what lies after the last.
+
+    The pattern runs once: it sets a control character around each match, at which the text is
+    then split. A text that has that character itself is matched twice over instead.
+    """
+    mark = "\x01"
+    once = F.split(F.regexp_replace(c, pattern, f"{mark}$0{mark}"), mark, -1)
+    twice = F.flatten(F.zip_with(F.split(c, pattern, -1), found(c, pattern), lambda g, m: F.when(m.isNull(), F.array(g)).otherwise(F.array(g, m))))
+    return F.when(c.contains(mark), twice).otherwise(once)
+
+
 def substitute(c: Column, pattern: str, fn: Callable[..., Column]) -> Column:
     """Each match replaced by ``fn`` of it (and of its number, if ``fn`` takes two arguments).
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from inkstrata.functions import cleanup, markdown, protect, pseudocode, validate
 from inkstrata.functions.text import strip
-from inkstrata.operators import assets, figures, jobs, segment, tables
+from inkstrata.operators import assets, figures, jobs, multisets, segment, tables
 from inkstrata.sources import readers
 
 TERMS = ("the", "data")
@@ -56,7 +56,8 @@ def md_blocks(spark, sf_dir):
 
 def fence_blocks(spark, sf_dir):
     docs = _rendered(spark, sf_dir, F.concat(F.lit("row "), F.col("l_partkey"), F.lit("\n\n")), "```text\n", "```\n\nend\n")
-    return segment.document_blocks(docs).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.col("text").startswith("```").cast("int")).cast("long").alias("n_fences"))
+    fenced = F.col("text").startswith("```")
+    return segment.document_blocks(docs).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if(fenced).alias("n_fences"), F.max(F.when(fenced & (F.col("blk") == 0), F.sha2("text", 256))).alias("fence_sha256"))
 
 
 def heading_levels(spark, sf_dir):
@@ -84,7 +85,7 @@ def pipe_tables(spark, sf_dir):
 def html_tables(spark, sf_dir):
     docs = _rendered(spark, sf_dir, F.concat(F.lit("<tr><td>"), F.col("l_partkey"), F.lit("</td></tr>")), "A\n<table><caption>Parts</caption>", "</table>\nB")
     parts = segment.document_parts(docs)
-    return parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("translatable"), F.trim(F.translate("text", "\n", " "))))), ",").alias("free"), F.max(F.regexp_count("text", F.lit("<td>"))).cast("long").alias("n_cells"))
+    return parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("translatable"), F.trim(F.translate("text", "\n", " "))))), ",").alias("free"), F.max(F.regexp_count("text", F.lit("<td>"))).cast("long").alias("n_cells"), F.max(F.when(F.col("text").contains("<td>"), F.sha2("text", 256))).alias("rows_sha256"))
 
 
 def table_images(spark, sf_dir):
@@ -122,9 +123,10 @@ def protected_spans(spark, sf_dir):
 
 def protect_restore(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(_table(spark, sf_dir, "pages").select(F.lit("p").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")))
-    kept = docs.where("text is not null").select("kind", "id", "text", F.explode(F.array(protect.protect(F.col("text")))).alias("p"))
+    kept = docs.select("kind", "id", F.explode(F.array(protect.protect(F.col("text")))).alias("p"))
     back = protect.restore(F.col("p")["text"], F.col("p"))
-    return kept.select("kind", "id", (back["text"] == F.col("text")).alias("same"))
+    left = F.size(F.col("p")["replacements"]) - F.regexp_count(F.col("p")["text"], F.lit(r"__MDT_[0-9A-F]{10}_[0-9]{5}__"))
+    return kept.select("kind", "id", F.col("p")["prefix"].alias("prefix"), left.cast("long").alias("unplaced"), F.sha2(back["text"], 256).alias("restored_sha256"))
 
 
 def strong_parity(spark, sf_dir):
@@ -138,17 +140,14 @@ def term_protection(spark, sf_dir):
 
 
 def multiset_diff(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("text is not null")
-    words = docs.select("doc_id", F.explode(F.split("text", r"[ \n]+")).alias("w")).where("w <> ''")
-    a = words.groupBy("doc_id", "w").agg(F.count("*").alias("a"))
-    b = words.select("doc_id", F.lower("w").alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("b"))
-    both = a.join(b, ["doc_id", "w"], "full")
-    n = F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))
-    return both.groupBy("doc_id").agg(F.sum(F.greatest(n, F.lit(0))).alias("lost"), F.sum(F.greatest(-n, F.lit(0))).alias("new"))
+    docs = _table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", F.explode(F.split("text", r"[ \n]+")).alias("value")).where("value <> ''")
+    found = multisets.difference(words, words.select("doc_id", F.lower("value").alias("value"))).groupBy("doc_id").agg(F.sum("lost").alias("lost"), F.sum("new").alias("new"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("new", F.lit(0)).alias("new"))
 
 
 def url_ends(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").where("url is not null").select("page_id", F.concat(F.lit("see "), F.col("url"), F.lit(" now")).alias("s"), F.concat(F.lit("siehe "), F.col("url"), F.lit("和 jetzt")).alias("t"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("see "), F.col("url"), F.lit(" now")).alias("s"), F.concat(F.lit("siehe "), F.col("url"), F.lit("和 jetzt")).alias("t"))
     return pages.select("page_id", cleanup.with_url_ends(F.col("s"), F.col("t")).alias("fixed"))
 
 

@@ -30,11 +30,11 @@ LINES = "(SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), c
 SQL = {
     "doc_lines": f"SELECT doc_id, count(*) AS n_lines, (SELECT length(text) FROM documents d WHERE d.doc_id = x.doc_id) AS n_chars FROM {LINES} x GROUP BY doc_id",
     "md_blocks": "SELECT l_orderkey AS doc_id, count(*) AS n_blocks, sum(length('Part ' || l_partkey || chr(10) || 'qty ' || l_quantity::INT || chr(10) || chr(10)))::BIGINT AS n_chars FROM lineitem GROUP BY 1",
-    "fence_blocks": "SELECT DISTINCT l_orderkey AS doc_id, 2::BIGINT AS n_blocks, 1::BIGINT AS n_fences FROM lineitem",
+    "fence_blocks": f"WITH {LI} SELECT l_orderkey AS doc_id, 2::BIGINT AS n_blocks, 1::BIGINT AS n_fences, sha256('```text' || chr(10) || string_agg('row ' || l_partkey || chr(10) || chr(10), '' ORDER BY i) || '```' || chr(10) || chr(10)) AS fence_sha256 FROM li GROUP BY 1",
     "heading_levels": "SELECT n_regionkey::BIGINT AS doc_id, '1' || repeat(',2', count(*)::INT) AS levels, 'Region,' || string_agg(n_name, ',' ORDER BY n_name) AS titles FROM nation GROUP BY n_regionkey",
     "reference_scope": f"WITH {LI}, s AS (SELECT l_orderkey, coalesce(last_value(CASE WHEN l_returnflag IN ('R', 'A') THEN l_returnflag END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY i ROWS UNBOUNDED PRECEDING), 'A') = 'R' AS ref FROM li) SELECT l_orderkey AS doc_id, 2 * count(*) FILTER (NOT ref) AS n_free, 2 * count(*) FILTER (ref) AS n_fixed FROM s GROUP BY 1",
     "pipe_tables": "SELECT l_orderkey AS doc_id, count(*) AS n_rows, sum(l_quantity::INT)::BIGINT AS sum_qty FROM lineitem GROUP BY 1",
-    "html_tables": "SELECT l_orderkey AS doc_id, 7::BIGINT AS n_parts, 'A,B,Parts' AS free, count(*) AS n_cells FROM lineitem GROUP BY 1",
+    "html_tables": f"WITH {LI} SELECT l_orderkey AS doc_id, 7::BIGINT AS n_parts, 'A,B,Parts' AS free, count(*) AS n_cells, sha256(string_agg('<tr><td>' || l_partkey || '</td></tr>', '' ORDER BY i) || '</table>') AS rows_sha256 FROM li GROUP BY 1",
     "table_images": f"WITH {LI} SELECT l_orderkey AS doc_id, CASE WHEN l_orderkey % 7 <> 0 THEN count(*) ELSE 0 END AS n_images, sha256(string_agg(CASE WHEN l_orderkey % 7 <> 0 THEN '![](images/t' || i || '.jpg)' || chr(10) ELSE '<table><tr><td>' || l_returnflag || l_linestatus || '</td></tr></table>' END || chr(10) || chr(10), '' ORDER BY i)) AS text_sha256 FROM li GROUP BY l_orderkey",
     "greedy_chunks": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE text <> ''",
     "chunk_packing": f"""WITH RECURSIVE {LI}, s AS (SELECT l_orderkey AS doc_id, i, l_quantity::INT * 10 + 2 AS n FROM li),
@@ -45,13 +45,14 @@ k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY abs(p -
 SELECT doc_id, coalesce(k.p, 0)::BIGINT AS split_at FROM (SELECT DISTINCT doc_id FROM s) d LEFT JOIN (SELECT * FROM k WHERE r = 1) k USING (doc_id)""",
     "protected_spans": f"""WITH v AS (SELECT page_id, unnest(regexp_extract_all(html, '{SPAN}')) AS v FROM pages)
 SELECT page_id, count(*) FILTER (starts_with(v, '<!--')) AS n_comments, count(*) FILTER (regexp_matches(v, '^&[A-Za-z]')) AS n_entities, count(*) FILTER (regexp_matches(v, '^</?[A-Za-z]')) AS n_tags FROM v GROUP BY page_id""",
-    "protect_restore": "SELECT 'd' AS kind, doc_id AS id, true AS same FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'p', page_id, true FROM pages WHERE html IS NOT NULL",
+    "protect_restore": "WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'p', page_id, html FROM pages) SELECT kind, id, '__MDT_' || upper(left(sha256(text), 10)) || '_' AS prefix, CASE WHEN text IS NOT NULL THEN 0::BIGINT END AS unplaced, sha256(text) AS restored_sha256 FROM t",
     "strong_parity": r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\*\*')) % 2 = 0 AS even FROM documents",
     "term_protection": "SELECT page_id, len(list_filter(string_split(regexp_replace(coalesce(html, ''), '[^A-Za-z ]+', ' ', 'g'), ' '), lambda x: x IN ('the', 'data')))::BIGINT AS n_terms FROM pages",
     "multiset_diff": """WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS w FROM documents WHERE text IS NOT NULL), k AS (SELECT * FROM w WHERE w <> ''),
-a AS (SELECT doc_id, w, count(*) AS a FROM k GROUP BY ALL), b AS (SELECT doc_id, lower(w) AS w, count(*) AS b FROM k GROUP BY ALL)
-SELECT doc_id, sum(greatest(coalesce(a, 0) - coalesce(b, 0), 0))::BIGINT AS lost, sum(greatest(coalesce(b, 0) - coalesce(a, 0), 0))::BIGINT AS new FROM a FULL JOIN b USING (doc_id, w) GROUP BY doc_id""",
-    "url_ends": "SELECT page_id, 'siehe ' || url || ' 和 jetzt' AS fixed FROM pages WHERE url IS NOT NULL",
+a AS (SELECT doc_id, w, count(*) AS a FROM k GROUP BY ALL), b AS (SELECT doc_id, lower(w) AS w, count(*) AS b FROM k GROUP BY ALL),
+n AS (SELECT doc_id, sum(greatest(coalesce(a, 0) - coalesce(b, 0), 0))::BIGINT AS lost, sum(greatest(coalesce(b, 0) - coalesce(a, 0), 0))::BIGINT AS new FROM a FULL JOIN b USING (doc_id, w) GROUP BY doc_id)
+SELECT doc_id, coalesce(lost, 0) AS lost, coalesce(new, 0) AS new FROM documents LEFT JOIN n USING (doc_id)""",
+    "url_ends": "SELECT page_id, 'siehe ' || url || ' 和 jetzt' AS fixed FROM pages",
     "caption_openers": f"WITH {LI}, s AS (SELECT l_orderkey, l_returnflag AS f, lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY i) AS before FROM li) SELECT l_orderkey AS doc_id, count(*) FILTER (f = 'A' AND before = 'R') AS n_figures, count(*) FILTER (f = 'N') AS n_tables FROM s GROUP BY 1",
     "algorithm_blocks": r"SELECT p_partkey, '**Algorithm ' || p_partkey || '**' || chr(10) || chr(10) || '```text' || chr(10) || '1: for x ∈ S do' || chr(10) || '2:     ' || rtrim(regexp_replace('take ' || regexp_replace(p_name, '[^A-Za-z0-9 ]', '', 'g'), ' +', ' ', 'g')) || chr(10) || '3: end for' || chr(10) || '```' AS text FROM part",
     "indent_levels": f"""WITH {LI}, s AS (SELECT l_orderkey AS doc_id, i, l_returnflag AS f, sum(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN -1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY i) AS s FROM li),

@@ -152,6 +152,23 @@ def test_protect_and_restore(values):
     assert moved[0]["text"] == "`b` $a$" and moved[1]["error"] == "ordered placeholders moved"
 
 
+def test_gaps_and_matches_in_turn(values):
+    texts = ["a1b22c", "1", "", "x", "1\x01a2", "\x01", "$1\\2$", None]
+    got = values(lambda c: T.gaps_and_matches(c, "[0-9]+"), *texts)
+    assert got == [["a", "1", "b", "22", "c"], ["", "1", ""], [""], ["x"], ["", "1", "\x01a", "2", ""], ["\x01"], ["$", "1", "\\", "2", "$"], None]
+    back = values(lambda c: P.restore(P.protect(c)["text"], P.protect(c)), "a \x01 $x$ <b>", "$x$$y$")
+    assert [b["text"] for b in back] == ["a \x01 $x$ <b>", "$x$$y$"]
+
+
+def test_multiset_difference(spark):
+    from inkstrata.operators import multisets
+
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, "z"), (None, "x"), (1, None)], "doc_id long, value string")
+    b = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "z"), (1, None), (1, None)], "doc_id long, value string")
+    assert sorted((r["doc_id"] or 0, r["value"] or "", r["lost"], r["new"]) for r in multisets.difference(a, b).collect()) == [(0, "x", 1, 0), (1, "", 0, 1), (1, "x", 1, 0), (1, "y", 0, 1)]
+    assert multisets.difference(a, a).count() == multisets.difference(a.limit(0), b.limit(0)).count() == 0
+
+
 def test_prefix_avoids_collisions(values):
     import hashlib
 
