@@ -24,6 +24,7 @@ GRID = 1000.0
 EDGE_MARGIN = 0.5
 PASSES = 4
 CLEAN_PIXELS = 3
+DARK = 200
 DPI, INK_DPI = 300, 150
 
 
@@ -120,6 +121,15 @@ def crop_plans(groups: DataFrame, page_sizes: DataFrame, text_lines: DataFrame |
     return rows.withColumns({"width_px": pixels(b["x1"] - b["x0"], dpi), "height_px": pixels(b["y1"] - b["y0"], dpi), "file": F.format_string("figure-%02d.jpg", F.col("figure"))})
 
 
+def ink_counts(pixels: DataFrame, dark: int = DARK) -> DataFrame:
+    """doc_id, figure, edge, pos, count: dark pixels in each scan line of the padding bands.
+
+    ``pixels``: doc_id, figure, edge, pos, value (grey, 0 to 255), a row for each pixel. A line without dark
+    pixels counts 0. Counts are combined before they move.
+    """
+    return pixels.groupBy("doc_id", "figure", "edge", "pos").agg(F.count_if(F.col("value") < dark).alias("count"))
+
+
 def clean_offsets(ink: DataFrame) -> DataFrame:
     """doc_id, figure, edge, first_clean, last_clean, outer_inked of each padding band.
 

@@ -24,11 +24,14 @@ from inkstrata.functions.protect import protect, restore
 from inkstrata.functions.text import let
 from inkstrata.functions.validate import failures
 from inkstrata.operators.segment import document_chunks, halves
+from inkstrata.sources.remote import retrying
 
 # Names and short forms of languages and models.
 LANGUAGES = {"zh": "Simplified Chinese", "zh-cn": "Simplified Chinese", "zh-hans": "Simplified Chinese", "en": "English", "en-us": "English"}
+MODELS = {"ds-v4-flash": "deepseek-v4-flash", "ds-v4-pro": "deepseek-v4-pro"}
 SUFFIXES = {"zh": "CN", "zh-cn": "CN", "zh-hans": "CN", "en": "EN", "en-us": "EN"}
 VERSION = 1
+USAGE = "run string, depth int, attempt int, calls long, prompt_tokens long, completion_tokens long, total_tokens long"
 CACHE = "key string, source_sha256 string, translation string, version int, prompt_tokens long, completion_tokens long, total_tokens long"
 
 
@@ -58,14 +61,20 @@ class Settings:
     tries: int = 3
     min_side: int = 400
     max_splits: int = 12
+    request_tries: int = 3
     extra: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
-        if self.max_chars < 1000 or self.tries < 1 or self.min_side < 100:
-            raise ValueError("max_chars is at least 1000, tries 1, min_side 100")
+        if self.max_chars < 1000 or self.tries < 1 or self.request_tries < 1 or self.min_side < 100:
+            raise ValueError("max_chars is at least 1000, tries and request_tries 1, min_side 100")
         checked_url(self.base_url)
 
 
+def model_name(name: str) -> str:
+    """A model's full name, if this is a short one."""
+    return MODELS.get(name.strip().lower(), name.strip())
+
+
 def language_name(code: str) -> str:
     return LANGUAGES.get(code.lower(), code)
 
@@ -102,7 +111,7 @@ def chunk_prompt(prompt: str, protected: Column) -> Column:
 
 def cache_key(text: Column, s: Settings) -> Column:
     """Digest of the text with everything that shapes its answer."""
-    fixed = {"base_url": s.base_url, "glossary": s.glossary, "model": s.model, "prompt": system_prompt(s), "source_language": s.source_language, "target_language": s.target_language, "terms": "\n".join(s.terms), "version": str(VERSION), **s.extra}
+    fixed = {"base_url": s.base_url, "glossary": s.glossary, "model": model_name(s.model), "prompt": system_prompt(s), "source_language": s.source_language, "target_language": s.target_language, "terms": "\n".join(s.terms), "version": str(VERSION), **s.extra}
     return F.sha2(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted(fixed.items())], text.alias("text"))), 256)
 
 
@@ -114,12 +123,17 @@ def echo(prompts: Sequence[str], texts: Sequence[str]) -> list[tuple[str | None,
     return [(t, len(p) // 4, len(t) // 4) for p, t in zip(prompts, texts, strict=True)]
 
 
-def ask(rows: DataFrame, translator: Translator) -> DataFrame:
-    """Rows with ``answer`` (text, prompt_tokens, completion_tokens); an answer without text has failed."""
+def ask(rows: DataFrame, translator: Translator, tries: int = 3) -> DataFrame:
+    """Rows with ``answer`` (text, prompt_tokens, completion_tokens); an answer without text has failed.
+
+    A call that fails in passing is made up to ``tries`` times. One that keeps failing ends the run; what is in
+    the cache by then stays there.
+    """
+    call = retrying(translator, tries)
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for prompts, texts in batches:
-            got = translator(prompts.to_pylist(), texts.to_pylist())
+            got = call(prompts.to_pylist(), texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], ["text", "prompt_tokens", "completion_tokens"])
 
     fn = F.arrow_udf(run, "text string, prompt_tokens long, completion_tokens long").asNondeterministic()
@@ -145,7 +159,8 @@ def cache_hits(keys: DataFrame, cache: DataFrame, terms: Sequence[str]) -> DataF
 def translate(docs: DataFrame, work_dir: str, translator: Translator = echo, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[str, int]]:
     """(doc_id, text, failures) of every document, and the run's counts.
 
-    ``work_dir`` is a folder that all machines share; the cache is ``work_dir/cache``. Counts: chunks,
+    ``work_dir`` is a folder that all machines share; the cache is ``work_dir/cache``, and ``work_dir/usage``
+    has a row for each attempt of each run. Counts: chunks,
     cache_hits, api_calls, adaptive_splits and tokens of this run. A chunk that neither passes nor can be split
     leaves its document without text and with the failure ``chunk failed``.
     """
@@ -173,12 +188,15 @@ def translate(docs: DataFrame, work_dir: str, translator: Translator = echo, set
         for attempt in range(s.tries):
             asked = open_.withColumn("protected", protect(F.col("text"), s.terms)).withColumn("prompt", chunk_prompt(prompt, F.col("protected")))
             path = f"{run}/asked-{depth}-{attempt}"
-            judged(ask(asked, translator), s.terms).select("key", "text", "answer", "translation", "problem").write.parquet(path)
+            judged(ask(asked, translator, s.request_tries), s.terms).select("key", "text", "answer", "translation", "problem").write.parquet(path)
             done = spark.read.parquet(path)
             sums = done.agg(F.count_if(F.col("answer")["text"].isNotNull()), F.sum(F.col("answer")["prompt_tokens"]), F.sum(F.col("answer")["completion_tokens"]), F.count_if(F.col("problem").isNotNull())).first()
             counts["api_calls"] += sums[0]
             counts["prompt_tokens"] += sums[1] or 0
             counts["completion_tokens"] += sums[2] or 0
+            if sums[0]:  # tokens of answers that fail are spent too
+                spent = (run.rsplit("/", 1)[1], depth, attempt, sums[0], sums[1] or 0, sums[2] or 0, (sums[1] or 0) + (sums[2] or 0))
+                spark.createDataFrame([spent], USAGE).write.mode("append").parquet(f"{work_dir}/usage")
             a = F.col("answer")
             good = done.where("translation is not null").select("key", F.sha2("text", 256).alias("source_sha256"), "translation", F.lit(VERSION).alias("version"), a["prompt_tokens"].alias("prompt_tokens"), a["completion_tokens"].alias("completion_tokens"), (a["prompt_tokens"] + a["completion_tokens"]).alias("total_tokens"))
             good.write.mode("append").parquet(cache_path)
@@ -210,6 +228,6 @@ def translate(docs: DataFrame, work_dir: str, translator: Translator = echo, set
     return out.select("doc_id", F.when(~F.col("_lost"), F.col("_text")).alias("text"), problems.alias("failures")), counts
 
 
-def usage(cache: DataFrame) -> DataFrame:
-    """Tokens of all runs that fed a cache."""
-    return cache.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")])
+def usage(attempts: DataFrame) -> DataFrame:
+    """Tokens of all attempts of all runs over a folder, failed ones included (``work_dir/usage``)."""
+    return attempts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")])

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from inkstrata.functions.text import is_blank, strip
 
+from .remote import retrying
+
 # Size limits in bytes, layout fields, and the forms that secrets have.
 LIMITS = {"agent": 10 * 1024 * 1024, "precise": 200 * 1024 * 1024}
 CONTENT = "array<struct<type:string,page_idx:string,bbox:array<double>,img_path:string,table_body:string,text:string,chart_caption:string,image_caption:string,table_caption:string>>"
@@ -135,20 +137,27 @@ def first_secret(*sources: Column) -> Column:
     return F.coalesce(*[F.when(~is_blank(s), strip(s)) for s in sources])
 
 
-def run_jobs(files: DataFrame, client: Callable[[str, bytes], tuple[str, str | None, str | None]], id_col: str = "path", content_col: str = "content") -> DataFrame:
+def is_token(c: Column) -> Column:
+    """Whether a text can be a service's token: twelve characters or more and no white space."""
+    return F.coalesce((F.length(c) >= 12) & ~c.rlike(r"(?U)\s"), F.lit(False))
+
+
+def run_jobs(files: DataFrame, client: Callable[[str, bytes], tuple[str, str | None, str | None]], id_col: str = "path", content_col: str = "content", tries: int = 3) -> DataFrame:
     """id, state, result, error of sending each file to a remote service.
 
-    ``client`` gets name and bytes and gives back state, result and error; it has its own retries and
-    secrets, and is what this library leaves to its user. An exception is the state ``failed``.
+    ``client`` gets name and bytes and gives back state, result and error; it has its own
+    secrets, and is what this library leaves to its user. It is called up to ``tries`` times where it
+    fails in passing; an exception after that is the state ``failed``.
     """
     kind = files.schema[id_col].dataType.simpleString()
+    send = retrying(client, tries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = []
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    got.append(client(str(name), data or b""))
+                    got.append(send(str(name), data or b""))
                 except Exception as e:  # noqa: BLE001  the service's failure is a result
                     got.append(("failed", None, str(e)[:600]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[k] for g in got], pa.string()) for k in range(3)]], [id_col, "state", "result", "error"])

@@ -7,9 +7,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from inkstrata.functions import markdown, pseudocode
 from inkstrata.operators import assets, figures, jobs, tables
 from inkstrata.plans import translate as T
-from inkstrata.sources import readers
+from inkstrata.sources import readers, remote
 from inkstrata.streaming import jobs as live
 
 
@@ -186,9 +187,76 @@ def test_translate(spark, tmp_path):
     assert counts["adaptive_splits"] == 1 and counts["api_calls"] == 3 + 1 + 2 and counts["cache_hits"] == 0
     again, counts = T.translate(docs.where("doc_id < 3"), str(tmp_path), upper, s)
     assert counts["api_calls"] == 0 and counts["cache_hits"] == counts["chunks"] == 4 and {r["text"] for r in again.collect()} == {got[1]["text"]}
-    assert T.usage(spark.read.parquet(str(tmp_path / "cache"))).first()["total_tokens"] > 0
+    assert T.usage(spark.read.parquet(str(tmp_path / "usage"))).first().asDict() == {"prompt_tokens": 60, "completion_tokens": 30, "total_tokens": 90}
+    assert T.model_name(" DS-v4-pro") == T.MODELS["ds-v4-pro"] and T.model_name("other") == "other"
     for url in ("http://e.org", "http://localhost:80@evil.example/", "localhost", "ftp://localhost", "https://", ""):
         with pytest.raises(ValueError):
             T.Settings(base_url=url)
     assert [T.checked_url(u) for u in ("https://e.org/v1/ ", "http://[::1]:8080", "http://LOCALHOST")] == ["https://e.org/v1", "http://[::1]:8080", "http://LOCALHOST"]
     assert T.output_suffix("pt BR") == "pt-BR" and T.language_name("zh-CN") == "Simplified Chinese"
+
+
+class Refused(Exception):
+    def __init__(self, code):
+        super().__init__(f"state {code} with key-1\n  and more")
+        self.code = code
+
+
+def test_remote_calls():
+    def failing(*errors):
+        left, waits, seen = list(errors), [], []
+
+        def call(x):
+            seen.append(x)
+            if left:
+                raise left.pop(0)
+            return x * 2
+
+        return call, waits, seen
+
+    call, waits, seen = failing(Refused(429), TimeoutError("late"))
+    assert remote.retrying(call, 3, pause=waits.append)(4) == 8 and waits == [1, 2] and seen == [4] * 3
+    call, waits, seen = failing(Refused(404), OSError())
+    with pytest.raises(remote.RemoteError, match="state 404 with <redacted> and more"):
+        remote.retrying(call, 3, secret="key-1", pause=waits.append)(4)
+    assert waits == [] and len(seen) == 1
+    call, waits, seen = failing(*[Refused(503)] * 9)
+    with pytest.raises(remote.RemoteError, match="state 503"):
+        remote.retrying(call, 6, pause=waits.append)(4)
+    assert waits == [1, 2, 4, 8, 8]
+    call, waits, seen = failing(*[ConnectionError("no")] * 3)
+    assert remote.retrying(call, 3, most=4, then=(lambda x: 1 // 0, lambda x: "other"), pause=waits.append)(4) == "other" and waits == [1, 2]
+    assert remote.answer_of(b'{"code": 0, "data": 1}')["data"] == 1 and remote.answer_of(b"{}") == {}
+    for raw in (b'{"code": 7, "msg": "no"}', b"[]"):
+        with pytest.raises(remote.RemoteError):
+            remote.answer_of(raw)
+
+
+def test_jobs_and_answers_are_asked_again(spark, values):
+    state = {}
+
+    def client(name, data):
+        state[name] = state.get(name, 0) + 1
+        if name == "bad":
+            raise ValueError("broken file")
+        if state[name] == 1:
+            raise ConnectionError("lost")
+        return "done", data.decode(), None
+
+    files = spark.createDataFrame([("a", b"x"), ("bad", b"y"), ("b", None)], "path string, content binary")
+    got = {r["path"]: (r["state"], r["result"], r["error"]) for r in readers.run_jobs(files, client).collect()}
+    assert got == {"a": ("done", "x", None), "b": ("done", "", None), "bad": ("failed", None, "broken file")}
+    assert values(readers.is_token, "abcdefghijkl", "abcdefghijk", "abcdefgh ijkl", None) == [True, False, False, False]
+
+
+def test_second_runs_change_nothing(values):
+    listing = '<div class="x-algorithm">Algorithm 1<br>1: for $x \\in S$ do<br>2: y<br>3: end for</div> after'
+    once = values(lambda c: pseudocode.plain_listings(c)["text"], listing)
+    assert once[0] != listing and values(lambda c: pseudocode.plain_listings(c)["text"], *once) == once
+    once = values(markdown.caption_openers, "![](images/a.jpg)\n\n图 3 说明\n")
+    assert values(markdown.caption_openers, *once) == once
+    def fold(c):
+        return figures.rewrite(c, F.array(F.lit("a.jpg"), F.lit("b.jpg")), F.lit("figure-01.jpg"))
+
+    once = values(fold, "![](images/a.jpg)\n(a) x\n![](images/b.jpg)\n")[0]
+    assert once["status"].startswith("merged") and values(fold, once["text"])[0]["status"] == "skip: already merged or refs not found"
