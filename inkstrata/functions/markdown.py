@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BREAKS, EOL, GAP, found, is_blank, let, strip
+from .text import BREAKS, EOL, GAP, found, gaps_and_matches, is_blank, let, strip
 
 # Patterns and words that decide what is a heading, a table or an image.
 HEADING = r"\A[ \t]*(#{1,6})[ \t]+([^\n]+?)[ \t]*(?:\n|\z)"
@@ -104,16 +104,16 @@ SPANS = "array<struct<start:int,stop:int>>"
 
 
 def _places(text: Column, pattern: str) -> Column:
-    """(start, stop) of all matches, from the lengths of what lies between them."""
+    """(start, stop) of all matches, from the lengths of what lies before them; the pattern runs once."""
 
-    def made(x: Column) -> Column:
-        def total(values: Column, n: Column) -> Column:
-            return F.aggregate(F.slice(values, F.lit(1), n), F.lit(0), lambda acc, v: acc + F.length(v))
+    def made(pieces: Column) -> Column:
+        def span(hit: Column, i: Column) -> Column:
+            start = F.aggregate(F.slice(pieces, F.lit(1), 2 * i + 1), F.lit(0), lambda acc, v: acc + F.length(v))
+            return let(start, lambda at: F.struct(at.alias("start"), (at + F.length(hit)).alias("stop")))
 
-        start = F.transform(x["hits"], lambda t, i: F.struct((total(x["gaps"], i + 1) + total(x["hits"], i)).alias("start"), F.length(t).alias("n")))
-        return F.transform(start, lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["n"]).alias("stop")))
+        return F.transform(F.filter(pieces, lambda p, i: i % 2 == 1), span)
 
-    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), found(text, pattern).alias("hits")), made)
+    return let(gaps_and_matches(text, pattern), made)
 
 
 def _merged(spans: Column) -> Column:
@@ -130,8 +130,14 @@ def table_spans(text: Column) -> Column:
 
     A pipe table is a row, a separator, and the rows that follow.
     """
-    has = text.contains("|") | F.lower(text).contains("<table")
-    return F.when(has, _merged(F.concat(_places(text, HTML_TABLE), _places(text, PIPE_TABLE)))).when(text.isNotNull(), F.array().cast(SPANS))
+    none = F.array().cast(SPANS)
+    html = F.when(F.lower(text).contains("<table"), _places(text, HTML_TABLE)).otherwise(none)
+    pipe = F.when(text.contains("|"), _places(text, PIPE_TABLE)).otherwise(none)
+
+    def made(x: Column) -> Column:
+        return F.when(F.size(x["pipe"]) == 0, x["html"]).when(F.size(x["html"]) == 0, x["pipe"]).otherwise(_merged(F.concat(x["html"], x["pipe"])))
+
+    return F.when(text.isNotNull(), let(F.struct(html.alias("html"), pipe.alias("pipe")), made))
 
 
 _ROW = rf"(?=[^{BREAKS}]*\|)[^{BREAKS}]*+(?:{EOL}|\z)"

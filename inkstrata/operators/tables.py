@@ -29,26 +29,29 @@ def table_images(content: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def document_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, t, body, k: tables in order, the k-th (from 1) of the document with the same body."""
+    """doc_id, t, body, k, start, stop, n: tables in order, the k-th (from 1) of the document with the same body.
+
+    A table is at characters [start, stop) of the text (from 0), one of the document's n.
+    """
     text = F.col(text_col)
     spans = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), F.explode(F.array(table_spans(text))).alias("_s"))
-    bodies = F.transform("_s", lambda s: F.substring(F.col("_text"), s["start"] + 1, s["stop"] - s["start"]))
-    rows = spans.select("doc_id", F.posexplode(bodies).alias("t", "body"))
-    return rows.select("doc_id", "t", "body", F.row_number().over(W.partitionBy("doc_id", "body").orderBy("t")).alias("k"))
+    found = F.transform("_s", lambda s: F.struct(F.substring(F.col("_text"), s["start"] + 1, s["stop"] - s["start"]).alias("body"), s["start"].alias("start"), s["stop"].alias("stop")))
+    rows = spans.select("doc_id", F.size("_s").alias("n"), F.posexplode(found).alias("t", "_x"))
+    return rows.select("doc_id", "t", "_x.body", F.row_number().over(W.partitionBy("doc_id", "_x.body").orderBy("t")).alias("k"), "_x.start", "_x.stop", "n")
 
 
 def match_tables(tables: DataFrame, images: DataFrame) -> DataFrame:
-    """doc_id, list, pictures (by t): of each document's lists, the first that has an image for every table.
+    """doc_id, list, pictures, spans (by t): of each document's lists, the first that has an image for every table.
 
     The k-th table with a body goes with the list's k-th image of that body: an equi-join,
     by a digest of the body and k. Nothing is matched for a document that no list covers.
     """
-    need = tables.groupBy("doc_id").agg(F.count("*").alias("_need"))
-    left = tables.select("doc_id", "t", "k", F.sha2("body", 256).alias("_h"))
+    left = tables.select("doc_id", "t", "k", "start", "stop", "n", F.sha2("body", 256).alias("_h"))
     right = images.select("doc_id", "list", "k", "image", F.sha2("body", 256).alias("_h"))
-    hits = left.join(right, ["doc_id", "_h", "k"]).groupBy("doc_id", "list").agg(F.count("*").alias("_got"), F.transform(F.array_sort(F.collect_list(F.struct("t", "image"))), lambda x: x["image"]).alias("pictures"))
-    full = hits.join(need, "doc_id").where("_got = _need")
-    return full.groupBy("doc_id").agg(F.min(F.struct("list", "pictures")).alias("_m")).select("doc_id", "_m.list", "_m.pictures")
+    hits = left.join(right, ["doc_id", "_h", "k"]).groupBy("doc_id", "list").agg(F.max("n").alias("_need"), F.array_sort(F.collect_list(F.struct("t", "image", "start", "stop"))).alias("_x"))
+    first = hits.where("size(_x) = _need").groupBy("doc_id").agg(F.min(F.struct("list", "_x")).alias("_m"))
+    spans = F.transform("_m._x", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+    return first.select("doc_id", "_m.list", F.transform("_m._x", lambda x: x["image"]).alias("pictures"), spans.alias("spans"))
 
 
 def _replaced(text: Column, spans: Column, pictures: Column) -> Column:
@@ -75,9 +78,11 @@ def tables_to_images(docs: DataFrame, images: DataFrame, mode: str = "image", id
     if mode == "html":
         return docs.withColumns({"table_mode": F.lit("html"), "table_images": F.lit(0), "content_list": none, "table_error": none})
     match = match_tables(document_tables(docs, id_col, text_col), images)
-    rows = docs.join(match.select(F.col("doc_id").alias(id_col), "list", "pictures"), id_col, "left").withColumn("_spans", F.coalesce(table_spans(text), F.array().cast("array<struct<start:int,stop:int>>")))
-    has, hit = F.size("_spans") > 0, F.col("list").isNotNull()
-    missed = has & ~hit
+    rows = docs.join(match.select(F.col("doc_id").alias(id_col), "list", "pictures", F.col("spans").alias("_spans")), id_col, "left")
+    hit = F.col("list").isNotNull()
+    # Only texts without a match are looked through once more, for whether they have a table at all.
+    rows = rows.withColumn("_missed", F.when(hit, False).otherwise(F.coalesce(F.size(table_spans(text)) > 0, F.lit(False))))
+    missed = F.col("_missed")
     new = F.when(hit, _replaced(text, F.col("_spans"), F.col("pictures"))).otherwise(text)
     rows = rows.withColumns(
         {
@@ -88,4 +93,4 @@ def tables_to_images(docs: DataFrame, images: DataFrame, mode: str = "image", id
             "table_error": F.when(missed & F.lit(mode == "image"), F.lit("no content list has an image for every table")),
         }
     )
-    return rows.drop("_spans", "pictures", "list")
+    return rows.drop("_spans", "_missed", "pictures", "list")
