@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.functions import cleanup, markdown, protect, pseudocode
+from inkstrata.functions import cleanup, markdown, protect, pseudocode, validate
 from inkstrata.functions.text import redact
 from inkstrata.operators import assets, figures, jobs, segment, tables
 from inkstrata.plans import translate
@@ -281,6 +281,48 @@ def token_checks(spark, sf_dir):
 TOKEN_CHECKS = "SELECT c_custkey, c_custkey % 14 + 1 >= 12 AND c_custkey % 5 <> 0 AS fits FROM customer"
 
 
+def url_prefixes(spark, sf_dir):
+    def told(*pieces: str) -> Column:
+        return F.concat(*[F.col("url") if x == "U" else F.lit(x) for x in pieces])
+
+    source = told("see ", "U", " and ", "U", "/k end")
+    target = told("siehe ", "U", "/k后 und ", "U", "abc, ", "U", "/other ", "U", "/kZ ", "U", "/k")
+    return _table(spark, sf_dir, "pages").select("page_id", cleanup.with_url_ends(source, target).alias("fixed"))
+
+
+URL_PREFIXES = "SELECT page_id, 'siehe ' || url || '/k 后 und ' || url || ' abc, ' || url || '/other ' || url || '/k Z ' || url || '/k' AS fixed FROM pages"
+
+
+def sound_translations(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    table, url = F.concat(F.lit("<table><tr><td>"), key, F.lit("</td></tr></table>")), F.concat(F.lit("https://e.org/"), key)
+    source = F.concat(F.lit("# Head\n\n"), table, F.lit(" **b** $x$ "), url, F.lit(" end\n"))
+    changed = (
+        source, F.replace(source, F.lit("# Head"), F.lit("## Head")), F.replace(source, F.lit("<td>"), F.lit("")), F.concat(source, F.lit("__MDT_")), F.concat(source, F.lit("**")),
+        F.concat(F.lit("# Kopf\n\n"), table, F.lit(" "), url, F.lit(" $x$ **b** ende\n")), F.concat(F.lit("# Head\n\n"), url, F.lit(" "), table, F.lit(" **b** $x$ end\n")), F.replace(source, F.lit("e.org"), F.lit("e.net")),
+        F.replace(source, F.lit("# Head"), F.lit("Head")),
+    )
+    target = F.element_at(F.array(*changed), (F.col("c_custkey") % len(changed) + 1).cast("int"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.array_join(validate.failures(source, target), "; ").alias("failures"), validate.structure_matches(source, target).alias("same_structure"))
+
+
+SOUND_TRANSLATIONS = """SELECT c_custkey, ['', 'headings', 'table marks; protected values; protected order', 'placeholder left', 'strong marks unpaired', '', 'protected order', 'protected values; protected order', 'headings'][c_custkey % 9 + 1] AS failures,
+  c_custkey % 9 NOT IN (1, 2, 8) AS same_structure FROM customer"""
+
+
+def side_clamps(spark, sf_dir):
+    d = lambda x: F.lit(float(x))
+    q = F.col("l_quantity")
+    union = F.struct(d(100).alias("x0"), d(100).alias("y0"), d(300).alias("x1"), d(300).alias("y1"))
+    lines = F.array(*[F.struct(x0.alias("x0"), d(120).alias("y0"), (x0 + 10).alias("x1"), d(280).alias("y1")) for x0 in (q + 50, q + 270)])
+    box = figures.clamped(figures.padded(union, 5.0), union, lines)
+    return _items(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.col("i").cast("long").alias("i"), *[box[k].alias(k) for k in ("x0", "y0", "x1", "y1")])
+
+
+SIDE_CLAMPS = f"""WITH {LI} SELECT l_orderkey AS doc_id, i, CASE WHEN l_quantity + 50 < 95 AND l_quantity + 60 > 95 THEN least(100.0::DOUBLE, l_quantity + 60.5) ELSE 95.0::DOUBLE END AS x0, 95.0::DOUBLE AS y0,
+  CASE WHEN l_quantity + 270 < 305 AND l_quantity + 280 > 305 THEN greatest(300.0::DOUBLE, l_quantity + 269.5) ELSE 305.0::DOUBLE END AS x1, 305.0::DOUBLE AS y1 FROM li"""
+
+
 def cache_lookup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("doc_id").alias("doc_id")).withColumn("key", F.sha2("text", 256))
     broken, stale = F.col("doc_id") % 5 == 0, F.col("doc_id") % 7 == 0
@@ -367,6 +409,7 @@ QUERIES: dict[Callable[[SparkSession, str], DataFrame], str] = {
     merged_spans: MERGED_SPANS, caption_tables: CAPTION_TABLES, layout_items: LAYOUT_ITEMS, term_bullets: TERM_BULLETS, glossaries: GLOSSARIES, batch_results: BATCH_RESULTS,
     conversion_modes: CONVERSION_MODES, retry_waits: RETRY_WAITS, error_previews: ERROR_PREVIEWS, token_checks: TOKEN_CHECKS, cache_lookup: CACHE_LOOKUP, usage_sums: USAGE_SUMS,
     figure_rewrites: FIGURE_REWRITES, figure_checks: FIGURE_CHECKS, ink_bands: INK_BANDS, sheet_offsets: SHEET_OFFSETS,
+    url_prefixes: URL_PREFIXES, sound_translations: SOUND_TRANSLATIONS, side_clamps: SIDE_CLAMPS,
 }
 
 
