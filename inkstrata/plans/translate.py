@@ -152,7 +152,8 @@ def judged(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
 def cache_hits(keys: DataFrame, cache: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Rows of ``keys`` (key, text) that the cache answers soundly under the rules of today: key, translation."""
     hits = keys.join(cache.where(F.col("version") == VERSION).select("key", "translation").dropDuplicates(["key"]), "key")
-    fixed = hits.withColumn("translation", cleanup.cleaned(F.col("text"), F.col("translation"), terms))
+    # Exploded, so that the repair is worked out once for the check and the result.
+    fixed = hits.select("key", "text", F.explode(F.array(cleanup.cleaned(F.col("text"), F.col("translation"), terms))).alias("translation"))
     return fixed.where(F.size(failures(F.col("text"), F.col("translation"), terms)) == 0).select("key", "translation")
 
 

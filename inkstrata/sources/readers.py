@@ -21,6 +21,9 @@ SECRET_KEY = r"(?<![A-Za-z0-9])sk-[A-Za-z0-9._-]{12,}"
 SECRET_ASSIGNMENT = r"(?im)^\s*(?:export\s+)?[A-Z0-9_]*(?:API_KEY|TOKEN)\s*[:=]\s*[\"']?([^\s\"']+)"
 TERM_LINE = r"(?U)\A\s*[-*+]\s+(.+?)\s*\z"
 
+#: What a member of an archive may unpack to; it has to fit into a row.
+MEMBER_BYTES = 1 << 30
+
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """path, text of all Markdown files that aren't blank, read whole."""
@@ -60,11 +63,12 @@ def content_items(lists: DataFrame, json_col: str = "json") -> DataFrame:
     return rows.select("doc_id", "list", "i", x["type"].alias("type"), x["page_idx"].cast("int").alias("page_idx"), x["bbox"].alias("bbox"), x["img_path"].alias("img_path"), x["table_body"].alias("table_body"), x["text"].alias("text"), caps.alias("captions"))
 
 
-def zip_members(files: DataFrame, content_col: str = "content") -> DataFrame:
+def zip_members(files: DataFrame, content_col: str = "content", most: int = MEMBER_BYTES) -> DataFrame:
     """The rows' other columns with member, bytes and error of each file in an archive.
 
     An archive with a link, an absolute path or one that climbs out has a single row with the
-    error and nothing else of it is read, and so has one that is no archive. An archive is
+    error and nothing else of it is read, and so has one that is no archive or has a member of
+    more than ``most`` bytes when unpacked. An archive is
     the largest thing held; its members are given out one by one.
     """
     others = [c for c in files.columns if c != content_col]
@@ -75,6 +79,8 @@ def zip_members(files: DataFrame, content_col: str = "content") -> DataFrame:
                 return f"link: {m.filename}"
             if m.filename.startswith(("/", "\\")) or ".." in m.filename.replace("\\", "/").split("/"):
                 return f"path leaves the archive: {m.filename}"
+            if m.file_size > most:
+                return f"member too large: {m.filename}"
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

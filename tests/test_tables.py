@@ -151,6 +151,7 @@ def test_readers(spark, values, tmp_path):
     files = spark.createDataFrame([(1, archive(("d/full.md", "x"), ("i.jpg", "y"))), (2, archive(("ok", "1"), ("../escape", "2"))), (3, b"junk"), (4, None)], "doc_id long, content binary")
     got = sorted((r["doc_id"], r["member"], bytes(r["bytes"]) if r["bytes"] is not None else None, bool(r["error"])) for r in readers.zip_members(files).collect())
     assert got == [(1, "d/full.md", b"x", False), (1, "i.jpg", b"y", False), (2, None, None, True), (3, None, None, True), (4, None, None, True)]
+    assert [(r["doc_id"], r["error"]) for r in readers.zip_members(files.where("doc_id = 1"), most=0).collect()] == [(1, "member too large: d/full.md")]
     items = spark.createDataFrame([(1, "l", '[{"type": "image", "page_idx": "2", "bbox": [1, 2, 3, 4], "img_path": "a", "image_caption": "[\\"Figure 1. x\\", \\" \\"]"}, {"type": "table", "table_caption": "plain"}]'), (2, "l", '{"a": 1}'), (3, "l", None)], "doc_id long, list string, json string")
     assert [(r["page_idx"], r["captions"]) for r in readers.content_items(items).where("doc_id = 1").orderBy("i").collect()] == [(2, ["Figure 1. x"]), (None, ["plain"])]
     assert values(readers.term_list, "# t\n\n- `token`\n* a b \n- token\nno") == [["token", "a b"]]
