@@ -323,6 +323,31 @@ def test_license_scan(spark):
         licenses.scan(docs, {"short": "a b"})
 
 
+def test_license_texts_changed_and_cut(spark):
+    """Whole licenses with words changed, put in, doubled and cut, in rows that repeat ids, against SQL over every window."""
+    rng, rows = random.Random(7), []
+    for i in range(60):
+        body = rng.choice(list(licenses.TEXTS.values())).split()
+        rate = rng.choice([0, 0.01, 0.04])
+        body = ["zz" if rng.random() < rate else x for x in body]
+        body = rng.choice([body, body, body + body, body[: len(body) * 9 // 10], body[:40] + ["put", "in"] + body[40:]])
+        rows.append((rng.choice([None, i, i // 2]), " ".join(["the", "software"] * rng.randint(0, 20) + body + ["is"] * rng.randint(0, 9))))
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").withColumn("t", F.lit(1)).withColumn("h", F.lit(1))
+    con = duckdb.connect()
+    con.register("documents", docs.where("doc_id is not null").select("doc_id", "text").toPandas())
+    got = licenses.scan(docs.where("doc_id is not null"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(con.execute(licenses.scan_sql()).fetchall())
+    assert licenses.scan(docs).where("doc_id is null and license like '%-text'").count() > 0
+
+
+def test_license_templates_of_thousands_of_words(spark):
+    long = " ".join(f"q{i}" for i in range(6000))
+    docs = spark.createDataFrame([(1, "x y " + long + " z"), (2, long[:9000])], "doc_id long, text string")
+    assert [tuple(r) for r in licenses.scan(docs, {"long": long}).collect()] == [(1, "long", 1.0, 2)]
+    with pytest.raises(ValueError):
+        licenses.scan(docs, {"longer": " ".join(f"q{i}" for i in range(licenses.MAX_SHINGLES + 5))})
+
+
 def test_language(spark, empty):
     found = queries.op8_language(spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
