@@ -516,19 +516,35 @@ def test_simhash_links(spark, max_run):
 
 
 def test_pipeline(spark, docs, tmp_path):
+    """Every piece of every document that is left, and no other, by brute force at each stage; ids may be null."""
     import corpus_pipeline
 
+    path = public_tokenizers.path("word_bpe_49k.json")
     rows = docs.dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    alone = "a text without an id that is like no other one of this table"
+    rows = rows.union(spark.createDataFrame([(None, alone, "en", "s", 60), (None, alone, "en", "s", 60), (None, None, None, None, None)], rows.schema))
     rows.write.parquet(str(tmp_path / "documents.parquet"))
-    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
-    item = " ".join(words_of(texts[67])[20:40])
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = {r["doc_id"]: r["text"] for r in rows.collect() if r["doc_id"] is not None}
+    item = words_of(texts[67])[20:40]
+    spark.createDataFrame([(1, " ".join(item)), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     letters = {k: t for k, t in texts.items() if any(c.isalpha() for c in t or "")}
-    first = set(classes({k: fingerprint(t) for k, t in letters.items()}).values())
-    want = {k for k in first if " " + item + " " not in " " + " ".join(words_of(letters[k])) + " "}
-    clean = {r["doc_id"] for r in got}
-    assert 67 not in clean and clean <= first and clean >= {k for k in want if len(words_of(letters[k])) < 1000}
+    prints = {k: fingerprint(t) for k, t in letters.items()}
+    assert all((fingerprint(alone) ^ p).bit_count() > 3 for p in prints.values())
+    windows = {tuple(item[i : i + 10]) for i in range(11)}
+    own = {k: words_of(letters[k]) for k in set(classes(prints).values())}
+    clean = {k: letters[k] for k, w in own.items() if not any(tuple(w[i : i + 10]) in windows for i in range(len(w)))} | {None: alone}
+    assert 67 in own and 67 not in clean and 0 in clean
+    coder, want = pack.Encoder(path).tokenizer, []
+    for k, text in clean.items():
+        ids, start = [*coder.encode(text, add_special_tokens=False).ids, 1], 0
+        sizes = [2048] * (len(ids) // 2048) + [1 << b for b in range(10, -1, -1) if len(ids) % 2048 >> b & 1]
+        for n in sizes:
+            piece = b"".join(i.to_bytes(4, "little") for i in ids[start : start + n])
+            want.append((k, start, n, zlib.crc32(piece), len(ids)))
+            start += n
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == Counter(want)
+    assert len({r["sequence_id"] for r in got}) == len(got) and {r["offset"] for r in got} == {0}
     kept = rows
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, kept, str(tmp_path))
