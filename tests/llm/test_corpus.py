@@ -368,6 +368,17 @@ def test_language(spark, empty):
     assert nothing.predict(["abc"]) == [("und", 0.0)]
 
 
+def test_language_ties_repeats_and_long_texts(spark):
+    model = langid.Model({"bb": {"same": 2, "ping": 1}, "aa": {"same": 2, "pong": 1}})
+    rows = [(1, "same", 5, "x"), (1, "same", 5, "x"), (None, "ping " * 200_000, 5, "x"), (2, "pong" * 50_000, 5, "x"), (3, None, None, None), (None, "", 5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, language int, _language string")
+    got = langid.predict(docs, model).select("doc_id", "language.lang", "language.score", "_language").collect()
+    assert [(r[0], r[1]) for r in got] == [(1, "aa"), (1, "aa"), (None, "bb"), (2, "aa"), (3, "und"), (None, "und")]
+    assert got[0][2] == got[1][2] == 0.5 and got[4][2] == got[5][2] == 0 and [r[3] for r in got] == ["x"] * 4 + [None, "x"]
+    kept = langid.keep_identified(docs, model)
+    assert kept.columns == docs.columns and kept.count() == 4
+
+
 def test_language_against_brute_force(spark):
     """Scores worked out from the definition: known words by their log frequency, others by the mean of their longest known n-grams."""
     rng = random.Random(8)
