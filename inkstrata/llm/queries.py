@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, lmscore, media, pack, simhash, sitetree, tokencount
+from . import bestfit, chat, decontaminate, langid, licenses, lmscore, media, pack, runs, simhash, sitetree, tokencount, trie
 from .common import table
 
 
@@ -71,8 +71,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.report(bestfit.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), keep_ids=False))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(runs.runs(runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(table(spark, sf_dir, "conversations"), graft=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_decontaminate, op2_section_tokens, op3_lm_score, op4_rotate_chat, op5_media_columns, op6_main_text, op7_license_scan, op8_language, op9_pack, op10_simhash)
+    found = (*found, op11_best_fit, op12_periodic_runs, op13_prefix_trie)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
@@ -91,5 +104,5 @@ FROM d LEFT JOIN marks USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_decontaminate": OP1_SQL, "op4_rotate_chat": chat.ROTATE_SQL, "op7_license_scan": licenses.scan_sql()}
+    found = {"op1_decontaminate": OP1_SQL, "op4_rotate_chat": chat.ROTATE_SQL, "op7_license_scan": licenses.scan_sql(), "op13_prefix_trie": trie.TRIE_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
