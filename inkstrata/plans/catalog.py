@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from inkstrata.functions import cleanup, markdown, protect, pseudocode, validate
 from inkstrata.functions.text import strip
 from inkstrata.operators import assets, figures, jobs, multisets, segment, tables
+from inkstrata.plans import translate
 from inkstrata.sources import readers
 
 TERMS = ("the", "data")
@@ -217,8 +218,11 @@ def edge_clamp(spark, sf_dir):
 
 
 def cache_dedupe(spark, sf_dir):
-    keyed = _table(spark, sf_dir, "documents").select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
-    return keyed.groupBy("source").agg(F.count("*").alias("chunks"), F.count_distinct("key").alias("calls"), (F.count("*") - F.count_distinct("key")).alias("hits"))
+    own = _table(spark, sf_dir, "documents").select("source", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = own.select(F.struct("source", translate.cache_key(F.col("text"), translate.Settings()).alias("key")).alias("key"), "text")
+    distinct = translate.distinct_chunks(keyed)
+    chunks, calls = F.sum("n").cast("long"), F.count("*")
+    return distinct.groupBy(F.col("key")["source"].alias("source")).agg(chunks.alias("chunks"), calls.alias("calls"), (chunks - calls).alias("hits"))
 
 
 def _polls(spark, sf_dir) -> DataFrame:

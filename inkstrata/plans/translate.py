@@ -3,8 +3,9 @@
 A run is a few rounds over tables. Chunks are keyed by a digest of their text and of all that
 shapes the answer; equal chunks are asked once. Each round asks for what the cache
 hasn't, keeps the answers that pass all checks, and after the last try splits what still
-fails in two. Whatever is kept is in the cache table, so a run that was cut short goes on
-where it stopped and a second run asks nothing.
+fails in two. A round is a stream over its open chunks: answers and their tokens are
+kept for each small batch before the next is asked. So a run that was cut short, or that a
+lasting failure ended, goes on where it stopped, and a second run asks nothing.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from inkstrata.functions import cleanup
@@ -24,15 +26,16 @@ from inkstrata.functions.protect import protect, restore
 from inkstrata.functions.text import let
 from inkstrata.functions.validate import failures
 from inkstrata.operators.segment import document_chunks, halves
-from inkstrata.sources.remote import retrying
+from inkstrata.sources.remote import RemoteError, retrying, told
 
 # Names and short forms of languages and models.
 LANGUAGES = {"zh": "Simplified Chinese", "zh-cn": "Simplified Chinese", "zh-hans": "Simplified Chinese", "en": "English", "en-us": "English"}
 MODELS = {"ds-v4-flash": "deepseek-v4-flash", "ds-v4-pro": "deepseek-v4-pro"}
 SUFFIXES = {"zh": "CN", "zh-cn": "CN", "zh-hans": "CN", "en": "EN", "en-us": "EN"}
 VERSION = 1
-USAGE = "run string, depth int, attempt int, calls long, prompt_tokens long, completion_tokens long, total_tokens long"
+USAGE = "run string, depth int, attempt int, batch long, calls long, prompt_tokens long, completion_tokens long, total_tokens long"
 CACHE = "key string, source_sha256 string, translation string, version int, prompt_tokens long, completion_tokens long, total_tokens long"
+METRICS = ("chunks", "cache_hits", "api_calls", "adaptive_splits", "prompt_tokens", "completion_tokens")
 
 
 def checked_url(url: str) -> str:
@@ -48,7 +51,11 @@ def checked_url(url: str) -> str:
 
 @dataclass(frozen=True)
 class Settings:
-    """What shapes an answer, and how often it is asked for."""
+    """What shapes an answer, how often it is asked for, and how much is asked at once.
+
+    ``commit_chunks``: at most so many chunks are asked before their answers are kept, over all machines.
+    ``call_chunks``: a call of the translator has so many texts at most.
+    """
 
     model: str = "default"
     base_url: str = "http://localhost"
@@ -62,11 +69,15 @@ class Settings:
     min_side: int = 400
     max_splits: int = 12
     request_tries: int = 3
+    commit_chunks: int = 2000
+    call_chunks: int = 8
     extra: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
         if self.max_chars < 1000 or self.tries < 1 or self.request_tries < 1 or self.min_side < 100:
             raise ValueError("max_chars is at least 1000, tries and request_tries 1, min_side 100")
+        if self.commit_chunks < 1 or self.call_chunks < 1:
+            raise ValueError("commit_chunks and call_chunks are at least 1")
         checked_url(self.base_url)
 
 
@@ -123,21 +134,42 @@ def echo(prompts: Sequence[str], texts: Sequence[str]) -> list[tuple[str | None,
     return [(t, len(p) // 4, len(t) // 4) for p, t in zip(prompts, texts, strict=True)]
 
 
-def ask(rows: DataFrame, translator: Translator, tries: int = 3) -> DataFrame:
-    """Rows with ``answer`` (text, prompt_tokens, completion_tokens); an answer without text has failed.
+ANSWER = "text string, prompt_tokens long, completion_tokens long, error string"
+
+
+def answers(translator: Translator, prompts: Sequence[str], texts: Sequence[str], tries: int = 3, at_once: int = 8) -> list[tuple[str | None, int, int, str | None]]:
+    """(text, prompt_tokens, completion_tokens, error) of each text; error is set where its call kept failing.
 
-    A call that fails in passing is made up to ``tries`` times. One that keeps failing ends the run; what is in
-    the cache by then stays there.
+    Calls that fail in passing are made up to ``tries`` times. If one of several texts keeps failing, they are asked
+    in two halves, so that the failure is told of the texts it belongs to and no other is lost.
     """
     call = retrying(translator, tries)
 
+    def asked(start: int, stop: int) -> list[tuple[str | None, int, int, str | None]]:
+        try:
+            got = call(prompts[start:stop], texts[start:stop])
+            if len(got) != stop - start:
+                raise RemoteError(f"{len(got)} answers to {stop - start} texts")
+            return [(*g, None) for g in got]
+        except RemoteError as error:
+            if stop - start == 1:
+                return [(None, 0, 0, str(error))]
+        half = (start + stop) // 2
+        return asked(start, half) + asked(half, stop)
+
+    return [a for at in range(0, len(texts), at_once) for a in asked(at, min(at + at_once, len(texts)))]
+
+
+def ask(rows: DataFrame, translator: Translator, tries: int = 3, at_once: int = 8) -> DataFrame:
+    """Rows with ``answer`` (text, prompt_tokens, completion_tokens, error); see ``answers``."""
+
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kinds = (("text", pa.string()), ("prompt_tokens", pa.int64()), ("completion_tokens", pa.int64()), ("error", pa.string()))
         for prompts, texts in batches:
-            got = call(prompts.to_pylist(), texts.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], ["text", "prompt_tokens", "completion_tokens"])
+            got = answers(translator, prompts.to_pylist(), texts.to_pylist(), tries, at_once)
+            yield pa.StructArray.from_arrays([pa.array([g[k] for g in got], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
-    fn = F.arrow_udf(run, "text string, prompt_tokens long, completion_tokens long").asNondeterministic()
-    return rows.withColumn("answer", fn("prompt", F.col("protected")["text"]))
+    return rows.withColumn("answer", F.arrow_udf(run, ANSWER).asNondeterministic()("prompt", F.col("protected")["text"]))
 
 
 def judged(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -145,10 +177,16 @@ def judged(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
     restored = restore(cleanup.without_outer_fence(F.col("answer")["text"]), F.col("protected"))
     done = rows.withColumn("_r", restored).withColumn("_t", cleanup.cleaned(F.col("text"), F.col("_r")["text"], terms))
     done = done.withColumn("_f", failures(F.col("text"), F.col("_t"), terms))
-    problem = F.when(F.coalesce(F.trim(F.col("answer")["text"]), F.lit("")) == "", "empty answer").otherwise(F.coalesce(F.col("_r")["error"], F.get("_f", 0)))
+    call = F.when(F.col("answer")["error"].isNotNull(), F.lit("call failed"))
+    problem = F.when(F.coalesce(F.trim(F.col("answer")["text"]), F.lit("")) == "", F.coalesce(call, F.lit("empty answer"))).otherwise(F.coalesce(F.col("_r")["error"], F.get("_f", 0)))
     return done.withColumn("problem", problem).withColumn("translation", F.when(problem.isNull(), F.col("_t"))).drop("_r", "_t", "_f")
 
 
+def distinct_chunks(chunks: DataFrame) -> DataFrame:
+    """key, text and n of the different chunks: what is asked once, however many chunks have it. Counts are combined before they move."""
+    return chunks.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+
+
 def cache_hits(keys: DataFrame, cache: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Rows of ``keys`` (key, text) that the cache answers soundly under the rules of today: key, translation."""
     hits = keys.join(cache.where(F.col("version") == VERSION).select("key", "translation").dropDuplicates(["key"]), "key")
@@ -157,62 +195,106 @@ def cache_hits(keys: DataFrame, cache: DataFrame, terms: Sequence[str]) -> DataF
     return fixed.where(F.size(failures(F.col("text"), F.col("translation"), terms)) == 0).select("key", "translation")
 
 
+def ask_all(open_: DataFrame, work_dir: str, run: str, step: tuple[int, int], translator: Translator, s: Settings) -> dict[str, int]:
+    """Ask for every chunk of ``open_`` (key, text) in bounded batches, and keep each batch's answers and tokens before the next.
+
+    Sound answers go to ``work_dir/cache``, tokens to ``work_dir/usage``, everything to ``run/asked-<step>/batch=<n>`` (key, text, answer, translation, problem).
+    Counts: api_calls, problems and tokens. A call that keeps failing ends the run with an error once its batch is kept.
+    """
+    spark = open_.sparkSession
+    name = "-".join(map(str, step))
+    side = max(1, min(spark.sparkContext.defaultParallelism, s.commit_chunks))
+    open_.write.option("maxRecordsPerFile", max(1, s.commit_chunks // side)).parquet(f"{run}/open-{name}")
+    counts, failed = {"api_calls": 0, "problems": 0, "prompt_tokens": 0, "completion_tokens": 0}, []
+    prompt, a = system_prompt(s), F.col("answer")
+
+    def kept(batch: DataFrame, number: int) -> None:
+        asked = batch.withColumn("protected", protect(F.col("text"), s.terms)).withColumn("prompt", chunk_prompt(prompt, F.col("protected")))
+        done = judged(ask(asked, translator, s.request_tries, s.call_chunks), s.terms).select("key", "text", "answer", "translation", "problem")
+        seen, path = Observation(), f"{run}/asked-{name}/batch={number}"
+        done.observe(
+            seen,
+            F.count_if(a["text"].isNotNull()).alias("api_calls"),
+            F.count_if(F.col("problem").isNotNull()).alias("problems"),
+            F.coalesce(F.sum(a["prompt_tokens"]), F.lit(0)).alias("prompt_tokens"),
+            F.coalesce(F.sum(a["completion_tokens"]), F.lit(0)).alias("completion_tokens"),
+            F.count_if(a["error"].isNotNull()).alias("failed"),
+            F.max(a["error"]).alias("error"),
+        ).write.parquet(path)
+        got, own = seen.get, batch.sparkSession
+        for k in counts:
+            counts[k] += got[k]
+        if got["api_calls"]:  # tokens of answers that fail are spent too
+            spent = (run.rsplit("/", 1)[1], *step, number, got["api_calls"], got["prompt_tokens"], got["completion_tokens"], got["prompt_tokens"] + got["completion_tokens"])
+            own.createDataFrame([spent], USAGE).write.mode("append").parquet(f"{work_dir}/usage")
+        tokens = (a["prompt_tokens"].alias("prompt_tokens"), a["completion_tokens"].alias("completion_tokens"), (a["prompt_tokens"] + a["completion_tokens"]).alias("total_tokens"))
+        good = own.read.parquet(path).where("translation is not null")
+        good.select("key", F.sha2("text", 256).alias("source_sha256"), "translation", F.lit(VERSION).alias("version"), *tokens).write.mode("append").parquet(f"{work_dir}/cache")
+        if got["failed"]:
+            failed.append(told(f"{got['failed']} calls kept failing: {got['error']}"))
+            raise RemoteError(failed[0])
+
+    stream = spark.readStream.schema("key string, text string").option("maxFilesPerTrigger", side).parquet(f"{run}/open-{name}")
+    query = stream.writeStream.foreachBatch(kept).option("checkpointLocation", f"{run}/stream-{name}").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not failed:
+            raise
+        raise RemoteError(failed[0]) from None
+    return counts
+
+
 def translate(docs: DataFrame, work_dir: str, translator: Translator = echo, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[str, int]]:
     """(doc_id, text, failures) of every document, and the run's counts.
 
-    ``work_dir`` is a folder that all machines share; the cache is ``work_dir/cache``, and ``work_dir/usage``
-    has a row for each attempt of each run. Counts: chunks,
+    ``work_dir`` is a folder that all machines share; the cache is ``work_dir/cache``, ``work_dir/usage``
+    has a row for each batch of each attempt of each run, and ``work_dir/metrics`` one for each run that ended. Counts: chunks,
     cache_hits, api_calls, adaptive_splits and tokens of this run. A chunk that neither passes nor can be split
-    leaves its document without text and with the failure ``chunk failed``.
+    leaves its document without text and with the failure ``chunk failed``. A call that keeps failing is a ``RemoteError``; what
+    was answered before it, and beside it in its batch, is in the cache.
     """
     s = settings or Settings()
     spark = docs.sparkSession
     cache_path, run = f"{work_dir}/cache", f"{work_dir}/run-{uuid.uuid4().hex}"
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_path)
-    counts = {"cache_hits": 0, "api_calls": 0, "adaptive_splits": 0, "prompt_tokens": 0, "completion_tokens": 0}
+    counts = dict.fromkeys(METRICS, 0)
 
+    seen = Observation()
     chunks = document_chunks(docs, s.max_chars, id_col, text_col, target_language=s.target_language, translate_references=s.translate_references)
-    chunks.withColumn("key", F.when(F.col("translatable"), cache_key(F.col("text"), s))).write.parquet(f"{run}/chunks")
+    chunks = chunks.withColumn("key", F.when(F.col("translatable"), cache_key(F.col("text"), s)))
+    chunks.observe(seen, F.count_if("translatable").alias("chunks")).write.parquet(f"{run}/chunks")
+    counts["chunks"] = seen.get["chunks"]
     chunks = spark.read.parquet(f"{run}/chunks")
-    counts["chunks"] = chunks.where("translatable").count()
-    # A leaf is what is asked: a chunk, or a part of one with the sides it was reached by.
-    leaves = chunks.where("translatable").select("key", "text").dropDuplicates(["key"]).select(F.col("key").alias("root"), F.lit("").alias("side"), "key", "text")
-    prompt = system_prompt(s)
+    # A leaf is what is asked: a chunk (with how often it occurs), or a part of one with the sides it was reached by.
+    leaves = distinct_chunks(chunks.where("translatable")).select(F.col("key").alias("root"), F.lit("").alias("side"), "key", "text", "n")
     for depth in range(s.max_splits + 1):
         leaves.write.parquet(f"{run}/leaves-{depth}")
         leaves = spark.read.parquet(f"{run}/leaves-{depth}")
-        known = cache_hits(leaves.select("key", "text").dropDuplicates(["key"]), spark.read.parquet(cache_path), s.terms).select("key")
-        open_ = leaves.join(known, "key", "left_anti").select("key", "text").dropDuplicates(["key"])
+        known = cache_hits(leaves.select("key", "text").dropDuplicates(["key"]), spark.read.parquet(cache_path), s.terms).select("key", F.lit(True).alias("known"))
+        seen = Observation()
+        state = leaves.join(known, "key", "left").observe(seen, F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("hits"))
+        state.select("key", "text", "known").write.parquet(f"{run}/state-{depth}")
         if depth == 0:
-            found = chunks.where("translatable").join(known, "key", "left_semi").count()
-            counts["cache_hits"] += found
+            counts["cache_hits"] = seen.get["hits"]
+        open_ = spark.read.parquet(f"{run}/state-{depth}").where("known is null").select("key", "text").dropDuplicates(["key"])
         for attempt in range(s.tries):
-            asked = open_.withColumn("protected", protect(F.col("text"), s.terms)).withColumn("prompt", chunk_prompt(prompt, F.col("protected")))
-            path = f"{run}/asked-{depth}-{attempt}"
-            judged(ask(asked, translator, s.request_tries), s.terms).select("key", "text", "answer", "translation", "problem").write.parquet(path)
-            done = spark.read.parquet(path)
-            sums = done.agg(F.count_if(F.col("answer")["text"].isNotNull()), F.sum(F.col("answer")["prompt_tokens"]), F.sum(F.col("answer")["completion_tokens"]), F.count_if(F.col("problem").isNotNull())).first()
-            counts["api_calls"] += sums[0]
-            counts["prompt_tokens"] += sums[1] or 0
-            counts["completion_tokens"] += sums[2] or 0
-            if sums[0]:  # tokens of answers that fail are spent too
-                spent = (run.rsplit("/", 1)[1], depth, attempt, sums[0], sums[1] or 0, sums[2] or 0, (sums[1] or 0) + (sums[2] or 0))
-                spark.createDataFrame([spent], USAGE).write.mode("append").parquet(f"{work_dir}/usage")
-            a = F.col("answer")
-            good = done.where("translation is not null").select("key", F.sha2("text", 256).alias("source_sha256"), "translation", F.lit(VERSION).alias("version"), a["prompt_tokens"].alias("prompt_tokens"), a["completion_tokens"].alias("completion_tokens"), (a["prompt_tokens"] + a["completion_tokens"]).alias("total_tokens"))
-            good.write.mode("append").parquet(cache_path)
-            open_ = done.where("problem is not null").select("key", "text")
-            if not sums[3]:
+            got = ask_all(open_, work_dir, run, (depth, attempt), translator, s)
+            for k in ("api_calls", "prompt_tokens", "completion_tokens"):
+                counts[k] += got[k]
+            if not got["problems"]:
                 break
+            open_ = spark.read.parquet(f"{run}/asked-{depth}-{attempt}").where("problem is not null").select("key", "text")
         else:
-            bad = halves(open_, min_side=s.min_side).where("split_at is not null")
-            split = leaves.join(bad.select("key", "left", "right"), "key")
-            counts["adaptive_splits"] += bad.count()
-            sides = split.select("root", F.explode(F.array(F.struct(F.concat("side", F.lit("0")).alias("side"), F.col("left").alias("text")), F.struct(F.concat("side", F.lit("1")).alias("side"), F.col("right").alias("text")))).alias("_x"))
-            whole = leaves.join(bad.select("key"), "key", "left_anti")
-            new = sides.select("root", F.col("_x")["side"].alias("side"), F.col("_x")["text"].alias("text"))
-            leaves = whole.unionByName(new.select("root", "side", cache_key(F.col("text"), s).alias("key"), "text"))
-            if not bad.isEmpty():
+            seen = Observation()
+            halves(open_, min_side=s.min_side).where("split_at is not null").observe(seen, F.count("*").alias("n")).write.parquet(f"{run}/halves-{depth}")
+            if seen.get["n"]:
+                bad = spark.read.parquet(f"{run}/halves-{depth}")
+                counts["adaptive_splits"] += seen.get["n"]
+                split = leaves.join(bad.select("key", "left", "right"), "key")
+                parts = F.array(F.struct(F.concat("side", F.lit("0")).alias("side"), F.col("left").alias("text")), F.struct(F.concat("side", F.lit("1")).alias("side"), F.col("right").alias("text")))
+                new = split.select("root", "n", F.inline(parts)).withColumn("key", cache_key(F.col("text"), s))
+                leaves = leaves.join(bad.select("key"), "key", "left_anti").unionByName(new)
                 continue
         break
     answers = leaves.join(cache_hits(leaves.select("key", "text").dropDuplicates(["key"]), spark.read.parquet(cache_path), s.terms), "key", "left")
@@ -225,6 +307,7 @@ def translate(docs: DataFrame, work_dir: str, translator: Translator = echo, set
     lost = F.exists("_c", lambda c: c["_out"].isNull())
     texts = whole.select("doc_id", lost.alias("_lost"), F.array_join(F.transform("_c", lambda c: c["text"]), "").alias("_source"), F.array_join(F.transform("_c", lambda c: F.coalesce(c["_out"], F.lit(""))), "").alias("_target"))
     out = texts.withColumn("_text", let(F.col("_target"), lambda t: cleanup.cleaned(F.col("_source"), t, s.terms, outer=False)))
+    spark.createDataFrame([(run.rsplit("/", 1)[1], *[counts[k] for k in METRICS])], "run string, " + ", ".join(f"{k} long" for k in METRICS)).write.mode("append").parquet(f"{work_dir}/metrics")
     problems = F.when(F.col("_lost"), F.array(F.lit("chunk failed"))).otherwise(failures(F.col("_source"), F.col("_text"), s.terms))
     return out.select("doc_id", F.when(~F.col("_lost"), F.col("_text")).alias("text"), problems.alias("failures")), counts
 
