@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BREAKS, EOL, GAP, found, gaps_and_matches, is_blank, let, strip
+from .text import BREAKS, EOL, GAP, found, is_blank, let, places, running, strip
 
 # Patterns and words that decide what is a heading, a table or an image.
 HEADING = r"\A[ \t]*(#{1,6})[ \t]+([^\n]+?)[ \t]*(?:\n|\z)"
@@ -104,25 +104,27 @@ SPANS = "array<struct<start:int,stop:int>>"
 
 
 def _places(text: Column, pattern: str) -> Column:
-    """(start, stop) of all matches, from the lengths of what lies before them; the pattern runs once."""
+    return F.transform(places(text, pattern), lambda p: F.struct(p["start"], p["stop"]))
 
-    def made(pieces: Column) -> Column:
-        def span(hit: Column, i: Column) -> Column:
-            start = F.aggregate(F.slice(pieces, F.lit(1), 2 * i + 1), F.lit(0), lambda acc, v: acc + F.length(v))
-            return let(start, lambda at: F.struct(at.alias("start"), (at + F.length(hit)).alias("stop")))
 
-        return F.transform(F.filter(pieces, lambda p, i: i % 2 == 1), span)
+def _merged(spans: Column) -> Column:
+    """Spans in order as one where they overlap: a span opens one if it starts at or after the end of all before it."""
 
-    return let(gaps_and_matches(text, pattern), made)
+    def by_ends(own: Column) -> Column:
+        ends = running(F.transform(own, lambda s: s["stop"]), F.lit(0), lambda a, b: F.greatest(a, b))
 
+        def opened(ends: Column) -> Column:
+            opens = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.get(own, i)["start"] >= F.get(ends, i))
 
-def _merged(spans: Column) -> Column:
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        wider = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["stop"]), wider).otherwise(F.concat(acc, F.array(s)))
+            def closed(opens: Column) -> Column:
+                stop = lambda k: F.get(ends, F.coalesce(F.get(opens, k + 1), F.size(own)))
+                return F.transform(opens, lambda i, k: F.struct(F.get(own, i)["start"].alias("start"), stop(k).alias("stop")))
+
+            return let(opens, closed)
+
+        return let(ends, opened)
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
+    return let(F.array_sort(spans), by_ends)
 
 
 def table_spans(text: Column) -> Column:

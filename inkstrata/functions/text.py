@@ -20,6 +20,48 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, zero: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """What ``fold`` makes of the values before each, and of all of them: one entry more than ``values``.
+
+    Blocks of about the square root of the number are folded first, so n values take n times that root, and nothing grows inside the fold.
+    """
+
+    def by_block(values: Column, side: Column) -> Column:
+        blocks = F.ceil(F.size(values) / side).cast("int")
+        sums = F.transform(F.sequence(F.lit(1), blocks), lambda b: F.aggregate(F.slice(values, (b - 1) * side + 1, side), zero, fold))
+
+        def spread(sums: Column) -> Column:
+            starts = F.transform(F.sequence(F.lit(0), blocks), lambda b: F.aggregate(F.slice(sums, F.lit(1), b), zero, fold))
+            return let(
+                starts,
+                lambda at: F.transform(
+                    F.sequence(F.lit(0), F.size(values)), lambda i: F.aggregate(F.slice(values, F.floor(i / side).cast("int") * side + 1, i % side), F.get(at, F.floor(i / side).cast("int")), fold)
+                ),
+            )
+
+        return let(sums, spread)
+
+    def made(values: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int")
+        return F.when(F.size(values) == 0, F.array(zero)).otherwise(let(side, lambda side: by_block(values, side)))
+
+    return let(values, made)
+
+
+def places(c: Column, pattern: str) -> Column:
+    """(start, stop, match) of all matches, 0-based characters; the pattern runs once."""
+
+    def made(pieces: Column) -> Column:
+        at = running(F.transform(pieces, lambda p: F.length(p)), F.lit(0), lambda a, b: a + b)
+
+        def spans(at: Column) -> Column:
+            return F.transform(F.filter(pieces, lambda p, i: i % 2 == 1), lambda hit, i: F.struct(F.get(at, 2 * i + 1).alias("start"), F.get(at, 2 * i + 2).alias("stop"), hit.alias("match")))
+
+        return let(at, spans)
+
+    return let(gaps_and_matches(c, pattern), made)
+
+
 def strip(c: Column) -> Column:
     """Without white space (of all scripts) at either end."""
     return F.regexp_replace(c, rf"(?U)\A{SPACE}++|{SPACE}++\z", "")
@@ -85,5 +127,6 @@ def percent_encode(c: Column) -> Column:
 
 
 def redact(c: Column, secret: Column, keep: int = 600) -> Column:
-    """A message's first ``keep`` characters on one line, with the secret blanked out."""
-    return collapse(F.when(secret != "", F.replace(F.left(c, F.lit(keep)), secret, F.lit("<redacted>"))).otherwise(F.left(c, F.lit(keep))))
+    """A message's first ``keep`` characters on one line, with the secret blanked out before it is cut."""
+    plain = F.when(secret != "", F.replace(c, secret, F.lit("<redacted>"))).otherwise(c)
+    return F.left(collapse(plain), F.lit(keep))

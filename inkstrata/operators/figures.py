@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkstrata.functions.markdown import PANEL_LABEL
-from inkstrata.functions.text import found, is_blank, let, strip
+from inkstrata.functions.text import found, is_blank, let, places, strip
 
 # Layout types, caption and reference patterns, and the geometry's constants.
 CAPTION = r"(?U)\A\s*(?:Figure|Fig\.?|图)\s*(\d+)\s*[.．:：。]"
@@ -19,6 +19,7 @@ PANEL_TYPES = ("chart", "image")
 CAPTION_TYPES = ("chart", "image", "table")
 TEXT_TYPES = ("text", "header", "footer", "page_number", "page_footnote", "aside_text")
 PANEL_REFERENCE = r"!\[\]\((?:\.\./)?images/([0-9a-f]+\.jpg)\)"
+REFERENCE = r"!\[\]\((?:\.\./)?images/[^)\n]+\)"
 ANY_REFERENCE = r"!\[\]\((?:[^)]*/)?images/([^)]+)\)"
 GRID = 1000.0
 EDGE_MARGIN = 0.5
@@ -26,6 +27,7 @@ PASSES = 4
 CLEAN_PIXELS = 3
 DARK = 200
 DPI, INK_DPI = 300, 150
+GONE = "skip: already merged or refs not found"
 
 
 def captions(caption: Column) -> Column:
@@ -208,25 +210,132 @@ def rewrite(text: Column, images: Column, file: Column, prefix: str = "") -> Col
     return let(F.transform(images, lambda h: F.struct(F.regexp_instr(text, pattern(h)).alias("at"), F.coalesce(F.regexp_substr(text, pattern(h)), F.lit("")).alias("ref"))), made)
 
 
-def verify(plans: DataFrame, markdown: DataFrame, crops: DataFrame, overlaps: DataFrame, tolerance_px: int = 3) -> DataFrame:
+def edit_of(text: Column, refs: Column, images: Column, file: Column, prefix: str = "") -> Column:
+    """(status, start, stop, put): what folds a figure's panels in a text, found by the places of its references (``places`` of ``REFERENCE``).
+
+    Refused as ``rewrite`` refuses; start, stop and put are null then.
+    """
+    own = F.transform(images, lambda h: F.get(F.filter(refs, lambda r: F.regexp_extract(r["match"], r"images/([^)\n]+)\)", 1) == h), 0))
+
+    def made(own: Column) -> Column:
+        missing = F.exists(own, lambda r: r.isNull())
+        start, stop = F.array_min(F.transform(own, lambda r: r["start"])), F.array_max(F.transform(own, lambda r: r["stop"]))
+
+        def judged(span: Column) -> Column:
+            rest = F.filter(F.transform(F.split(F.regexp_replace(span, PANEL_REFERENCE, ""), "\n", -1), strip), lambda x: x != "")
+            bad = F.get(F.filter(rest, lambda x: ~x.rlike(PANEL_LABEL)), 0)
+            same = F.array_sort(F.array_distinct(found(span, PANEL_REFERENCE, 1))) == F.array_sort(F.array_distinct(images))
+            status = (
+                F.when(missing, GONE)
+                .when(bad.isNotNull(), F.concat(F.lit("skip: unexpected content between panels ("), F.left(bad, F.lit(60)), F.lit(")")))
+                .when(~same, "skip: panel refs are not contiguous")
+                .otherwise(F.concat(F.lit("merged "), F.size(images).cast("string"), F.lit(" panels -> images/"), file))
+            )
+            labels = F.when(F.size(rest) > 0, F.concat(F.array_join(rest, "\n"), F.lit("\n"))).otherwise("")
+            put, good = F.concat(F.lit(f"![]({prefix}images/"), file, F.lit(")\n"), labels), status.startswith("merged")
+            return F.struct(status.alias("status"), *[F.when(good, c).alias(n) for c, n in ((start, "start"), (stop, "stop"), (put, "put"))])
+
+        return let(F.substring(text, start + 1, stop - start), judged)
+
+    return F.when(F.size(images) > 0, let(own, made)).otherwise(F.struct(F.lit(GONE).alias("status"), *[F.lit(None).cast(t).alias(n) for n, t in (("start", "int"), ("stop", "int"), ("put", "string"))]))
+
+
+def applied(text: Column, edits: Column) -> Column:
+    """The text with all edits (start, stop, put; none overlaps another) made in one pass."""
+
+    def made(e: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(e, i - 1)["stop"], F.lit(0))
+        parts = F.transform(e, lambda x, i: F.concat(F.substring(text, before(i) + 1, x["start"] - before(i)), x["put"]))
+        rest = F.substring(text, F.get(e, F.size(e) - 1)["stop"] + 1, F.length(text))
+        return F.when(F.size(e) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
+
+    return let(F.array_sort(F.transform(edits, lambda x: F.struct(x["start"], x["stop"], x["put"]))), made)
+
+
+def fold(markdown: DataFrame, figures: DataFrame, prefix: str = "") -> DataFrame:
+    """doc_id, text, changed, figures (figure, status) of every text with all its figures folded.
+
+    ``markdown``: doc_id, text. ``figures``: doc_id, figure, images (names of the panels), file. Edits are planned against the text as it
+    is, references found once; one that overlaps that of a figure of a lower number is refused, as its references are gone by then. All others are made in one
+    pass. A text moves once, by its document; a null text stays null, and a document without figures stays as it is.
+    """
+    own = figures.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("figure", "file", "images"))).alias("_own"))
+    rows = markdown.select("doc_id", "text").join(own, "doc_id", "left")
+    text = F.col("text")
+
+    def planned(refs: Column) -> Column:
+        return F.transform("_own", lambda f: F.struct(f["figure"].alias("figure"), edit_of(text, refs, f["images"], f["file"], prefix).alias("edit")))
+
+    kind = "array<struct<figure:int,edit:struct<status:string,start:int,stop:int,put:string>>>"
+
+    def settled(plans: Column) -> Column:
+        """Plans in order, each one refused that overlaps one kept before it."""
+
+        def step(kept: Column, p: Column) -> Column:
+            e = p["edit"]
+            clash = F.exists(kept, lambda k: (k["edit"]["start"] < e["stop"]) & (e["start"] < k["edit"]["stop"]))
+            none = F.struct(F.lit(GONE).alias("status"), *[F.lit(None).cast(t).alias(n) for n, t in (("start", "int"), ("stop", "int"), ("put", "string"))])
+            return F.concat(kept, F.array(F.struct(p["figure"].alias("figure"), F.when(clash, none).otherwise(e).alias("edit"))).cast(kind))
+
+        return F.aggregate(plans.cast(kind), F.array().cast(kind), step)
+
+    plans = F.when(text.isNotNull() & F.col("_own").isNotNull(), settled(let(places(text, REFERENCE), planned)))
+    rows = rows.withColumn("_plans", F.explode(F.array(F.coalesce(plans, F.array().cast(kind)))))
+    out = applied(text, F.transform(F.filter("_plans", lambda p: p["edit"]["start"].isNotNull()), lambda p: p["edit"]))
+    rows = rows.withColumn("_out", F.explode(F.array(out)))
+    told = F.when(text.isNull(), F.transform("_own", lambda f: F.struct(f["figure"].alias("figure"), F.lit(GONE).alias("status")))).otherwise(
+        F.transform("_plans", lambda p: F.struct(p["figure"].cast(figures.schema["figure"].dataType).alias("figure"), p["edit"]["status"].alias("status")))
+    )
+    return rows.select("doc_id", F.col("_out").alias("text"), (~F.col("_out").eqNullSafe(text)).alias("changed"), told.alias("figures"))
+
+
+def references(markdown: DataFrame) -> DataFrame:
+    """doc_id, file, n: how often each image is referred to. Names alone leave the texts, and counts are combined before they move."""
+    names = markdown.select("doc_id", F.explode(found(F.col("text"), ANY_REFERENCE, 1)).alias("file"))
+    return names.groupBy("doc_id", "file").agg(F.count("*").alias("n"))
+
+
+def unresolved(markdown: DataFrame, files: DataFrame) -> DataFrame:
+    """doc_id, file, n of references to images that aren't there (``files``: doc_id, file)."""
+    return references(markdown).join(files.select("doc_id", "file").distinct(), ["doc_id", "file"], "left_anti")
+
+
+def verify(plans: DataFrame, markdown: DataFrame, crops: DataFrame, overlaps: DataFrame, tolerance_px: int = 3, files: DataFrame | None = None) -> DataFrame:
     """doc_id, figure, status and failures of each planned figure against the Markdown and the crops that exist.
 
     ``markdown``: doc_id, text. ``crops``: doc_id, file, width_px, height_px. A figure whose
-    panels still stand apart is left unfolded and not judged further.
+    panels still stand apart is left unfolded and not judged further. With ``files`` (doc_id, file) a text whose
+    references don't all resolve is a failure of each of its figures. What is asked of a text is asked in its own row, for all its figures; figures then go on without it.
     """
-    images = F.transform("panels", lambda p: p["img"])
+    own = plans.groupBy("doc_id").agg(F.collect_list(F.struct("figure", "file", "width_px", "height_px", F.transform("panels", lambda p: p["img"]).alias("images"))).alias("_own"))
+    met = own.join(markdown.select("doc_id", F.col("text").alias("_t")), "doc_id", "left")
+    text = F.coalesce("_t", F.lit(""))
+
+    def asked(refs: Column) -> Column:
+        def one(f: Column) -> Column:
+            times = (F.length(text) - F.length(F.replace(text, f["file"], F.lit("")))) / F.length(f["file"])
+            return F.struct(
+                *[f[c].alias(c) for c in ("figure", "file", "width_px", "height_px")],
+                F.size(F.filter(f["images"], lambda h: text.contains(h))).alias("_apart"),
+                edit_of(text, refs, f["images"], f["file"])["status"].startswith("merged").alias("_foldable"),
+                times.alias("_refs"),
+                text.contains(F.concat(F.lit("images/"), f["file"])).alias("_wired"),
+            )
+
+        return F.transform("_own", one)
+
+    rows = met.select("doc_id", F.inline(let(places(text, REFERENCE), asked)))
     hits = overlaps.groupBy("doc_id", "figure").agg(F.count("*").alias("_hits"))
     got = crops.select("doc_id", "file", F.col("width_px").alias("_w"), F.col("height_px").alias("_h"))
-    rows = plans.join(markdown.select("doc_id", F.col("text").alias("_text")), "doc_id", "left").join(got, ["doc_id", "file"], "left").join(hits, ["doc_id", "figure"], "left")
-    text = F.coalesce("_text", F.lit(""))
-    apart = F.filter(images, lambda h: text.contains(h))
-    foldable = rewrite(text, images, F.col("file"))["status"].startswith("merged")
-    refs = (F.length(text) - F.length(F.replace(text, F.col("file"), F.lit("")))) / F.length("file")
+    rows = rows.join(got, ["doc_id", "file"], "left").join(hits, ["doc_id", "figure"], "left")
+    loose = F.lit(0)
+    if files is not None:
+        rows, loose = rows.join(unresolved(markdown, files).groupBy("doc_id").agg(F.count("*").alias("_loose")), "doc_id", "left"), F.coalesce("_loose", F.lit(0))
     status = (
-        F.when(foldable & F.col("_w").isNull(), "missing image")
-        .when(foldable, "mergeable")
-        .when(F.size(apart) > 0, "left unfolded")
-        .when(~text.contains(F.concat(F.lit("images/"), F.col("file"))), "no reference")
+        F.when(F.col("_foldable") & F.col("_w").isNull(), "missing image")
+        .when(F.col("_foldable"), "mergeable")
+        .when(F.col("_apart") > 0, "left unfolded")
+        .when(~F.col("_wired"), "no reference")
         .when(F.col("_w").isNull(), "missing image")
         .otherwise("merged")
     )
@@ -238,7 +347,8 @@ def verify(plans: DataFrame, markdown: DataFrame, crops: DataFrame, overlaps: Da
             F.when(F.col("status") == "missing image", F.lit("the crop does not exist")),
             F.when(judged & ~fits, F.lit("the crop's size is not that of its box")),
             F.when(judged & (F.coalesce("_hits", F.lit(0)) > 0), F.lit("the crop covers text")),
-            F.when(judged & ((refs != 1) | (F.size(apart) > 0)), F.lit("references are wrong")),
+            F.when(judged & ((F.col("_refs") != 1) | (F.col("_apart") > 0)), F.lit("references are wrong")),
+            F.when(loose > 0, F.lit("references of the text do not resolve")),
         ),
         lambda x: x.isNotNull(),
     )

@@ -270,7 +270,7 @@ def error_previews(spark, sf_dir):
 
 
 ERROR_PREVIEWS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN doc_id % 4 > 0 THEN string_split_regex(coalesce(text, ''), '[ \\n]')[1] ELSE '' END AS s FROM documents)
-SELECT doc_id, trim(regexp_replace(CASE WHEN s = '' THEN left(t, 600) ELSE replace(left(t, 600), s, '<redacted>') END, '\\s+', ' ', 'g'), {SPACES}) AS preview FROM d"""
+SELECT doc_id, left(trim(regexp_replace(CASE WHEN s = '' THEN t ELSE replace(t, s, '<redacted>') END, '\\s+', ' ', 'g'), {SPACES}), 600) AS preview FROM d"""
 
 
 def token_checks(spark, sf_dir):
