@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import lzma
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,10 +45,10 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*.pdf", mode: s
 
 
 def content_lists(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (the folder), list (the file's name) and json of all layout lists under a path, in the order of their names."""
+    """doc_id (the folder), list (the file's name) and json of all layout lists under a path, in no order."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_content_list.json").text(path, wholetext=True)
     file = F.col("_metadata.file_path")
-    return rows.select(F.regexp_extract(file, r"\A(.*)/[^/]*\z", 1).alias("doc_id"), F.regexp_extract(file, r"([^/]*)\z", 1).alias("list"), F.col("value").alias("json")).orderBy("doc_id", "list")
+    return rows.select(F.regexp_extract(file, r"\A(.*)/[^/]*\z", 1).alias("doc_id"), F.regexp_extract(file, r"([^/]*)\z", 1).alias("list"), F.col("value").alias("json"))
 
 
 def content_items(lists: DataFrame, json_col: str = "json") -> DataFrame:
@@ -68,7 +70,8 @@ def zip_members(files: DataFrame, content_col: str = "content", most: int = MEMB
 
     An archive with a link, an absolute path or one that climbs out has a single row with the
     error and nothing else of it is read, and so has one that is no archive or has a member of
-    more than ``most`` bytes when unpacked. An archive is
+    more than ``most`` bytes when unpacked. A member that can't be read (encrypted, damaged, packed by an unknown
+    method) has a row with its name and the error, without bytes; the others are read all the same. An archive is
     the largest thing held; its members are given out one by one.
     """
     others = [c for c in files.columns if c != content_col]
@@ -83,6 +86,16 @@ def zip_members(files: DataFrame, content_col: str = "content", most: int = MEMB
                 return f"member too large: {m.filename}"
         return None
 
+    def unpacked(z: zipfile.ZipFile, m: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+        if m.flag_bits & 1:
+            return None, "encrypted member"
+        try:
+            return z.read(m), None
+        except NotImplementedError:
+            return None, "member packed by an unknown method"
+        except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, OSError, EOFError, RuntimeError, ValueError):
+            return None, "damaged member"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
@@ -98,8 +111,8 @@ def zip_members(files: DataFrame, content_col: str = "content", most: int = MEMB
                             continue
                         for m in z.infolist():
                             if not m.is_dir():
-                                yield row(m.filename, z.read(m), None)
-                except zipfile.BadZipFile:
+                                yield row(m.filename, *unpacked(z, m))
+                except (zipfile.BadZipFile, ValueError, EOFError):
                     yield row(None, None, "no archive")
 
     kinds = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in others)

@@ -162,7 +162,7 @@ def test_readers(spark, values, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "b_content_list.json").write_text("[]")
     (tmp_path / "in" / "a_content_list.json").write_text('[{"type": "text"}]')
-    assert [(r["list"], r["json"]) for r in readers.content_lists(spark, str(tmp_path / "in")).collect()] == [("a_content_list.json", '[{"type": "text"}]'), ("b_content_list.json", "[]")]
+    assert sorted((r["list"], r["json"]) for r in readers.content_lists(spark, str(tmp_path / "in")).collect()) == [("a_content_list.json", '[{"type": "text"}]'), ("b_content_list.json", "[]")]
     (tmp_path / "a.pdf").write_bytes(b"12345")
     assert [(r["length"], bytes(r["content"]), r["refused"]) for r in readers.binary_files(spark, str(tmp_path)).collect()] == [(5, b"12345", False)]
     with pytest.MonkeyPatch.context() as patch:
@@ -171,6 +171,29 @@ def test_readers(spark, values, tmp_path):
     assert values(readers.secret_in, "a sk-abcdefghijklm b", "export MY_TOKEN='abc'\n", "# head\n`value-of-some-length`", "short") == ["sk-abcdefghijklm", "abc", "value-of-some-length", None]
 
 
+def test_members_that_cannot_be_read_are_told_apart(spark):
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in ("good", "locked", "spoilt", "odd", "last"):
+            z.writestr(name, name * 50)
+    data = bytearray(raw.getvalue())
+    with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+        at = {m.filename: m.header_offset for m in z.infolist()}
+    heads, k = {}, data.index(b"PK\x01\x02")
+    for name in at:
+        heads[name] = k
+        k = data.find(b"PK\x01\x02", k + 1)
+    for place in (at["locked"] + 6, heads["locked"] + 8):
+        data[place] |= 1
+    for place in (at["odd"] + 8, heads["odd"] + 10):
+        data[place] = 99
+    data[at["spoilt"] + 30 + len("spoilt") + 1] ^= 0xFF
+    files = spark.createDataFrame([(1, bytes(data)), (2, bytes(data[:40]))], "doc_id long, content binary")
+    got = {(r["doc_id"], r["member"]): (r["bytes"] and len(r["bytes"]), r["error"]) for r in readers.zip_members(files).collect()}
+    unread = {"locked": "encrypted member", "spoilt": "damaged member", "odd": "member packed by an unknown method"}
+    assert got == {(1, "good"): (200, None), (1, "last"): (200, None), (2, None): (None, "no archive"), **{(1, k): (None, v) for k, v in unread.items()}}
+
+
 def test_translate(spark, tmp_path):
     text = "# Head\n\nSome **bold** words with $x$ and token.\n\n```\ncode\n```\n\nMore words here.\n"
     long = "".join(f"Sentence number {i} is here. " for i in range(30)) + "\n\n" + "".join(f"Other words {i} follow. " for i in range(30)) + "\n"
