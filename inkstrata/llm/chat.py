@@ -9,14 +9,20 @@ it moves, and joined to the turns. All of it is built-in functions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NARRATORS = ("system",)
-NOBODY = "unknown"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
+def apart(text: Column) -> Column:
+    """The text with marks that open or close a message taken apart."""
+    for mark in (OPEN, CLOSE):
+        text = F.replace(text, F.lit(mark), F.lit(mark.replace("<|", "< |")))
+    return text
+
+
 def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrators: tuple[str, ...] = NARRATORS) -> DataFrame:
     """conv_id, perspective, turn, role, name, rendered, mask_start, mask_stop for each message and participant.
 
@@ -26,24 +32,22 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     own messages, nothing (0, 0) of others. Narrators keep their role in every rendering and
     have no perspective; a conversation of narrators alone gives no rows.
 
-    A null speaker is a participant without a name: another than any that is called ``unknown``,
-    and null as a perspective. Breaks in a speaker's name are spaces in a rendering. Marks that
-    open or close a message are taken apart where they stand in a text (``<|`` becomes ``< |``),
-    so that no text can end its message. Null text is empty, null conversation ids are one
+    A null speaker is a participant without a name: null as a perspective, and a user without
+    ``name=`` in a rendering. Breaks in a speaker's name are spaces in a rendering. Marks that
+    open or close a message are taken apart where they stand in a text or a name (``<|`` becomes ``< |``),
+    so that neither can end its message or open another. Null text is empty, null conversation ids are one
     conversation. Turns with equal numbers are in the order of speaker (null first) and text,
     which ``messages`` puts them in; repeated rows all come back. Other columns are left out. An
     empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    for mark in (OPEN, CLOSE):
-        text = F.replace(text, F.lit(mark), F.lit(mark.replace("<|", "< |")))
+    text = apart(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     lines = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(speaker_col).cast("string").alias("speaker"), text.alias("text"))
     narrates = F.coalesce(F.col("speaker").isin(*narrators), F.lit(False))
     seats = lines.where(~narrates).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
     seen = lines.join(seats, lines["conv_id"].eqNullSafe(seats["_conv"]))
     own = ~narrates & F.col("speaker").eqNullSafe(F.col("perspective"))
     role = F.when(narrates, F.col("speaker")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
-    name = F.when(role == "user", F.regexp_replace(F.coalesce("speaker", F.lit(NOBODY)), r"[\r\n]+", " "))
+    name = F.when(role == "user", apart(F.regexp_replace("speaker", r"[\r\n]+", " ")))
     head = F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
     tail = CLOSE + "\n"
     zero = F.lit(0).cast("long")
@@ -75,7 +79,8 @@ seats AS (SELECT DISTINCT conv_id AS conv, speaker AS perspective FROM lines WHE
 seen AS (
   SELECT conv_id, perspective, turn, text,
     CASE WHEN speaker = 'system' THEN speaker WHEN speaker IS NOT DISTINCT FROM perspective THEN 'assistant' ELSE 'user' END AS role,
-    CASE WHEN speaker IS DISTINCT FROM 'system' AND speaker IS DISTINCT FROM perspective THEN regexp_replace(coalesce(speaker, 'unknown'), '[\\r\\n]+', ' ', 'g') END AS name
+    CASE WHEN speaker IS DISTINCT FROM 'system' AND speaker IS DISTINCT FROM perspective 
+      THEN replace(replace(regexp_replace(speaker, '[\\r\\n]+', ' ', 'g'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') END AS name
   FROM lines JOIN seats ON conv_id IS NOT DISTINCT FROM conv),
 heads AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM seen)
 SELECT conv_id, perspective, turn, role, name, head || text || '<|im_end|>' || chr(10) AS rendered,

@@ -13,6 +13,7 @@ text.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -122,9 +123,9 @@ def fit(docs: DataFrame, labelled: Column, *, id_col: str = "doc_id", text_col:
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model({})
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_rows / n))).otherwise(share)
+    # One literal, whatever the number of languages.
+    shares = json.dumps({lang: min(1.0, max_rows / n) for lang, n in sizes.items()})
+    share = F.from_json(F.lit(shares), "map<string,double>")[F.col("lang")]
     sample = rows.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

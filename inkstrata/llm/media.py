@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bytes_of, utf8
+from .common import attach, bytes_of, unused, utf8
 
 WIDTH = 576
 PAD = 255
@@ -78,7 +78,9 @@ def feature_of(samples: bytes) -> str:
     return f"mean={int(x.sum(dtype=np.int64)) * 1000 // len(x)};hist=" + ",".join(map(str, np.bincount(x >> 4, minlength=16)))
 
 
-BLOCKS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "section", "article", "blockquote", "tr")
+BLOCKS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "section", "article", "blockquote", "tr", "dt", "dd", "pre", "table", "caption", "ul", "ol", "dl", "main", "header", "footer", "nav", "aside", "address", "form")
+# What words of two of them never run together in, though they are one text.
+CELLS = ("td", "th", "br", "option")
 # What ends a caption whose own end is missing.
 AFTER_CAPTION = ("figure", "section", "article", "main", "body", "html")
 
@@ -87,7 +89,7 @@ class _Items(HTMLParser):
     """Ordered text and media items; a figure's caption goes to the media inside it.
 
     A caption ends at its own end tag, or at the end or beginning of what can't be in one. One
-    that belongs to no media is text.
+    that belongs to no media is text. Several captions of a figure are joined by a space.
     """
 
     def __init__(self):
@@ -97,7 +99,14 @@ class _Items(HTMLParser):
         self.hidden = 0
         self.figure: int | None = None
         self.caption: list[str] | None = None
-        self.said: str | None = None  # the caption of a figure whose media may follow
+        self.said: str | None = None  # the captions of a figure whose media may follow
+        self.captioned: set[int] = set()  # positions of media whose caption is a figure's
+
+    def give(self, media: list[dict], text: str) -> None:
+        """A figure's caption in place of what an image says of itself, or after the captions before it."""
+        for item in media:
+            item["caption"] = f"{item['caption']} {text}" if item["position"] in self.captioned else text
+            self.captioned.add(item["position"])
 
     def end_caption(self) -> None:
         if self.caption is None:
@@ -106,10 +115,9 @@ class _Items(HTMLParser):
         if not text:
             return
         media = [x for x in self.items[self.figure :] if x["kind"] == "media"] if self.figure is not None else []
-        for item in media:
-            item["caption"] = text
+        self.give(media, text)
         if not media and self.figure is not None:
-            self.said = text
+            self.said = f"{self.said} {text}" if self.said else text
         elif not media:
             self.words.append(text)
             self.end_text()
@@ -119,8 +127,10 @@ class _Items(HTMLParser):
         self.end_text()
         media = [x for x in self.items[self.figure :] if x["kind"] == "media"] if self.figure is not None else []
         if self.said is not None:
-            for item in media:
-                item["caption"] = self.said
+            own = [x for x in media if x["position"] in self.captioned]
+            self.give([x for x in media if x["position"] not in self.captioned], self.said)
+            for item in own:  # said before the media and after it
+                item["caption"] = f"{self.said} {item['caption']}"
             if not media:
                 self.words.append(self.said)
                 self.end_text()
@@ -150,9 +160,9 @@ class _Items(HTMLParser):
             if src:
                 self.end_text()
                 self.items.append({"position": len(self.items), "kind": "media", "text": None, "digest": src.removeprefix(SCHEME) if src.startswith(SCHEME) else None, "caption": at.get("alt") or None})
-        elif tag in BLOCKS or tag == "br":
+        elif tag in BLOCKS or tag in CELLS:
             (self.words if self.caption is None else self.caption).append(" ")
-            if tag != "br":
+            if tag in BLOCKS:
                 self.end_text()
 
     def handle_endtag(self, tag):
@@ -162,6 +172,8 @@ class _Items(HTMLParser):
             self.end_caption()
         elif tag == "figure":
             self.end_figure()
+        elif tag in CELLS:
+            (self.words if self.caption is None else self.caption).append(" ")
         elif tag in AFTER_CAPTION or tag in BLOCKS:
             if tag in AFTER_CAPTION:
                 self.end_caption()
@@ -195,9 +207,11 @@ def items(pages: DataFrame, html_col: str = "html") -> DataFrame:
     digest and resolve to nothing. Columns that clash with an item's are replaced.
     """
     names = [f.split()[0] for f in ITEM.split(", ")]
-    made = attach(pages, "_items", _parse, f"array<struct<{ITEM.replace(' ', ':').replace(',:', ',')}>>", F.col(html_col).cast("string"))
     others = [c for c in pages.columns if c.lower() not in names and c != html_col]
-    return made.select(*others, F.explode("_items").alias("_item")).select(*others, *[F.col("_item")[n].alias(n) for n in names])
+    listed = unused(pages, "_items")
+    made = attach(pages, listed, _parse, f"array<struct<{ITEM.replace(' ', ':').replace(',:', ',')}>>", F.col(html_col).cast("string"))
+    own = made.select(*[F.col(f"`{c}`") for c in others], F.explode(listed).alias(listed))
+    return own.select(*[F.col(f"`{c}`") for c in others], *[F.col(listed)[n].alias(n) for n in names])
 
 
 def store(payloads: DataFrame, digest: Column, payload: Column) -> DataFrame:
@@ -231,12 +245,18 @@ def described(media: DataFrame) -> DataFrame:
 def sequence(pages: DataFrame, media: DataFrame, html_col: str = "html") -> DataFrame:
     """All items of all pages with the columns of their media beside them, null where nothing resolves.
 
-    ``media`` has one row per digest. References to one digest may be a large share of all rows: they are the
+    ``media`` has one row per digest. A column of it that is called as an item's comes as ``media_`` and its name; a
+    page's other columns give way to the media's. References to one digest may be a large share of all rows: they are the
     streamed side of the join, which the engine splits where they pile up.
     """
     found = items(pages, html_col)
-    clash = [c for c in media.columns if c != "digest" and c in found.columns]
-    return found.drop(*clash).join(media, "digest", "left")
+    own = {f.split()[0] for f in ITEM.split(", ")} - {"digest"}
+    for c in media.columns:
+        if c.lower() in own:
+            media = media.withColumnRenamed(c, unused(found, f"media_{c}"))
+    taken = {c.lower() for c in media.columns if c != "digest"}
+    found = found.drop(*[c for c in found.columns if c.lower() in taken])
+    return found.join(media, "digest", "left")
 
 
 def pages_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", caption_col: str = "source") -> DataFrame:
