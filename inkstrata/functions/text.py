@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from inspect import signature
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,12 +95,17 @@ def gaps_and_matches(c: Column, pattern: str) -> Column:
 
 
 def substitute(c: Column, pattern: str, fn: Callable[..., Column]) -> Column:
-    """Each match replaced by ``fn`` of it (and of its number, if ``fn`` takes two arguments).
+    """Each match replaced by ``fn`` of it (and of its number, if ``fn`` takes two arguments); the pattern runs once.
 
-    ``pattern`` must not match the empty text. ``c`` is named twice: use ``let`` where it is costly.
+    ``pattern`` must not match the empty text. ``c`` is named several times: use ``let`` where it is costly.
     """
-    pairs = F.zip_with(F.split(c, pattern, -1), F.transform(found(c, pattern), fn), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
-    return F.array_join(pairs, "")
+    numbered = len(signature(fn).parameters) > 1
+
+    def put(piece: Column, i: Column) -> Column:
+        new = fn(piece, F.floor(i / 2).cast("int")) if numbered else fn(piece)
+        return F.when(i % 2 == 1, F.coalesce(new, F.lit(""))).otherwise(piece)
+
+    return F.array_join(F.transform(gaps_and_matches(c, pattern), put), "")
 
 
 def quoted(literal: str) -> str:
