@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .markdown import STRONG
-from .protect import URL, URL_SCHEMES, spans
-from .text import SPACE, found, is_blank, let, quoted, strip, substitute
+from .protect import URL, URL_SCHEMES, exactly, spans
+from .text import SPACE, found, is_blank, let, strip, substitute
 
 # An answer wrapped in a fence; characters that glue a word to a URL.
 OUTER_FENCE = r"(?is)\A```(?:markdown|md|json)?\s*\n(.*)\n```\z"
@@ -31,24 +31,34 @@ def with_outer_space(source: Column, translated: Column) -> Column:
 
 def without_code_terms(source: Column, translated: Column, terms: Sequence[str]) -> Column:
     """Terms without the code marks that the source doesn't have around them."""
-    out = translated
-    for term in terms:
-        if term and "`" not in term:
-            pattern = f"(`+){quoted(term)}\\1"
-            plain = term.replace("\\", "\\\\").replace("$", "\\$")
-            out = F.when(source.rlike(pattern), out).otherwise(F.regexp_replace(out, pattern, plain))
-    return out
+    own = [t for t in terms if t and "`" not in t]
+    if not own:
+        return translated
+    coded = rf"(?sU)(`+)({exactly(own)})\1"
+
+    def bared(kept: Column) -> Column:
+        def one(m: Column) -> Column:
+            term = F.regexp_extract(m, coded, 2)
+            return F.when(F.array_contains(kept, term), m).otherwise(term)
+
+        return let(translated, lambda t: substitute(t, coded, one))
+
+    return let(F.array_distinct(found(source, coded, 2)), bared)
 
 
 def with_url_ends(source: Column, translated: Column) -> Column:
-    """A space after a URL of the source that a word was glued to; the longest such URL counts."""
+    """A space after a URL of the source that a word was glued to; the longest such URL counts.
+
+    Found by halving the sorted URLs: between a prefix of a text and the text itself, all in order begin with that
+    prefix, so the last URL not after a text is one, or leads to it over the longest URLs that it begins with.
+    """
     urls = F.filter(spans(source), lambda v: v.startswith(URL_SCHEMES[0]) | v.startswith(URL_SCHEMES[1]) | v.startswith(URL_SCHEMES[2]))
+    known = let(F.array_sort(F.array_distinct(urls)), with_parents)
 
     def made(known: Column) -> Column:
         def apart(token: Column) -> Column:
-            fits = F.transform(F.filter(known, lambda u: token.startswith(u)), lambda u: F.struct(F.length(u).alias("n"), u.alias("u")))
             return let(
-                F.array_max(fits)["u"],
+                longest_prefix(known, token),
                 lambda u: F.when(u.isNull() | (u == token), token)
                 .when(F.substring(token, F.length(u) + 1, F.length(token)).rlike(URL_WORD), F.concat(u, F.lit(" "), F.substring(token, F.length(u) + 1, F.length(token))))
                 .otherwise(token),
@@ -56,7 +66,34 @@ def with_url_ends(source: Column, translated: Column) -> Column:
 
         return substitute(translated, f"(?U){URL}", apart)
 
-    return let(urls, made)
+    return let(known, made)
+
+
+def with_parents(urls: Column) -> Column:
+    """(text, parents) of sorted, different texts: those before it that it begins with, the longest first."""
+    kind = "array<struct<text:string,parents:array<string>>>"
+
+    def step(acc: Column, u: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        chain = F.concat(F.array(last["text"]), last["parents"])
+        return F.concat(acc, F.array(F.struct(u.alias("text"), F.when(last.isNull(), F.array().cast("array<string>")).otherwise(F.filter(chain, lambda p: u.startswith(p))).alias("parents"))).cast(kind))
+
+    return F.aggregate(urls, F.array().cast(kind), step)
+
+
+def longest_prefix(known: Column, text: Column) -> Column:
+    """The longest of ``known`` (see ``with_parents``) that a text begins with, null if none does."""
+    # As many halvings as any array takes; those after the last change nothing.
+    span = F.struct(F.lit(-1).alias("low"), F.size(known).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = F.get(known, middle)["text"] <= text
+        return F.when(s["high"] - s["low"] <= 1, s).otherwise(F.struct(F.when(below, middle).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(middle).alias("high")))
+
+    rounds = F.ceil(F.log2(F.size(known) + 2)).cast("int")
+    before = let(F.aggregate(F.sequence(F.lit(1), rounds), span, halve)["low"], lambda i: F.when(i >= 0, F.get(known, i)))
+    return let(before, lambda b: F.when(text.startswith(b["text"]), b["text"]).otherwise(F.get(F.filter(b["parents"], lambda p: text.startswith(p)), 0)))
 
 
 def with_strong_space(source: Column, translated: Column) -> Column:

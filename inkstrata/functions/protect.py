@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
+from os.path import commonprefix
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,10 +43,48 @@ def term_pattern(term: str) -> str:
     return (f"(?<!{word})" if ascii_word(term[0]) else "") + quoted(term) + (f"(?!{word})" if ascii_word(term[-1]) else "")
 
 
+def exactly(terms: Sequence[str]) -> str:
+    """Any of the terms, whatever stands beside it."""
+    return terms_pattern(terms, beside=False)
+
+
+def terms_pattern(terms: Sequence[str], beside: bool = True) -> str:
+    """Any of the terms, the longest that fits at a place: one pattern with a branch wherever terms part ways.
+
+    A place is tried with the terms that begin as it does, not with all, so many terms cost what a few do. It matches
+    what the terms' own patterns (``term_pattern``) match, the longest first. Without terms it matches nothing. ``beside``: mind
+    the characters beside a term.
+    """
+    word = "[A-Za-z0-9_]"
+
+    def ascii_word(c: str) -> bool:
+        return beside and c.isascii() and (c.isalnum() or c == "_")
+
+    def literal(text: str) -> str:
+        return "".join(c if not c.isascii() or c.isalnum() else f"\\x{ord(c):02x}" for c in text)
+
+    def rest(own: list[str], at: int) -> str:
+        """A pattern for what follows the first ``at`` characters of the terms, which share these."""
+        ends = own[0][at:] == ""
+        branches = [(c, list(g)) for c, g in groupby(own[1:] if ends else own, key=lambda t: t[at])]
+        made = []
+        for _, group in branches:
+            shared = commonprefix([group[0], group[-1]])
+            made.append(literal(shared[at:]) + rest(group, len(shared)))
+        if ends:
+            made.append(f"(?!{word})" if ascii_word(own[0][-1]) else "")
+        return made[0] if len(made) == 1 else f"(?:{'|'.join(made)})"
+
+    own = sorted({t for t in terms if t})
+    inner = [t for t in own if ascii_word(t[0])]
+    outer = [t for t in own if not ascii_word(t[0])]
+    parts = ([f"(?<!{word})(?=[{literal(''.join(sorted({t[0] for t in inner})))}]){rest(inner, 0)}"] if inner else []) + ([rest(outer, 0)] if outer else [])
+    return "|".join(f"(?:{p})" for p in parts) or "(?!)"
+
+
 def span_pattern(terms: Sequence[str] = ()) -> str:
     """All protected spans, and after them the terms, the longest first."""
-    own = [term_pattern(t) for t in sorted(terms, key=len, reverse=True)]
-    return "(?sU)" + "|".join(f"(?:{p})" for p in [*SPANS, *own])
+    return "(?sU)" + "|".join(f"(?:{p})" for p in [*SPANS, *([terms_pattern(terms)] if any(terms) else [])])
 
 
 def spans(text: Column, terms: Sequence[str] = ()) -> Column:
@@ -55,7 +95,7 @@ def spans(text: Column, terms: Sequence[str] = ()) -> Column:
 def may_move(value: Column, terms: Sequence[str] = ()) -> Column:
     """Formulas, inline code and terms may change places; all else has to keep its order."""
     free = value.startswith("$") | value.startswith("\\[") | value.startswith("\\(") | (value.startswith("`") & ~value.startswith("```"))
-    return free | value.isin(*terms) if terms else free
+    return free | value.rlike(f"(?sU)\\A(?:{terms_pattern(terms)})\\z") if any(terms) else free
 
 
 def prefix_of(text: Column) -> Column:
