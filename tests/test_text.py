@@ -233,6 +233,11 @@ def test_listings(values):
     lines = [r"a \Leftrightarrow b \Longleftrightarrow c", r"\sqrt{\frac{\hat{\mathbf{x}}}{\text{n m}}} \quad y", r"\left( a \right) \, b\\alpha \\_ \$5 $x$", "x_{a b}^{12}y^{n}_{k}", r"\leq\leqslant  , z ( )", "<  a b  >"]
     want = ["a ⇔ b ⇔ c", "sqrt((hat(x)) / (n m)) y", "(a) bα _ $5 x", "x_(a b)^(12)y^n_k", "≤leqslant, z()", "<a b>"]
     assert values(pseudocode.plain_line, *lines) == want
+    odd = {
+        r"\in\mathbb{R} \in\mathbf{\log x} \text\text{a}": "inR ∈log x texta", r"\frac{a} \frac{1}{\sqrt{x_{12}}}": "frac{a} frac{1}{sqrt{x_12}}", r"x_{a_{b}} \text{a{b}}": "x_{a_b} text{a{b}}",
+        r"\hat \foo} {\alpha": "hat foo} {α", r"\text {a \% b": "text {a % b", r"\_{ab} ^{ab} _{} \\quad \;": "_ab ^(ab) _{}", "": "", " \t ": "",
+    }
+    assert values(pseudocode.plain_line, *odd) == list(odd.values())
     assert values(pseudocode.plain_tags, "a<br/>b<P>c<SUP class=x>2</sup><sub>i<b>j</b></sub><span>d</span>") == ["a\nb\nc^(2)_(ij)d"]
 
 
