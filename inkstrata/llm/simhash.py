@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import attach, bytes_of, cut_lineage, shuffle_width, unused, utf8
 
 SHINGLE = 3
+BROADCAST_KEYS = 200_000  # of about 60 bytes
 DISTANCE = 3
 SEED = 42
 MAX_RUN = 20_000
@@ -242,6 +243,11 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     key = unused(docs, "_key")
     keyed = docs.withColumn(key, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.unhex(F.md5(utf8(text_col))).alias("digest")))
-    named = components(keyed, id_col=key, text_col=text_col, max_run=max_run)
-    kept = named.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+    named = components(keyed, id_col=key, text_col=text_col, max_run=max_run).select(F.col("doc_id").alias(key), (F.col("component_id") == F.col("doc_id")).alias("_stays"))
+    # Decided on keys alone. Whole rows meet only the keys that go, or that stand for several rows.
+    decided = cut_lineage(named.groupBy(key).agg(F.first("_stays").alias("_stays"), F.count("*").alias("_n")).where("NOT _stays OR _n > 1"))
+    few = decided.count() <= BROADCAST_KEYS
+    rest = keyed.join(F.broadcast(decided) if few else decided, key, "left_anti")
+    repeated = decided.where("_stays").select(key)
+    once = keyed.join(F.broadcast(repeated) if few else repeated, key, "left_semi").dropDuplicates([key])
+    return rest.unionByName(once).drop(key)
