@@ -19,7 +19,8 @@ BLOCK = 4 << 20
 DONE, SAME, FAILED = "copied", "same", "failed"
 
 
-def _place(address: str) -> tuple[fs.FileSystem, str]:
+def place_of(address: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of an address; a plain path is local."""
     return fs.FileSystem.from_uri(address) if "://" in address or address.startswith("file:") else (fs.LocalFileSystem(), address)
 
 
@@ -37,7 +38,7 @@ def _differ(a: tuple[fs.FileSystem, str], b: tuple[fs.FileSystem, str]) -> bool:
 
 def copied(source: str, target: str) -> tuple[str, int]:
     """(``copied`` or ``same``, bytes) of one file; folders on the way are made."""
-    a, b = _place(source), _place(target)
+    a, b = place_of(source), place_of(target)
     size = a[0].get_file_info(a[1]).size
     if size is None:
         raise FileNotFoundError(source)
@@ -86,7 +87,7 @@ def remove_files(plan: DataFrame) -> DataFrame:
     """path, action (``removed``, ``gone``, ``failed``), bytes, error of each row of ``plan`` (path). Folders are not removed."""
 
     def one(path: str) -> tuple[str, int | None]:
-        store, own = _place(path)
+        store, own = place_of(path)
         info = store.get_file_info(own)
         if info.type == fs.FileType.NotFound:
             return "gone", None

@@ -7,6 +7,7 @@ import lzma
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from inkstrata.functions.text import is_blank, strip
 
+from .copies import place_of
 from .remote import retrying
 
 # Size limits in bytes, layout fields, and the forms that secrets have.
@@ -65,16 +67,8 @@ def content_items(lists: DataFrame, json_col: str = "json") -> DataFrame:
     return rows.select("doc_id", "list", "i", x["type"].alias("type"), x["page_idx"].cast("int").alias("page_idx"), x["bbox"].alias("bbox"), x["img_path"].alias("img_path"), x["table_body"].alias("table_body"), x["text"].alias("text"), caps.alias("captions"))
 
 
-def zip_members(files: DataFrame, content_col: str = "content", most: int = MEMBER_BYTES) -> DataFrame:
-    """The rows' other columns with member, bytes and error of each file in an archive.
-
-    An archive with a link, an absolute path or one that climbs out has a single row with the
-    error and nothing else of it is read, and so has one that is no archive or has a member of
-    more than ``most`` bytes when unpacked. A member that can't be read (encrypted, damaged, packed by an unknown
-    method) has a row with its name and the error, without bytes; the others are read all the same. An archive is
-    the largest thing held; its members are given out one by one.
-    """
-    others = [c for c in files.columns if c != content_col]
+def members_of(source: BinaryIO, most: int = MEMBER_BYTES) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+    """(member, bytes, error) of each file of an archive that can be sought in: its list first, then each member's own range."""
 
     def problem(names: list[zipfile.ZipInfo]) -> str | None:
         for m in names:
@@ -96,27 +90,62 @@ def zip_members(files: DataFrame, content_col: str = "content", most: int = MEMB
         except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, OSError, EOFError, RuntimeError, ValueError):
             return None, "damaged member"
 
+    try:
+        with zipfile.ZipFile(source) as z:
+            if error := problem(z.infolist()):
+                yield None, None, error
+                return
+            for m in z.infolist():
+                if not m.is_dir():
+                    yield m.filename, *unpacked(z, m)
+    except (zipfile.BadZipFile, ValueError, EOFError):
+        yield None, None, "no archive"
+
+
+def _opened(files: DataFrame, used: str, others: list[str], open_: Callable[[object], BinaryIO], most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 same = [batch.column(c).slice(r, 1) for c in others]
+                try:
+                    with open_(batch.column(used)[r].as_py()) as source:
+                        for member, data, error in members_of(source, most):
+                            yield pa.RecordBatch.from_arrays([*same, pa.array([member], pa.string()), pa.array([data], pa.binary()), pa.array([error], pa.string())], [*others, "member", "bytes", "error"])
+                except OSError as error:
+                    told = f"{type(error).__name__}: {error}"[:600]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array([None], pa.string()), pa.array([None], pa.binary()), pa.array([told], pa.string())], [*others, "member", "bytes", "error"])
 
-                def row(member: str | None, data: bytes | None, error: str | None, same=same) -> pa.RecordBatch:
-                    return pa.RecordBatch.from_arrays([*same, pa.array([member], pa.string()), pa.array([data], pa.binary()), pa.array([error], pa.string())], [*others, "member", "bytes", "error"])
+    kinds = "".join(f"`{c}` {files.schema[c].dataType.simpleString()}, " for c in others)
+    return files.mapInArrow(run, f"{kinds}member string, bytes binary, error string")
 
-                try:
-                    with zipfile.ZipFile(io.BytesIO(batch.column(content_col)[r].as_py() or b"")) as z:
-                        if error := problem(z.infolist()):
-                            yield row(None, None, error)
-                            continue
-                        for m in z.infolist():
-                            if not m.is_dir():
-                                yield row(m.filename, *unpacked(z, m))
-                except (zipfile.BadZipFile, ValueError, EOFError):
-                    yield row(None, None, "no archive")
-
-    kinds = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in others)
-    return files.mapInArrow(run, f"{kinds}, member string, bytes binary, error string" if kinds else "member string, bytes binary, error string")
+
+def zip_members(files: DataFrame, content_col: str = "content", most: int = MEMBER_BYTES) -> DataFrame:
+    """The rows' other columns with member, bytes and error of each file in an archive.
+
+    An archive with a link, an absolute path or one that climbs out has a single row with the
+    error and nothing else of it is read, and so has one that is no archive or has a member of
+    more than ``most`` bytes when unpacked. A member that can't be read (encrypted, damaged, packed by an unknown
+    method) has a row with its name and the error, without bytes; the others are read all the same. An archive is
+    the largest thing held; its members are given out one by one.
+    """
+    return _opened(files, content_col, [c for c in files.columns if c != content_col], lambda data: io.BytesIO(data or b""), most)
+
+
+def zip_members_at(files: DataFrame, path_col: str = "path", most: int = MEMBER_BYTES) -> DataFrame:
+    """As ``zip_members``, for archives named by a path or address: a member is the largest thing held.
+
+    An archive's list of members is read first, and then each member's own range, so none is held whole. An
+    address that can't be opened (a null one too) is a row with the error. Paths have to be of a kind that the executors open themselves; where only Spark can read
+    the files, read them whole and use ``zip_members``.
+    """
+
+    def open_(address: object) -> BinaryIO:
+        if address is None:
+            raise FileNotFoundError("no path")
+        store, path = place_of(str(address))
+        return store.open_input_file(path)
+
+    return _opened(files, path_col, list(files.columns), open_, most)
 
 
 def glossary_lines(text: Column) -> Column:

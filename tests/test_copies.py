@@ -37,7 +37,7 @@ def test_a_copy_that_breaks_leaves_nothing(tmp_path, monkeypatch):
         raise OSError("no rename")
 
     monkeypatch.setattr(Broken, "move", move, raising=False)
-    monkeypatch.setattr(copies, "_place", lambda address: (Broken(), address))
+    monkeypatch.setattr(copies, "place_of", lambda address: (Broken(), address))
     with pytest.raises(OSError, match="no rename"):
         copies.copied(str(tmp_path / "a"), str(tmp_path / "b"))
     assert (tmp_path / "b").read_bytes() == b"old!" and sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]

@@ -194,6 +194,28 @@ def test_members_that_cannot_be_read_are_told_apart(spark):
     assert got == {(1, "good"): (200, None), (1, "last"): (200, None), (2, None): (None, "no archive"), **{(1, k): (None, v) for k, v in unread.items()}}
 
 
+def test_archives_are_read_by_ranges(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name, size in (("d/", 0), ("first", 10), ("large", 3_000_000), ("last", 5)):
+            z.writestr(name, b"x" * size)
+    (tmp_path / "b.zip").write_bytes(b"junk")
+    paths = spark.createDataFrame([(k, f"{tmp_path}/{n}") for k, n in enumerate(("a.zip", "b.zip", "none.zip"))] + [(3, None), (4, f"file://{tmp_path}/a.zip")], "k int, path string")
+    got = sorted((r["k"], r["member"] or "", r["bytes"] and len(r["bytes"]), (r["error"] or "")[:16]) for r in readers.zip_members_at(paths).collect())
+    whole = [("first", 10, ""), ("large", 3_000_000, ""), ("last", 5, "")]
+    assert got == sorted([*((k, *m) for k in (0, 4) for m in whole), (1, "", None, "no archive"), (2, "", None, "FileNotFoundErro"), (3, "", None, "FileNotFoundErro")])
+
+    class Counted(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            Counted.most += len(data)
+            return data
+
+    members = readers.members_of(Counted((tmp_path / "a.zip").read_bytes()))
+    assert next(members)[0] == "first" and Counted.most < 70_000
+
+
 def test_translate(spark, tmp_path):
     text = "# Head\n\nSome **bold** words with $x$ and token.\n\n```\ncode\n```\n\nMore words here.\n"
     long = "".join(f"Sentence number {i} is here. " for i in range(30)) + "\n\n" + "".join(f"Other words {i} follow. " for i in range(30)) + "\n"
