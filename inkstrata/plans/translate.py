@@ -26,7 +26,7 @@ from inkstrata.functions.protect import protect, restore
 from inkstrata.functions.text import let
 from inkstrata.functions.validate import failures
 from inkstrata.operators.segment import document_chunks, halves
-from inkstrata.sources.remote import RemoteError, retrying, told
+from inkstrata.sources.remote import RemoteError, retrying, timed, told
 
 # Names and short forms of languages and models.
 LANGUAGES = {"zh": "Simplified Chinese", "zh-cn": "Simplified Chinese", "zh-hans": "Simplified Chinese", "en": "English", "en-us": "English"}
@@ -54,7 +54,7 @@ class Settings:
     """What shapes an answer, how often it is asked for, and how much is asked at once.
 
     ``commit_chunks``: at most so many chunks are asked before their answers are kept, over all machines.
-    ``call_chunks``: a call of the translator has so many texts at most.
+    ``call_chunks``: a call of the translator has so many texts at most. ``request_timeout``: seconds after which a call is given up and made again.
     """
 
     model: str = "default"
@@ -69,6 +69,7 @@ class Settings:
     min_side: int = 400
     max_splits: int = 12
     request_tries: int = 3
+    request_timeout: float = 180
     commit_chunks: int = 2000
     call_chunks: int = 8
     extra: dict[str, str] = field(default_factory=dict)
@@ -76,8 +77,8 @@ class Settings:
     def __post_init__(self):
         if self.max_chars < 1000 or self.tries < 1 or self.request_tries < 1 or self.min_side < 100:
             raise ValueError("max_chars is at least 1000, tries and request_tries 1, min_side 100")
-        if self.commit_chunks < 1 or self.call_chunks < 1:
-            raise ValueError("commit_chunks and call_chunks are at least 1")
+        if self.commit_chunks < 1 or self.call_chunks < 1 or self.request_timeout <= 0:
+            raise ValueError("commit_chunks and call_chunks are at least 1, request_timeout is more than 0")
         checked_url(self.base_url)
 
 
@@ -210,7 +211,7 @@ def ask_all(open_: DataFrame, work_dir: str, run: str, step: tuple[int, int], tr
 
     def kept(batch: DataFrame, number: int) -> None:
         asked = batch.withColumn("protected", protect(F.col("text"), s.terms)).withColumn("prompt", chunk_prompt(prompt, F.col("protected")))
-        done = judged(ask(asked, translator, s.request_tries, s.call_chunks), s.terms).select("key", "text", "answer", "translation", "problem")
+        done = judged(ask(asked, timed(translator, s.request_timeout), s.request_tries, s.call_chunks), s.terms).select("key", "text", "answer", "translation", "problem")
         seen, path = Observation(), f"{run}/asked-{name}/batch={number}"
         done.observe(
             seen,

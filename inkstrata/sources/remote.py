@@ -6,6 +6,7 @@ These run inside tasks, around the client or translator that the caller gives.
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable, Sequence
 
@@ -36,6 +37,31 @@ def wait_seconds(attempt: int, most: float = 8) -> float:
     return min(2.0 ** (attempt - 1), most)
 
 
+def timed[**P, R](call: Callable[P, R], seconds: float) -> Callable[P, R]:
+    """``call``, given up with a ``TimeoutError`` (which passes) after so many seconds. What was begun can't be stopped; its answer is dropped."""
+
+    def made(*args: P.args, **kwargs: P.kwargs) -> R:
+        got: list = []
+
+        def run() -> None:
+            try:
+                got.append((call(*args, **kwargs), None))
+            except BaseException as error:  # noqa: BLE001  it is raised again outside
+                got.append((None, error))
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        thread.join(seconds)
+        if not got:
+            raise TimeoutError(f"no answer within {seconds:g} s")
+        value, error = got[0]
+        if error is not None:
+            raise error
+        return value
+
+    return made
+
+
 def retrying[**P, R](call: Callable[P, R], tries: int = 3, most: float = 8, then: Sequence[Callable[P, R]] = (), secret: str = "", pause: Callable[[float], None] = time.sleep) -> Callable[P, R]:
     """``call`` made up to ``tries`` times while it fails in passing, and after that each of ``then`` once.
 

@@ -4,6 +4,7 @@ import json
 import os
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -28,6 +29,25 @@ def test_one_failing_text_is_told_from_those_beside_it():
     assert T.answers(call, [], []) == []
 
 
+def test_a_call_without_an_answer_is_given_up_and_made_again():
+    calls, waits = [], []
+
+    def slow(x):
+        calls.append(x)
+        time.sleep(1.2)
+        return x
+
+    with pytest.raises(remote.RemoteError, match="no answer within 0.3 s"):
+        remote.retrying(remote.timed(slow, 0.3), 2, pause=waits.append)(1)
+    assert calls == [1, 1] and waits == [1]
+    assert remote.timed(slow, 9)(2) == 2
+    with pytest.raises(KeyError):
+        remote.timed({}.__getitem__, 9)("none")
+    for wrong in ({"request_timeout": 0}, {"commit_chunks": 0}, {"call_chunks": 0}, {"max_chars": 10}, {"tries": 0}, {"request_tries": 0}, {"min_side": 9}):
+        with pytest.raises(ValueError):
+            T.Settings(**wrong)
+
+
 def docs_of(spark, n):
     return spark.createDataFrame([(k, f"Some words of number {k} are here.\n") for k in range(n)], "doc_id long, text string")
 
