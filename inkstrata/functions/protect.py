@@ -98,13 +98,17 @@ def may_move(value: Column, terms: Sequence[str] = ()) -> Column:
     return free | value.rlike(f"(?sU)\\A(?:{terms_pattern(terms)})\\z") if any(terms) else free
 
 
-def prefix_of(text: Column) -> Column:
-    """The placeholder prefix: a digest of the text, with as many X as it takes not to occur in it."""
-    base = F.concat(F.lit(PREFIX), F.upper(F.substring(F.sha2(text, 256), 1, 10)), F.lit("_"))
+def apart(text: Column, base: Column) -> Column:
+    """The base, with as many X as it takes not to occur in the text."""
     runs = F.transform(F.regexp_extract_all(text, F.concat(base, F.lit("(X*)")), F.lit(1)), lambda x: F.length(x))
     return F.when(text.contains(base), F.concat(base, F.repeat(F.lit("X"), F.array_max(runs) + 1))).otherwise(base)
 
 
+def prefix_of(text: Column) -> Column:
+    """The placeholder prefix: a digest of the text, made so long that it doesn't occur in it."""
+    return apart(text, F.concat(F.lit(PREFIX), F.upper(F.substring(F.sha2(text, 256), 1, 10)), F.lit("_")))
+
+
 def protect(text: Column, terms: Sequence[str] = ()) -> Column:
     """(text, prefix, replacements (placeholder, value, ordered)) of a text; null for null."""
 

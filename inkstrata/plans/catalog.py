@@ -260,7 +260,7 @@ def keep_set(spark, sf_dir):
 
 
 def structure_checks(spark, sf_dir):
-    docs = _table(spark, sf_dir, "pages").where("html is not null")
+    docs = _table(spark, sf_dir, "pages")
     fails = validate.failures(F.col("html"), F.concat(F.col("html"), F.lit("<td>")))
     return docs.select("page_id", F.array_contains(fails, "table marks").alias("marks"), F.array_contains(fails, "headings").alias("headings"), F.size(validate.failures(F.col("html"), F.col("html"))).cast("long").alias("n_same"))
 

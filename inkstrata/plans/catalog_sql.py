@@ -73,7 +73,7 @@ SELECT j.job_id, CASE WHEN e.state IS NULL THEN 'timeout' WHEN e.state = 'failed
     "keep_set": f"""WITH {LI}, f AS (SELECT DISTINCT l_orderkey AS doc_id, CASE WHEN i = 0 THEN 'deep/full.md' WHEN i = 1 THEN 'full.md' WHEN i % 3 = 0 THEN 'r/images/' || l_partkey || '.jpg' WHEN i = 5 THEN 'a_content_list.json' ELSE 'tmp/' || i || '.bin' END AS path FROM li),
 n AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT doc_id, CASE WHEN path = 'full.md' OR path LIKE 'r/images/%' OR path = 'a_content_list.json' OR (path = 'deep/full.md' AND n.n = 1) THEN 'keep' ELSE 'drop' END AS action, count(*) AS n FROM f JOIN n USING (doc_id) GROUP BY ALL""",
-    "structure_checks": r"SELECT page_id, true AS marks, false AS headings, (len(regexp_extract_all(html, '\*\*')) % 2)::BIGINT AS n_same FROM pages WHERE html IS NOT NULL",
+    "structure_checks": r"SELECT page_id, html IS NOT NULL AS marks, false AS headings, (len(regexp_extract_all(coalesce(html, ''), '\*\*')) % 2)::BIGINT AS n_same FROM pages",
     "stripped_lines": f"SELECT doc_id, count(*) FILTER (trim(line, ' ' || chr(9) || chr(13)) = '') AS n_blank, max(length(trim(line, ' ' || chr(9) || chr(13))))::BIGINT AS longest FROM {LINES} GROUP BY doc_id",
 }
 
