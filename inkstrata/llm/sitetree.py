@@ -2,20 +2,23 @@
 
 The DOMs of a host's pages are merged into one tree: a node is the path of block elements,
 with their classes and ids, that leads to an element, and the style nodes that hold text
-are its leaves. A leaf's importance is the product of two parts, over the different pages of
+are its leaves. A leaf's importance is the product of three parts, over the different pages of
 the host that have it:
 
 * presentation: the share of these pages on which nothing of how the element is presented
   speaks against it. Against it are elements and roles of navigation, page headers and
   footers, side columns, forms and hidden parts, class and id names of such parts, lists of
   links outside an article, and standing outside an article that holds most of a page;
+* form: one, less the cube of the share of its text that is links (two or more of them, outside articles
+  and headings) where its style, the sequence of its blocks' inline parts, has no entropy. So what is links of
+  one form on each page goes whatever its name and words are; some pages of other form are added, so that few pages prove little;
 * content: the entropy of what it says, relative to that of as many different texts, with
   one page more that says something new, so that few pages prove little.
 
-The importance of an inner node is the mean over the leaves below it, weighted by pages.
-A branch whose node is mostly ruled out or of low importance is removed from each page of
-the host; of leaves that are low for their content alone only what is repeated goes, so that
-a page's own text stays. Pages that share their body count as one.
+The importance of an inner node is the mean over the leaves below it, weighted by pages. A node
+is noisy if every leaf at and below it is low by presentation and form, and the branches of noisy nodes are removed
+from each page of the host; of leaves that are low for their content alone only what is
+repeated goes, so that a page's own text stays. Pages that share their body count as one.
 
 The tree is never in one place. Pages give a row per leaf, which are counted by
 (host, leaf, text) and then by (host, leaf) with partial sums before they move, so a
@@ -42,6 +45,8 @@ from .common import attach, cut_lineage
 MIN_IMPORTANCE = 0.15
 MIN_PRESENTED = 0.5
 PRIOR_PAGES = 1.0
+PRIOR_FORMS = 4.0
+MENU_LINKS = 2
 SALTS = 16
 BROADCAST_ENTRIES = 500_000  # 8 bytes each
 MIN_SHARE = 0.01  # of a node's pages, which bounds the texts taken out of a node by 100
@@ -136,32 +141,40 @@ def raw_ends(html: str) -> dict[int, int]:
 
 
 class Block(NamedTuple):
-    """A block with text: its style path and text, whether presentation speaks against it, and whether it is inside an article or main, or an element of ``NEVER``."""
+    """A block with text: its style path and text, whether presentation speaks against it, and whether it is inside an article or main, or an element of ``NEVER``.
+
+    ``style`` has its inline parts in order (text outside links as ``-``), ``linked`` the characters in its links without white space, and ``links`` their number.
+    """
 
     path: str
     text: str
     out: bool
     inside: bool
     never: bool
+    style: str = ""
+    linked: int = 0
+    links: int = 0
 
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
-    blocks: list[tuple[str, str, bool, bool, bool, int]] = []  # path, text, links of a list, inside, in NEVER, element
+    blocks: list[tuple[str, str, bool, bool, bool, int, str, int, int]] = []  # path, text, links of a list, inside, in NEVER, element, style, linked, links
     stack: list[tuple[str, str, bool, bool, int]] = []  # tag, path, inside article or main, in NEVER, element
     above, ruled, holds = [0], [0], [True]  # of each element: its parent, what rules it out, whether it holds an article or main
     words: list[str] = []
-    linked = total = links = 0
+    style: list[str] = []
+    linked = total = links = solid = 0
 
     def flush() -> None:
-        nonlocal linked, total
+        nonlocal linked, total, solid
         if words:
             text = " ".join("".join(words).split())
             if text:
                 _, path, inside, never, element = stack[-1] if stack else ("", "", False, False, 0)
-                blocks.append((path, text, not inside and linked > 0.8 * total and bool(_LIST.search(path)), inside, never, element))
+                blocks.append((path, text, not inside and linked > 0.8 * total and bool(_LIST.search(path)), inside, never, element, " ".join(style), solid, style.count("a")))
         words.clear()
-        linked = total = 0
+        style.clear()
+        linked = total = solid = 0
 
     def close(index: int) -> None:
         flush()
@@ -174,7 +187,11 @@ def blocks_of(html: str) -> list[Block]:
             piece = unescape(html[at : m.start()])
             words.append(piece)
             total += len(piece)
-            linked += len(piece) if links else 0
+            if links:
+                linked += len(piece)
+                solid += len("".join(piece.split()))
+            elif (not style or style[-1] != "-") and not piece.isspace():
+                style.append("-")
         at = m.end()
         tag, attributes, closing = (m[3], m[4], m[2]) if m[3] else (m[6], m[7], m[5])
         if tag is None:
@@ -190,6 +207,8 @@ def blocks_of(html: str) -> list[Block]:
                 links = 0 if closing else 1
             elif tag in ("br", "wbr"):
                 words.append(" " if tag == "br" else "")
+            if not closing and tag != "wbr":
+                style.append(tag)
             continue
         links = 0
         if closing:
@@ -237,7 +256,7 @@ def blocks_of(html: str) -> list[Block]:
     size = {why: sum(len(b[1]) for b, out in zip(blocks, outs, strict=True) if out == why) for why in (0, WEAK)}
     if size[WEAK] > size[0]:
         outs = [out & ~WEAK for out in outs]
-    found = [Block(b[0], b[1], bool(out), b[3], b[4]) for b, out in zip(blocks, outs, strict=True)]
+    found = [Block(b[0], b[1], bool(out), b[3], b[4], *b[6:]) for b, out in zip(blocks, outs, strict=True)]
     return _around_articles(found)
 
 
@@ -299,8 +318,20 @@ def _text_digest(path: str, text: str) -> int:
     return _digest(f"{path}\n{text}")
 
 
+def forms_of(blocks: list[Block]) -> dict[str, tuple[str, float]]:
+    """The style of each leaf of a page, and how far it is a menu: the cube of the share of its text that is links, so that a sentence with links is none; 0 inside articles, in headings and below ``MENU_LINKS`` links."""
+    own: dict[str, list[Block]] = {}
+    for b in blocks:
+        own.setdefault(b.path, []).append(b)
+    forms = {}
+    for path, of in own.items():
+        plain = _HEADING.search(path) or any(b.inside for b in of) or sum(b.links for b in of) < MENU_LINKS
+        forms[path] = "|".join(b.style for b in of), 0.0 if plain else (sum(b.linked for b in of) / sum(len(b.text) - b.text.count(" ") for b in of)) ** 3
+    return forms
+
+
 def _leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("chain", pa.list_(pa.int64())), ("said", pa.int64()), ("page", pa.int64()), ("out", pa.bool_())]))
+    kind = pa.list_(pa.struct([("chain", pa.list_(pa.int64())), ("said", pa.int64()), ("page", pa.int64()), ("out", pa.bool_()), ("style", pa.int64()), ("linked", pa.float64())]))
     for pages in batches:
         out = []
         for html in pages:
@@ -309,7 +340,8 @@ def _leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             said = {path: _text_digest(path, text) for path, text in texts.items()}
             body = {path: text for path, text in texts.items() if path in kept}
             page = _digest(repr(sorted(said[path] for path in (_body(body) if body else texts))))
-            out.append([{"chain": chain_of(path), "said": s, "page": page, "out": path not in kept} for path, s in said.items()])
+            forms = forms_of(blocks)
+            out.append([{"chain": chain_of(path), "said": s, "page": page, "out": path not in kept, "style": _digest(forms[path][0]), "linked": forms[path][1]} for path, s in said.items()])
         yield pa.array(out, kind)
 
 
@@ -340,35 +372,55 @@ def host_of(url_col: str) -> Column:
 
 
 def said_of(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(host, chain, said, n, outs) of each text of a leaf: the different pages with it, and on how many presentation speaks against it. Pages with equal bodies are one."""
-    made = attach(pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")), "_n", _leaves, "array<struct<chain:array<bigint>,said:bigint,page:bigint,out:boolean>>", F.col("html"))
-    rows = made.select("host", F.explode("_n").alias("_n")).select("host", "_n.*").groupBy("host", "chain", "said", "page").agg(F.min("out").alias("out"))
-    return rows.groupBy("host", "chain", "said").agg(F.count("*").alias("n"), F.count_if("out").alias("outs"))
+    """(host, chain, said, style, n, outs, linked) of each text and style of a leaf: the different pages with it, on how many presentation speaks against it, and how far they are menus, in sum.
 
+    Pages with equal bodies are one, with the least of what they say.
+    """
+    made = attach(pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")), "_n", _leaves, "array<struct<chain:array<bigint>,said:bigint,page:bigint,out:boolean,style:bigint,linked:double>>", F.col("html"))
+    rows = made.select("host", F.explode("_n").alias("_n")).select("host", "_n.*").groupBy("host", "chain", "said", "page").agg(F.min("out").alias("out"), F.min("style").alias("style"), F.min("linked").alias("linked"))
+    return rows.groupBy("host", "chain", "said", "style").agg(F.count("*").alias("n"), F.count_if("out").alias("outs"), F.sum("linked").alias("linked"))
 
-def leaves(said: DataFrame) -> DataFrame:
-    """(host, chain, pages, presented, content) of each leaf over the different pages of its host."""
-    rows = said.groupBy("host", "chain").agg(F.sum("n").alias("pages"), F.sum("outs").alias("outs"), F.sum(F.col("n") * F.log2("n")).alias("x"))
+
+def _entropies(said: DataFrame, by: str, *sums: Column) -> DataFrame:
+    """(host, chain, pages, entropy) of each leaf, and more sums: how even its pages have the values of a column, from 0 to 1. A single page has the entropy 1."""
+    rows = said.groupBy("host", "chain", by).agg(F.sum("n").alias("n"), *sums)
+    names = [c for c in rows.columns if c not in ("host", "chain", by, "n")]
+    rows = rows.groupBy("host", "chain").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("x"), *[F.sum(c).alias(c) for c in names])
     entropy = F.when(F.col("pages") > 1, (F.log2("pages") - F.col("x") / F.col("pages")) / F.log2("pages")).otherwise(1.0)
-    content = (F.col("pages") * entropy + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
-    return rows.select("host", "chain", "pages", (1 - F.col("outs") / F.col("pages")).alias("presented"), content.alias("content"))
+    return rows.select("host", "chain", "pages", entropy.alias("entropy"), *names)
+
+
+def leaves(said: DataFrame) -> DataFrame:
+    """(host, chain, pages, presented, form, content) of each leaf over the different pages of its host."""
+    texts = _entropies(said, "said", F.sum("outs").alias("outs"), F.sum("linked").alias("linked"))
+    styles = _entropies(said, "style").select("host", "chain", F.col("entropy").alias("styles"))
+    few = lambda entropy, prior: (F.col("pages") * F.col(entropy) + prior) / (F.col("pages") + prior)
+    return texts.join(styles, ["host", "chain"]).select(
+        "host",
+        "chain",
+        "pages",
+        (1 - F.col("outs") / F.col("pages")).alias("presented"),
+        (1 - F.col("linked") / F.col("pages") * (1 - few("styles", PRIOR_FORMS))).alias("form"),
+        few("entropy", PRIOR_PAGES).alias("content"),
+    )
 
 
 def nodes(leaf: DataFrame) -> DataFrame:
-    """(host, node, presented, importance) of every node of the tree that can be removed: means over the leaves at and below it, weighted by pages."""
-    rows = leaf.select("host", "pages", "presented", "content", F.explode("chain").alias("node"))
-    mean = lambda c: F.sum(F.col("pages") * c) / F.sum("pages")
-    return rows.groupBy("host", "node").agg(mean(F.col("presented")).alias("presented"), mean(F.col("presented") * F.col("content")).alias("importance"))
+    """(host, node, best, importance) of every node of the tree that can be removed: of the leaves at and below it the highest presentation times form, and the mean importance weighted by pages."""
+    shown = F.col("presented") * F.col("form")
+    rows = leaf.select("host", "pages", shown.alias("shown"), (shown * F.col("content")).alias("importance"), F.explode("chain").alias("node"))
+    return rows.groupBy("host", "node").agg(F.max("shown").alias("best"), (F.sum(F.col("pages") * F.col("importance")) / F.sum("pages")).alias("importance"))
 
 
 def low_parts(said: DataFrame, min_importance: float = MIN_IMPORTANCE, min_presented: float = MIN_PRESENTED, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, nodes, said): a host's removed branches, and the repeated texts of leaves that are low for their content."""
     leaf = leaves(said)
-    branches = nodes(leaf).where(F.col("presented") < min_presented).select("host", "node", F.lit(None).cast("bigint").alias("said"))
-    poor = leaf.where((F.col("presented") >= min_presented) & (F.col("presented") * F.col("content") < min_importance)).select("host", "chain", "pages")
+    shown = F.col("presented") * F.col("form")
+    branches = nodes(leaf).where(F.col("best") < min_presented).select("host", "node", F.lit(None).cast("bigint").alias("said"))
+    poor = leaf.where((shown >= min_presented) & (shown * F.col("content") < min_importance)).select("host", "chain", "pages")
     # A leaf of a large host has many texts, so they are dealt out by a salt too.
     salted = poor.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    texts = said.where("n > 1").withColumn("salt", F.pmod("said", F.lit(SALTS)).cast("int"))
+    texts = said.groupBy("host", "chain", "said").agg(F.sum("n").alias("n")).where("n > 1").withColumn("salt", F.pmod("said", F.lit(SALTS)).cast("int"))
     repeated = texts.join(salted, ["host", "chain", "salt"]).where(F.col("n") >= F.lit(min_share) * F.col("pages"))
     both = branches.unionByName(repeated.select("host", F.lit(None).cast("bigint").alias("node"), "said"))
     return both.groupBy("host").agg(F.collect_set("node").alias("nodes"), F.collect_set("said").alias("said"))

@@ -265,10 +265,14 @@ def test_site_tree_names_that_say_more():
 def test_site_tree_against_brute_force(spark):
     """Importance of every node of merged pages, worked out by hand from the blocks, and what it removes."""
     rng = random.Random(4)
-    frames = ["<nav><ul><li><a href=a>{m}</a></li></ul></nav><div class='box'><div class='x'>{a}</div><p>{b}</p></div><div class='legal'>{c}</div>", "<article><h1>{a}</h1><p>{b}</p></article><div class='legal'>{c}</div><footer>{m}</footer>"]
-    rows = [(i, f"http://h{i % 3}.org/{i}", frames[rng.random() < 0.4].format(m=rng.choice("abc"), a=f"head {rng.randint(0, 9)}", b=f"body {rng.randint(0, 30)} of the page", c=rng.choice(["same", "same", "same", f"n{i}"]))) for i in range(120)]
+    frames = ["<nav><ul><li><a href=a>{m}</a></li></ul></nav><div class='box'><div class='x'>{a}</div><p>{b}</p></div><div class='go'><a href=1>x</a> <a href=2>{d}</a>{e}</div><div class='legal'>{c}</div>", "<article><h1>{a}</h1><p>{b}</p></article><div class='legal'>{c}</div><footer>{m}</footer>"]
+    rows = [(i, f"http://h{i % 3}.org/{i}", frames[rng.random() < 0.4].format(m=rng.choice("abc"), a=f"head {rng.randint(0, 9)}", b=f"body {rng.randint(0, 30)} of the page", c=rng.choice(["same", "same", "same", f"n{i}"]), d=rng.randint(0, 9), e=rng.choice(["", "", " pq"]))) for i in range(120)]
     pages = spark.createDataFrame([*rows, rows[5]], "page_id long, url string, html string")
     counts = {}
+
+    def even(values, n):
+        return -sum(c / n * math.log2(c / n) for c in values.values()) / math.log2(n) if n > 1 else 1.0
+
     for host in range(3):
         said = {}
         for _, url, html in rows:
@@ -276,27 +280,43 @@ def test_site_tree_against_brute_force(spark):
                 blocks = sitetree.blocks_of(html)
                 by_path = {b.path: [x.text for x in blocks if x.path == b.path] for b in blocks}
                 out = {p: all(b.out for b in blocks if b.path == p) for p in by_path}
+                form = {p: (("a a -", 0.125) if "pq" in html else ("a a", 1.0)) if p.endswith("div.go") else ("a" if p.endswith("/li") else "-", 0.0) for p in by_path}
                 body = repr(sorted((p, t) for p, t in by_path.items() if p in sitetree._body({p: "\n".join(t) for p, t in by_path.items() if not out[p]})))
                 for p, t in by_path.items():
-                    said.setdefault(p, {}).setdefault(("\n".join(t), body), []).append(out[p])
+                    said.setdefault(p, {}).setdefault(("\n".join(t), body), []).append((out[p], *form[p]))
         for p, by_text in said.items():
             n, texts = len(by_text), Counter(t for t, _ in by_text)
-            entropy = -sum(c / n * math.log2(c / n) for c in texts.values()) / math.log2(n) if n > 1 else 1.0
-            counts[f"h{host}.org", p] = n, 1 - sum(min(o) for o in by_text.values()) / n, (n * entropy + 1) / (n + 1)
-    found = {(r["host"], tuple(r["chain"])): (r["pages"], r["presented"], r["content"]) for r in sitetree.leaves(sitetree.said_of(pages)).collect()}
+            entropy = even(texts, n)
+            styles = Counter(min(o[1] for o in x) for x in by_text.values())
+            linked = sum(min(o[2] for o in x) for x in by_text.values()) / n
+            counts[f"h{host}.org", p] = n, 1 - sum(min(o[0] for o in x) for x in by_text.values()) / n, 1 - linked * (1 - (n * even(styles, n) + 4) / (n + 4)), (n * entropy + 1) / (n + 1)
+    found = {(r["host"], tuple(r["chain"])): (r["pages"], r["presented"], r["form"], r["content"]) for r in sitetree.leaves(sitetree.said_of(pages)).collect()}
     assert found.keys() == {(h, tuple(sitetree.chain_of(p))) for h, p in counts}
     for (h, p), want in counts.items():
         assert found[h, tuple(sitetree.chain_of(p))] == pytest.approx(want)
-    tree = {(r["host"], r["node"]): (r["presented"], r["importance"]) for r in sitetree.nodes(sitetree.leaves(sitetree.said_of(pages))).collect()}
+    tree = {(r["host"], r["node"]): (r["best"], r["importance"]) for r in sitetree.nodes(sitetree.leaves(sitetree.said_of(pages))).collect()}
     for key, got in tree.items():
         below = [c for (h, p), c in counts.items() if h == key[0] and key[1] in sitetree.chain_of(p)]
         n = sum(c[0] for c in below)
-        assert got == pytest.approx((sum(c[0] * c[1] for c in below) / n, sum(c[0] * c[1] * c[2] for c in below) / n))
+        assert got == pytest.approx((max(c[1] * c[2] for c in below), sum(c[0] * c[1] * c[2] * c[3] for c in below) / n))
     whole = sorted(tuple(r) for r in sitetree.extract(pages).collect())
     assert whole == sorted(tuple(r) for r in sitetree.extract(pages, broadcast_entries=0).collect()) and len(whole) == 121
     assert all(f"body {re.search('body ([0-9]+)', r[2])[1]} of the page" in t[2] and not re.search(r"\b[abc]\b", t[2]) for r, t in zip(sorted([*rows, rows[5]]), whole))
 
 
+def test_site_tree_forms(spark):
+    """Menus of one form go whatever their names and words are, and text beside parts that go stays."""
+    wrapped = "<h1>Head {0}</h1><div class=wrap><nav>a</nav><aside>b {0}</aside><div class=text>Text {0} of this page</div></div>"
+    menu = "<div class=top><a href=a>Home{0}</a> <a href=b>About</a>\n<a href=c>More{0}</a></div><div class=text><p>Text {0} <a href=x>with</a> <a href=y>links</a></p></div><div class=end>Rights {0}</div>"
+    linked = "<h1><a href=a>Head</a> <a href=b>{0}</a></h1><article><p><a href=c>One</a> <a href=d>{0}</a></p></article>"
+    rows = [(f"{host}{i}", f"http://{host}.org/{i}", frame.format(i)) for host, frame, n in (("a", wrapped, 20), ("b", menu, 20), ("c", menu, 2), ("d", linked, 20)) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(pages.withColumns({"text": F.lit("clash"), "host": F.lit(1), "nodes": F.lit(2), "said": F.lit(3)})).collect()}
+    for i in range(20):
+        assert got[f"a{i}"] == f"Head {i} Text {i} of this page" and got[f"b{i}"] == f"Text {i} with links Rights {i}" and got[f"d{i}"] == f"Head {i} One {i}"
+    assert got["c1"] == "Home1 About More1 Text 1 with links Rights 1"  # two pages prove little
+
+
 def test_site_tree_raw_elements():
     for raw in ("<video-js>v</video-js>", "<svg-icon>v</svg-icon>", "<object-list>v</object-list>", "<math-field>v</math-field>"):
         assert main_text(f"<p>One</p>{raw}<p>two</p>") == "One v two"
