@@ -9,26 +9,30 @@ number 0, so two words that are rare together always allow the longest jump.
 
 Documents never move: the tables are built and broadcast block by block, each of at most about
 ``max_windows`` windows, and the documents pass in one narrow stage. A text is split once for all the
-tables of a group of ``at_once`` windows; a larger benchmark has several groups, one after
-another in the same stage, and their results are united. The number of blocks follows the
-benchmark, so no broadcast grows with the data.
+tables of a group of ``at_once`` windows. A larger benchmark has several groups, each a job of its
+own, so that a worker holds the tables of one group at a time: what the earlier groups find is
+written, a row for each different text that is hit, and meets the documents as the last
+group passes. The number of blocks follows the benchmark, so no broadcast grows with the data.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bytes_of, cut_lineage, unused, utf8
+from .common import attach, bytes_of, cut_lineage, shared_folder, unused, utf8
 
 WINDOW = 10
 SUFFIX = 4
 MAX_WINDOWS = 50_000  # of a table, which is what the driver holds at a time
 AT_ONCE = 100_000  # windows held together by a worker, 150 MB
 RESULT = "n_words long, spans array<struct<first:int,last:int>>, items array<string>"
+RESULT_TYPE = "struct<n_words:bigint,spans:array<struct<first:int,last:int>>,items:array<string>>"
+SALTS = 16
 
 #: Word bytes after lower-casing A-Z are digits, a-z and everything beyond ASCII.
 _SEPARATORS = bytes(c for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122))
@@ -146,24 +150,36 @@ def scan(docs: DataFrame, items: DataFrame, into: str = "contamination", *, text
     spark = docs.sparkSession
     found = cut_lineage(benchmark_windows(items, window, item_col, item_text_col))
     blocks = max(1, -(-found.count() // max_windows))
+    if blocks > 1:  # a block is read from its own partition of files
+        folder = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+        found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks))).repartition(blocks, "block").write.partitionBy("block").parquet(folder)
     tables: list = []
-    parts: list[str] = []
-    out, size = docs, 0
+    size, earlier, text = 0, None, utf8(text_col)
     for block in range(blocks):
         windows: dict[bytes, list[str]] = {}
-        part = found if blocks == 1 else found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
+        part = found if blocks == 1 else spark.read.schema("window binary, item string, block long").parquet(folder).where(F.col("block") == block)
         for row in part.toLocalIterator():
             windows.setdefault(bytes(row["window"]), []).append(row["item"])
         tables.append(spark.sparkContext.broadcast(Patterns(windows)))
         size += len(windows)
-        if size >= at_once or block == blocks - 1:  # these tables are held together, and texts are split once for all of them
-            parts.append(unused(out, "_scan"))
-            out = attach(out, parts[-1], _scan(tables), RESULT, utf8(text_col))
+        if size >= at_once and block < blocks - 1:  # these tables are held together, and texts are split once for all of them
+            hits = attach(docs.select(F.sha2(text, 256).alias("key"), text.alias("text")), "r", _scan(tables), RESULT, F.col("text"))
+            hits = cut_lineage(hits.where(F.size(F.col("r")["spans"]) > 0).select("key", "r").dropDuplicates(["key"]))
+            earlier = hits if earlier is None else earlier.unionByName(hits)
+            for t in tables:
+                t.unpersist()
             tables, size = [], 0
-    if len(parts) == 1:
-        return out.withColumn(into, F.col(parts[0])).drop(parts[0])
-    whole = attach(out, parts[0], _united, RESULT, F.array(*[F.col(p) for p in parts]))
-    return whole.withColumn(into, F.col(parts[0])).drop(*parts)
+    if earlier is None:
+        return attach(docs, into, _scan(tables), RESULT, text)
+    # The last group meets what the others found, by the text's digest, since equal texts are hit alike. Rows of
+    # one text may be a third of all, so texts that are hit are dealt out once for each salt.
+    key, salt, own, more = (unused(docs, n) for n in ("_key", "_salt", "_scan", "_more"))
+    grouped = earlier.groupBy(F.col("key").alias(key)).agg(F.collect_list("r").alias(more)).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = attach(docs, own, _scan(tables), RESULT, text).withColumns({key: F.sha2(text, 256), salt: F.spark_partition_id() % SALTS})
+    rows = rows.join(grouped, [key, salt], "left")
+    results = F.concat(F.array(F.col(own)), F.coalesce(F.col(more), F.array().cast(f"array<{RESULT_TYPE}>")))
+    whole = attach(rows, own, _united, RESULT, results).withColumn(into, F.col(own))
+    return whole.select(*docs.columns, *([into] if unused(docs, into) == into else []))
 
 
 def _united(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -66,6 +66,11 @@ def test_decontaminate(spark, docs, empty):
                         found |= ids
             want = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
             assert tuple(got[k])[1:] == want, k
+    # Several groups of tables: every row comes back, repeated ones too, with its own columns and one that is replaced.
+    groups = {"max_windows": 5, "at_once": 8}
+    many = decontaminate.scan(docs.withColumns({"_key": F.lit(1), "r": F.lit(2)}), bench, "SOURCE", **groups)
+    assert many.columns == [*docs.columns, "_key", "r"] and many.count() == docs.count()
+    assert decontaminate.scan(docs, bench, "c", **groups).columns == [*docs.columns, "c"] and decontaminate.scan(empty, bench, "c", **groups).count() == 0
     assert decontaminate.report(decontaminate.scan(docs, bench.limit(0))).where("contaminated").count() == 0
     assert decontaminate.scan(empty, bench, "words").columns == docs.columns
     assert decontaminate.scan(docs, bench, "words").count() == docs.count()
