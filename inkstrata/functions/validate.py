@@ -18,7 +18,7 @@ def kept_values(text: Column, terms: Sequence[str] = ()) -> Column:
 
 
 def failures(source: Column, translated: Column, terms: Sequence[str] = ()) -> Column:
-    """Names of the rules that the translation breaks, in a fixed order; none if it is sound."""
+    """Names of the rules that the translation breaks, in a fixed order; none if it is sound. Without either text none is broken, without one of them at least one is."""
 
     def made(v: Column) -> Column:
         def ordered(values: Column) -> Column:
