@@ -28,6 +28,8 @@ SPANS = (
     r"&(?:[A-Za-z][A-Za-z0-9]+|#[0-9]+|#x[0-9A-Fa-f]+);",
     URL,
 )
+#: What a span can begin with, but for the destination of a link.
+SPAN_STARTS = r"`~<*_!$\\&hm"
 PREFIX = "__MDT_"
 URL_SCHEMES = ("http://", "https://", "mailto:")
 EMPHASIS = ("**", "__")
@@ -83,8 +85,12 @@ def terms_pattern(terms: Sequence[str], beside: bool = True) -> str:
 
 
 def span_pattern(terms: Sequence[str] = ()) -> str:
-    """All protected spans, and after them the terms, the longest first."""
-    return "(?sU)" + "|".join(f"(?:{p})" for p in [*SPANS, *([terms_pattern(terms)] if any(terms) else [])])
+    """All protected spans, and after them the terms, the longest first.
+
+    Most places of a text begin no span: one look at the character there tells so, before the kinds are tried in turn.
+    """
+    kinds = rf"(?:(?=[{SPAN_STARTS}])|(?<=\]\())(?:{'|'.join(f'(?:{p})' for p in SPANS)})"
+    return "(?sU)" + "|".join([kinds, *([f"(?:{terms_pattern(terms)})"] if any(terms) else [])])
 
 
 def spans(text: Column, terms: Sequence[str] = ()) -> Column:
@@ -138,7 +144,7 @@ def restore(translated: Column, protected: Column) -> Column:
         number = F.length(protected["prefix"])
         values = F.transform(seen, lambda p: F.get(kept, F.substring(p, number + 1, F.length(p) - number - 2).cast("int"))["value"])
         text = F.array_join(F.zip_with(gaps, values, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
-        error = F.when(F.array_sort(seen) != F.array_sort(expected), F.lit("placeholders changed, lost or repeated")).when(
+        error = F.when(F.sort_array(seen) != F.sort_array(expected), F.lit("placeholders changed, lost or repeated")).when(
             F.filter(seen, lambda p: F.array_contains(fixed, p)) != fixed, F.lit("ordered placeholders moved")
         )
         return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))

@@ -6,16 +6,18 @@ functions within the row, so nothing is shuffled and no text travels but in its
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstrata.functions import markdown as M
 from inkstrata.functions.protect import span_pattern
-from inkstrata.functions.text import found, is_blank, let, lines
+from inkstrata.functions.text import gaps_and_matches, is_blank, let, lines
 
 MIN_CHUNK = 1000
 PART = "array<struct<text:string,translatable:boolean>>"
@@ -121,9 +123,9 @@ def document_chunks(docs: DataFrame, max_chars: int = 12_000, id_col: str = "doc
     return rows.select("doc_id", "chunk_no", F.col("_c")["text"].alias("text"), F.col("_c")["translatable"].alias("translatable"))
 
 
-# Where a text may be split, best first.
-SPLITS = (r"\n[ \t]*\n", r"(?U)(?<=[.!?。！？])\s+", r"\n", r"[ \t]+")
-FILLED = r"(?U)[^\s\x1C-\x1F]+"
+# Where a text may be split, best first. White space without the separators of files and groups, which split nothing.
+SPLITS = tuple(re.compile(p) for p in (r"\n[ \t]*\n", r"(?<=[.!?。！？])[^\S\x1C-\x1F]+", r"\n", r"[ \t]+"))
+FILLED = re.compile(r"\S+")
 
 
 def split_position(text: Column, min_side: int = 400) -> Column:
@@ -131,44 +133,45 @@ def split_position(text: Column, min_side: int = 400) -> Column:
 
     Blank lines come before ends of sentences, those before line ends and spaces. Neither
     side may have fewer than ``min_side`` characters without the white space at its ends, and no
-    protected span is cut. Patterns are matched in the JVM; lengths of what lies between
-    their matches and of the matches, in turn, are all that the array function sees.
+    protected span is cut. Spans are matched in the JVM, by one pass; Python gets the lengths of
+    them and of what lies between, and looks for a kind of places only where the kinds before it have none.
     """
 
-    def lengths(pattern: str) -> Column:
-        gaps, hits = F.split(text, pattern, -1), found(text, pattern)
-        return F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h")), lambda x: F.array(F.length(x["g"]), F.coalesce(F.length(x["h"]), F.lit(0)))))
-
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for columns in batches:
-            yield pa.array([None if row[0] is None else nearest_split(*(np.cumsum(np.asarray(x, np.int64)) for x in row), min_side) for row in zip(*(c.to_pylist() for c in columns), strict=True)], pa.int64())
+        for texts, lengths in batches:
+            yield pa.array([None if t is None else nearest_split(t, list(accumulate(s)), min_side) for t, s in zip(texts.to_pylist(), lengths.to_pylist(), strict=True)], pa.int64())
 
-    return F.arrow_udf(run, "bigint")(lengths(FILLED), lengths(span_pattern()), *[lengths(p) for p in SPLITS])
+    return F.arrow_udf(run, "bigint")(text, F.transform(gaps_and_matches(text, span_pattern()), lambda p: F.length(p)))
 
 
-def nearest_split(filled: np.ndarray, spans: np.ndarray, *places_and_least) -> int | None:
+def nearest_split(text: str, spans: list[int], least: int) -> int | None:
     """The first kind of places that has one where both sides are long enough and no span is open, and of it the nearest to the middle.
 
-    All arrays are ends: of a gap and of a match in turn. ``filled`` matches runs without white space.
+    ``spans`` are ends: of a gap and of a span in turn.
     """
-    *places, least = places_and_least
-    size = int(filled[-1]) if len(filled) else 0
-    first, last = filled[0::2], filled[1::2]  # where runs begin and end; the last pair is the rest of the text
-    first, last = first[:-1], last[:-1]
-    if not len(first):
+    words = [m.span() for m in FILLED.finditer(text)]
+    if not words or words[-1][1] - words[0][0] < 2 * least:
         return None
-    for ends in places:
-        at = np.unique(ends[1::2][:-1])
-        at = at[(at > 0) & (at < size)]
-        before, after = np.searchsorted(last, at, "right") - 1, np.searchsorted(first, at, "left")
-        # White space ends at every place, so that no run goes across one.
-        left = np.where(before >= 0, last[before], first[0]) - first[0]
-        right = np.where(after < len(first), last[-1] - first[np.minimum(after, len(first) - 1)], 0)
-        opened = np.searchsorted(spans[0::2], at, "left") - 1  # the last span that begins before
-        inside = (opened >= 0) & (at < spans[1::2][opened])
-        fit = at[(left >= least) & (right >= least) & ~inside]
-        if len(fit):
-            return int(fit[np.argmin(np.abs(fit - size // 2))])
+    first, last = [w[0] for w in words], [w[1] for w in words]
+    starts, stops, middle = spans[0:-1:2], spans[1::2], len(text) // 2
+
+    def fits(at: int) -> bool:
+        # White space ends at every place, so that no word goes across one.
+        before, opened = bisect_right(last, at), bisect_left(starts, at)  # words and spans that come before
+        if not 0 < before < len(words):
+            return least <= 0 and not (opened and at < stops[opened - 1])
+        return last[before - 1] - first[0] >= least and last[-1] - first[before] >= least and not (opened and at < stops[opened - 1])
+
+    for pattern in SPLITS:
+        ends = [e for m in pattern.finditer(text) if 0 < (e := m.end()) < len(text)]
+        below, above = bisect_left(ends, middle) - 1, bisect_left(ends, middle)
+        while below >= 0 or above < len(ends):
+            if above == len(ends) or (below >= 0 and middle - ends[below] <= ends[above] - middle):
+                at, below = ends[below], below - 1
+            else:
+                at, above = ends[above], above + 1
+            if fits(at):
+                return at
     return None
 
 

@@ -257,3 +257,12 @@ def test_references_without_a_semicolon(spark, tmp_path):
     got = {r.page_id: r.html_sha256 for r in catalog.entity_decode(spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in ((1, "a &amp& b &copy ·&amp</p>"), (2, "< &ampx; ''"), (3, ""))}
     assert pseudocode.decoded(pages[0][1]) == "a && b © ·&</p>"
+
+
+def test_split_looks_for_spans_alone_in_the_jvm(spark):
+    """Words and places are found once in Python, kind by kind; ten more passes over the text made most of the time."""
+    docs = spark.createDataFrame([(1, "`a b` ww. ww\nww ww")], "doc_id long, text string")
+    plan = segment.halves(docs, min_side=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?<=[.!?" not in plan and "[^\\s\\x1C-\\x1F]+" not in plan
+    assert [segment.nearest_split(t, [len(t)], n) for t, n in (("ww. ww\nww", 2), ("ww ww\nww", 2), ("ww\n\nww. ww", 2), ("ww ww", 3), (" \n ", 0))] == [4, 6, 4, None, None]
+    assert segment.nearest_split("`a b` ww", [0, 5, 8], 2) == 6
