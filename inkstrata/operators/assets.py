@@ -68,7 +68,9 @@ def shared_paths(docs: DataFrame, references: DataFrame, up: str = "..", id_col:
 
     def moved(text: Column) -> Column:
         def image(m: Column) -> Column:
-            dest = F.regexp_extract(m, IMAGE_DESTINATION, 1)
+            return let(F.regexp_extract(m, IMAGE_DESTINATION, 1), lambda dest: led(m, dest))
+
+        def led(m: Column, dest: Column) -> Column:
             to = F.col("_new")[F.regexp_replace(dest, r"\A<|>\z", "")]
             head = F.regexp_extract(m, r"\A(!\[[^\]\n]*\]\()", 1)
             put = F.when(dest.startswith("<"), F.concat(F.lit("<"), to, F.lit(">"))).otherwise(to)

@@ -48,7 +48,7 @@ def match_tables(tables: DataFrame, images: DataFrame) -> DataFrame:
     """
     left = tables.select("doc_id", "t", "k", "start", "stop", "n", F.sha2("body", 256).alias("_h"))
     right = images.select("doc_id", "list", "k", "image", F.sha2("body", 256).alias("_h"))
-    hits = left.join(right, ["doc_id", "_h", "k"]).groupBy("doc_id", "list").agg(F.max("n").alias("_need"), F.array_sort(F.collect_list(F.struct("t", "image", "start", "stop"))).alias("_x"))
+    hits = left.join(right, ["doc_id", "_h", "k"]).groupBy("doc_id", "list").agg(F.max("n").alias("_need"), F.sort_array(F.collect_list(F.struct("t", "image", "start", "stop"))).alias("_x"))
     first = hits.where("size(_x) = _need").groupBy("doc_id").agg(F.min(F.struct("list", "_x")).alias("_m"))
     spans = F.transform("_m._x", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
     return first.select("doc_id", "_m.list", F.transform("_m._x", lambda x: x["image"]).alias("pictures"), spans.alias("spans"))
@@ -56,14 +56,15 @@ def match_tables(tables: DataFrame, images: DataFrame) -> DataFrame:
 
 def _replaced(text: Column, spans: Column, pictures: Column) -> Column:
     """The text with the words of each table's captions, and its picture, in place of the table."""
-    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["stop"]))), F.array(F.length(text)))
+    size = F.size(spans)
 
-    def piece(i: Column) -> Column:
-        own = F.substring(text, edges[i] + 1, edges[i + 1] - edges[i])
-        words = F.array_join(F.transform(captions_of_table(own), lambda c: F.concat(c, F.lit("\n\n"))), "")
-        return F.when(i % 2 == 0, own).otherwise(F.concat(words, F.lit("![]("), F.get(pictures, F.floor(i / 2).cast("int")), F.lit(")\n")))
+    def piece(s: Column, i: Column) -> Column:
+        before = F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["stop"])
+        words = F.array_join(F.transform(captions_of_table(F.substring(text, s["start"] + 1, s["stop"] - s["start"])), lambda c: F.concat(c, F.lit("\n\n"))), "")
+        return F.concat(F.substring(text, before + 1, s["start"] - before), words, F.lit("![]("), F.get(pictures, i), F.lit(")\n"))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(edges) - 2), piece), "")
+    rest = F.substring(text, F.coalesce(F.get(spans, size - 1)["stop"], F.lit(0)) + 1, F.length(text))
+    return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
 
 
 def tables_to_images(docs: DataFrame, images: DataFrame, mode: str = "image", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
