@@ -53,7 +53,7 @@ def with_url_ends(source: Column, translated: Column) -> Column:
     prefix, so the last URL not after a text is one, or leads to it over the longest URLs that it begins with.
     """
     urls = F.filter(spans(source), lambda v: v.startswith(URL_SCHEMES[0]) | v.startswith(URL_SCHEMES[1]) | v.startswith(URL_SCHEMES[2]))
-    known = let(F.array_sort(F.array_distinct(urls)), with_parents)
+    known = let(F.sort_array(F.array_distinct(urls)), with_parents)
 
     def made(known: Column) -> Column:
         def apart(token: Column) -> Column:

@@ -74,10 +74,12 @@ def is_front_matter(block: Column, number: Column) -> Column:
 
 def has_language(block: Column) -> Column:
     """Whether anything but code, images, tags and punctuation is left."""
+    bare = block.rlike(rf"(?U)[^{PUNCTUATION[1:-2]}\x1C-\x1F]")
     left = block
     for pattern in (r"(?s)```.*?```", r"(?s)~~~.*?~~~", MARKDOWN_IMAGE, HTML_IMAGE, r"</?\s*[A-Za-z][^>]*>", f"(?U){PUNCTUATION}"):
         left = F.regexp_replace(left, pattern, "")
-    return ~is_blank(left)
+    # Code, images and tags have one of these marks.
+    return F.when(block.rlike("[`~!<]"), ~is_blank(left)).otherwise(bare)
 
 
 def heading_levels(text: Column) -> Column:
@@ -124,7 +126,7 @@ def _merged(spans: Column) -> Column:
 
         return let(ends, opened)
 
-    return let(F.array_sort(spans), by_ends)
+    return let(F.sort_array(spans), by_ends)
 
 
 def table_spans(text: Column) -> Column:

@@ -29,7 +29,7 @@ def failures(source: Column, translated: Column, terms: Sequence[str] = ()) -> C
             F.when(table_marks(source) != table_marks(translated), F.lit("table marks")),
             F.when(translated.contains(PREFIX), F.lit("placeholder left")),
             F.when(~strong_is_even(translated), F.lit("strong marks unpaired")),
-            F.when(F.array_sort(v["a"]) != F.array_sort(v["b"]), F.lit("protected values")),
+            F.when(F.sort_array(v["a"]) != F.sort_array(v["b"]), F.lit("protected values")),
             F.when(ordered(v["a"]) != ordered(v["b"]), F.lit("protected order")),
         )
         return F.filter(rules, lambda r: r.isNotNull())

@@ -56,7 +56,7 @@ def figure_groups(content: DataFrame, *keep: str) -> DataFrame:
     page = W.partitionBy("doc_id", "page_idx").orderBy("i")
     opens = (F.lag("i").over(page).isNull() | (F.col("i") - F.lag("i").over(page) != 1) | ~F.lag("_absorbs").over(page)).cast("int")
     runs = rows.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(page))
-    grouped = runs.groupBy("doc_id", "page_idx", "_run").agg(F.max_by("_figure", "i").alias("figure"), F.array_sort(F.collect_list(F.struct("i", F.element_at(F.split("img_path", "/"), -1).alias("img"), "bbox", *keep))).alias("panels"))
+    grouped = runs.groupBy("doc_id", "page_idx", "_run").agg(F.max_by("_figure", "i").alias("figure"), F.sort_array(F.collect_list(F.struct("i", F.element_at(F.split("img_path", "/"), -1).alias("img"), "bbox", *keep))).alias("panels"))
     return grouped.where("figure is not null and size(panels) > 1").select("doc_id", "page_idx", "figure", "panels")
 
 
@@ -113,7 +113,7 @@ def crop_plans(groups: DataFrame, page_sizes: DataFrame, text_lines: DataFrame |
     none = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
     if text_lines is not None:
         # In reading order, since the fold's result may depend on it.
-        own = text_lines.groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "x1", "y1"))).alias("_l"))
+        own = text_lines.groupBy("doc_id", "page_idx").agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "x1", "y1"))).alias("_l"))
         rows = rows.join(own, ["doc_id", "page_idx"], "left").withColumn("_lines", F.coalesce(F.transform("_l", lambda r: F.struct(r["x0"].alias("x0"), r["y0"].alias("y0"), r["x1"].alias("x1"), r["y1"].alias("y1"))), none)).drop("_l")
     else:
         rows = rows.withColumn("_lines", none)
@@ -193,7 +193,7 @@ def rewrite(text: Column, images: Column, file: Column, prefix: str = "") -> Col
         def judged(span: Column) -> Column:
             rest = F.filter(F.transform(F.split(F.regexp_replace(span, PANEL_REFERENCE, ""), "\n", -1), strip), lambda x: x != "")
             bad = F.get(F.filter(rest, lambda x: ~x.rlike(PANEL_LABEL)), 0)
-            same = F.array_sort(F.array_distinct(found(span, PANEL_REFERENCE, 1))) == F.array_sort(F.array_distinct(images))
+            same = F.sort_array(F.array_distinct(found(span, PANEL_REFERENCE, 1))) == F.sort_array(F.array_distinct(images))
             labels = F.when(F.size(rest) > 0, F.concat(F.array_join(rest, "\n"), F.lit("\n"))).otherwise(F.lit(""))
             folded = F.concat(F.substring(text, F.lit(1), start["at"] - 1), F.lit(f"![]({prefix}images/"), file, F.lit(")\n"), labels, F.substring(text, stop, F.length(text)))
             missing = F.exists(places, lambda p: p["at"] == 0)
@@ -224,7 +224,7 @@ def edit_of(text: Column, refs: Column, images: Column, file: Column, prefix: st
         def judged(span: Column) -> Column:
             rest = F.filter(F.transform(F.split(F.regexp_replace(span, PANEL_REFERENCE, ""), "\n", -1), strip), lambda x: x != "")
             bad = F.get(F.filter(rest, lambda x: ~x.rlike(PANEL_LABEL)), 0)
-            same = F.array_sort(F.array_distinct(found(span, PANEL_REFERENCE, 1))) == F.array_sort(F.array_distinct(images))
+            same = F.sort_array(F.array_distinct(found(span, PANEL_REFERENCE, 1))) == F.sort_array(F.array_distinct(images))
             status = (
                 F.when(missing, GONE)
                 .when(bad.isNotNull(), F.concat(F.lit("skip: unexpected content between panels ("), F.left(bad, F.lit(60)), F.lit(")")))
@@ -249,7 +249,7 @@ def applied(text: Column, edits: Column) -> Column:
         rest = F.substring(text, F.get(e, F.size(e) - 1)["stop"] + 1, F.length(text))
         return F.when(F.size(e) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
 
-    return let(F.array_sort(F.transform(edits, lambda x: F.struct(x["start"], x["stop"], x["put"]))), made)
+    return let(F.sort_array(F.transform(edits, lambda x: F.struct(x["start"], x["stop"], x["put"]))), made)
 
 
 def fold(markdown: DataFrame, figures: DataFrame, prefix: str = "") -> DataFrame:
@@ -259,7 +259,7 @@ def fold(markdown: DataFrame, figures: DataFrame, prefix: str = "") -> DataFrame
     is, references found once; one that overlaps that of a figure of a lower number is refused, as its references are gone by then. All others are made in one
     pass. A text moves once, by its document; a null text stays null, and a document without figures stays as it is.
     """
-    own = figures.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("figure", "file", "images"))).alias("_own"))
+    own = figures.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("figure", "file", "images"))).alias("_own"))
     rows = markdown.select("doc_id", "text").join(own, "doc_id", "left")
     text = F.col("text")
 

@@ -32,7 +32,7 @@ def figure_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All figures of a text folded at once: the text, whether it changed, and what became of each figure."""
     rows, texts = _texts(spark, sf_dir)
     pairs = rows.where(F.col("i") < 2 * PAIRS).groupBy(F.col("l_orderkey").alias("doc_id"), (F.floor(F.col("i") / 2) + 1).cast("int").alias("figure"))
-    images = F.array_sort(F.collect_list(F.concat(F.lit("a"), F.col("i"), F.lit(".jpg"))))
+    images = F.sort_array(F.collect_list(F.concat(F.lit("a"), F.col("i"), F.lit(".jpg"))))
     own = pairs.agg(images.alias("images")).where("size(images) = 2").withColumn("file", F.format_string("figure-%02d.jpg", F.col("figure")))
     told = F.array_join(F.transform("figures", lambda f: F.concat_ws(":", f["figure"], f["status"])), ";")
     return figures.fold(texts, own).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "changed", F.coalesce(told, F.lit("")).alias("statuses"))

@@ -17,7 +17,7 @@ from inkstrata.operators import assets, figures, jobs, segment, tables
 from inkstrata.plans import translate
 from inkstrata.sources import readers
 
-from .catalog import _content, _items, _plans, _table
+from .catalog import _content, _dealt, _items, _plans, _table
 from .catalog_sql import CONTENT, LI
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(8195) || chr(12288)"
@@ -25,7 +25,7 @@ SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)
 
 def _joined(rows: DataFrame, line: Column) -> DataFrame:
     """doc_id, text: the lines of an order's items in their order."""
-    got = rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("x"))
+    got = rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("i", line.alias("line")))).alias("x"))
     return got.select("doc_id", F.array_join(F.transform("x", lambda x: x["line"]), "").alias("text"))
 
 
@@ -128,7 +128,7 @@ def listing_lines(spark, sf_dir):
     body = F.concat(F.lit("Algorithm "), F.col("p_partkey"), F.lit(r"</p>1: <em>\textbf{if}</em> $x_{12} "), symbol, F.lit(r" y^{n+1}$ then"), blank, F.lit(r"2: x<sup>2</sup> \leftarrow \hat{\mathbf{y}} \quad f (a , \frac{b}{c})<br>3: end if"))
     text = F.concat(F.lit('<div class="plain">k</div>\n<div class="big x-algorithm">'), body, F.lit("</div>"))
     got = pseudocode.plain_listings(text)
-    return _table(spark, sf_dir, "part").select("p_partkey", got["text"].alias("text"), got["blocks"].cast("long").alias("blocks"))
+    return _dealt(_table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", got["text"].alias("text"), got["blocks"].cast("long").alias("blocks"))
 
 
 LISTING_LINES = r"""SELECT p_partkey, '<div class="plain">k</div>' || chr(10) || '**Algorithm ' || p_partkey || '**' || chr(10, 10) || '```text' || chr(10) || '1: if x_12 ' || ['⇔', '∈', '∞', '≤', '≤', '⇒', 'words'][p_size % 7 + 1] || ' y^(n+1) then' || chr(10)
@@ -206,7 +206,7 @@ def layout_items(spark, sf_dir):
         F.when(flag == "R", "image").when(flag == "A", "chart").otherwise("table").alias("type"), (F.col("i") % 7).cast("string").alias("page_idx"), F.array("l_quantity", "l_discount", "l_quantity", "l_tax").alias("bbox"),
         F.concat(F.lit("images/"), k, F.lit(".jpg")).alias("img_path"), F.when(flag == "R", listed).otherwise(none).alias("image_caption"), F.when(flag == "A", F.concat(F.lit("Fig "), k, F.lit(": z"))).alias("chart_caption"), F.when(flag == "N", " ").alias("table_caption"),
     )
-    lists = _items(spark, sf_dir).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("i", item.alias("x")))), lambda x: x["x"])).alias("json"))
+    lists = _items(spark, sf_dir).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("i", item.alias("x")))), lambda x: x["x"])).alias("json"))
     found = readers.content_items(lists.withColumn("list", F.lit("l")))
     return found.select("doc_id", F.col("i").cast("long").alias("i"), "type", F.col("page_idx").cast("long").alias("page_idx"), F.array_join(F.transform("captions", lambda c: c), "/").alias("captions"), F.coalesce(figures.figure_number(F.col("captions")), F.lit(-1)).cast("long").alias("figure"), F.col("bbox")[0].alias("x0"))
 
@@ -216,7 +216,7 @@ LAYOUT_ITEMS = f"""WITH {LI} SELECT l_orderkey AS doc_id, i, CASE l_returnflag W
 
 
 def term_bullets(spark, sf_dir):
-    n = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    n = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
     text = F.concat(F.lit("# terms\n"), F.array_join(F.transform("names", lambda x: F.concat(F.lit("* `"), x, F.lit("`\r\n  - "), x, F.lit(" \nno term\n+ "), F.lower(x), F.lit("\n-\n"))), ""))
     return n.select(F.col("n_regionkey").cast("long").alias("region"), F.array_join(readers.term_list(text), ",").alias("terms"))
 
@@ -225,7 +225,7 @@ TERM_BULLETS = "SELECT n_regionkey::BIGINT AS region, string_agg(n_name || ',' |
 
 
 def glossaries(spark, sf_dir):
-    n = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("x"))
+    n = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("x"))
     json = F.concat(F.lit("{"), F.array_join(F.transform("x", lambda x: F.concat(F.lit('"'), x["n_name"], F.lit('": "'), x["n_nationkey"], F.lit('"'))), ", "), F.lit("}"))
     text = F.when(F.col("n_regionkey") % 2 == 0, json).otherwise(F.concat(F.lit(" \n{not "), json, F.lit("\n")))
     g = readers.glossary(text)
@@ -238,7 +238,7 @@ GLOSSARIES = """WITH g AS (SELECT n_regionkey::BIGINT AS region, CASE WHEN n_reg
 
 def batch_results(spark, sf_dir):
     result = F.struct(F.concat(F.lit("f"), F.col("i")).alias("file_name"), F.col("l_partkey").alias("value"))
-    rows = _items(spark, sf_dir).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", result.alias("r")))), lambda x: x["r"]).alias("results"))
+    rows = _items(spark, sf_dir).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", result.alias("r")))), lambda x: x["r"]).alias("results"))
     return rows.select("doc_id", jobs.batch_result(F.col("results"), F.concat(F.lit("f"), F.col("doc_id") % 9))["value"].cast("long").alias("value"))
 
 
@@ -303,7 +303,7 @@ def sound_translations(spark, sf_dir):
         F.replace(source, F.lit("# Head"), F.lit("Head")),
     )
     target = F.element_at(F.array(*changed), (F.col("c_custkey") % len(changed) + 1).cast("int"))
-    return _table(spark, sf_dir, "customer").select("c_custkey", F.array_join(validate.failures(source, target), "; ").alias("failures"), validate.structure_matches(source, target).alias("same_structure"))
+    return _dealt(_table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", F.array_join(validate.failures(source, target), "; ").alias("failures"), validate.structure_matches(source, target).alias("same_structure"))
 
 
 SOUND_TRANSLATIONS = """SELECT c_custkey, ['', 'headings', 'table marks; protected values; protected order', 'placeholder left', 'strong marks unpaired', '', 'protected order', 'protected values; protected order', 'headings'][c_custkey % 9 + 1] AS failures,
@@ -368,7 +368,7 @@ def figure_checks(spark, sf_dir):
     k = F.col("doc_id") % 8
     # Folded once, folded twice, apart with words between, apart, or not there at all.
     line = F.when(k % 4 == 0, folded).when(k % 4 == 1, F.repeat(folded, 2)).when(k == 2, F.replace(panels, F.lit(")"), F.lit(")\nwords"))).when(k == 6, panels).otherwise("")
-    docs = plans.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("text"))
+    docs = plans.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("text"))
     crops = plans.where("figure % 5 <> 4").select("doc_id", "file", (F.col("width_px") + F.col("figure") % 3 * 2).alias("width_px"), "height_px")
     got = figures.verify(plans, docs, crops, overlaps)
     return got.select("doc_id", F.col("figure").cast("long").alias("figure"), "status", F.array_join("failures", "; ").alias("failures"))

@@ -299,11 +299,11 @@ def translate(docs: DataFrame, work_dir: str, translator: Translator = echo, set
                 continue
         break
     answers = leaves.join(cache_hits(leaves.select("key", "text").dropDuplicates(["key"]), spark.read.parquet(cache_path), s.terms), "key", "left")
-    roots = answers.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("side", "translation"))).alias("_l"))
+    roots = answers.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("side", "translation"))).alias("_l"))
     roots = roots.select(F.col("root").alias("key"), F.when(F.exists("_l", lambda x: x["translation"].isNull()), F.lit(None)).otherwise(F.array_join(F.transform("_l", lambda x: x["translation"]), "")).alias("translation"))
     merged = chunks.join(roots, "key", "left").withColumn("_out", F.when(F.col("translatable"), F.col("translation")).otherwise(F.col("text")))
     whole = merged.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("chunk_no", "text", "_out"))).alias("_c"),
+        F.sort_array(F.collect_list(F.struct("chunk_no", "text", "_out"))).alias("_c"),
     )
     lost = F.exists("_c", lambda c: c["_out"].isNull())
     texts = whole.select("doc_id", lost.alias("_lost"), F.array_join(F.transform("_c", lambda c: c["text"]), "").alias("_source"), F.array_join(F.transform("_c", lambda c: F.coalesce(c["_out"], F.lit(""))), "").alias("_target"))

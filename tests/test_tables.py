@@ -306,3 +306,27 @@ def test_second_runs_change_nothing(values):
 
     once = values(fold, "![](images/a.jpg)\n(a) x\n![](images/b.jpg)\n")[0]
     assert once["status"].startswith("merged") and values(fold, once["text"])[0]["status"] == "skip: already merged or refs not found"
+
+
+def test_short_rows_of_one_file_are_dealt_out(spark, tmp_path):
+    """A file of short rows is one task; queries with much work on each row need more."""
+    from inkstrata.plans import catalog, catalog_repairs
+
+    spark.createDataFrame([(k, f"n {k}", k % 50) for k in range(200)], "p_partkey long, p_name string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(k,) for k in range(200)], "c_custkey long").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    for query in (catalog.algorithm_blocks, catalog_repairs.listing_lines, catalog_repairs.sound_translations):
+        assert query(spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+
+
+def test_many_tables_of_one_text_are_replaced(spark):
+    """Where tables begin and end was worked out anew for each piece, so it grew as the square."""
+    import time
+
+    n = 6000
+    cell = "<table><caption>c</caption></table>"
+    spans = [(k * (len(cell) + 1), k * (len(cell) + 1) + len(cell)) for k in range(n)]
+    rows = spark.createDataFrame([((cell + "\n") * n, spans, [f"{k}.jpg" for k in range(n)])], "text string, spans array<struct<start:int,stop:int>>, pictures array<string>")
+    began = time.time()
+    got = rows.select(tables._replaced(F.col("text"), F.col("spans"), F.col("pictures")).alias("t")).first().t
+    assert got == "".join(f"c\n\n![]({k}.jpg)\n\n" for k in range(n))
+    assert time.time() - began < 60
