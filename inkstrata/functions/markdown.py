@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BREAKS, EOL, GAP, found, is_blank, let, places, running, strip
+from .text import BREAKS, EOL, GAP, IN_LINE, found, is_blank, let, places, running, strip
 
 # Patterns and words that decide what is a heading, a table or an image.
 HEADING = r"\A[ \t]*(#{1,6})[ \t]+([^\n]+?)[ \t]*(?:\n|\z)"
@@ -26,8 +26,8 @@ PUNCTUATION = "[!\\[\\]()\\s*_`#>|~:\\-–—.,;!?\"'’“”]+"
 _LINE_END = rf"(?:{EOL}|\z)"
 _CLOSE = rf"{GAP}*+(?:`{{3,}}+|~{{3,}}+){GAP}*+{_LINE_END}"
 _OPEN = rf"{GAP}*+(?:```|~~~)"
-_FENCED = rf"{_OPEN}[^{BREAKS}]*+{_LINE_END}(?:(?!{_CLOSE})(?:[^{BREAKS}]*+{EOL}|[^{BREAKS}]++\z))*+(?:{_CLOSE})?+"
-_PLAIN = rf"(?!{_OPEN}){GAP}*+[^\s\x1F{BREAKS}][^{BREAKS}]*+{_LINE_END}"
+_FENCED = rf"{_OPEN}{IN_LINE}*+{_LINE_END}(?:(?!{_CLOSE})(?:{IN_LINE}*+{EOL}|{IN_LINE}++\z))*+(?:{_CLOSE})?+"
+_PLAIN = rf"(?!{_OPEN}){GAP}*+[^\s\x1F{BREAKS}]{IN_LINE}*+{_LINE_END}"
 _BLANK = rf"(?:{GAP}*+{EOL}|{GAP}++\z)"
 BLOCK = rf"(?U)(?:{_FENCED}|{_PLAIN})++(?:{_BLANK})*+|(?:{_BLANK})++"
 
@@ -102,6 +102,11 @@ def captions_of_table(table: Column) -> Column:
     return found(table, HTML_CAPTION, 2)
 
 
+def has_html_table(text: Column) -> Column:
+    """Whether a table is opened, in letters of any case."""
+    return text.contains("<") & text.rlike("(?i)<table")
+
+
 SPANS = "array<struct<start:int,stop:int>>"
 
 
@@ -135,7 +140,7 @@ def table_spans(text: Column) -> Column:
     A pipe table is a row, a separator, and the rows that follow.
     """
     none = F.array().cast(SPANS)
-    html = F.when(F.lower(text).contains("<table"), _places(text, HTML_TABLE)).otherwise(none)
+    html = F.when(has_html_table(text), _places(text, HTML_TABLE)).otherwise(none)
     pipe = F.when(text.contains("|"), _places(text, PIPE_TABLE)).otherwise(none)
 
     def made(x: Column) -> Column:
@@ -144,7 +149,7 @@ def table_spans(text: Column) -> Column:
     return F.when(text.isNotNull(), let(F.struct(html.alias("html"), pipe.alias("pipe")), made))
 
 
-_ROW = rf"(?=[^{BREAKS}]*\|)[^{BREAKS}]*+(?:{EOL}|\z)"
+_ROW = rf"(?=(?:[ -{{}}~]++|[^|{BREAKS}])*+\|){IN_LINE}*+(?:{EOL}|\z)"
 _RULE = rf"(?={GAP}*\|?{GAP}*:?-{{3,}}:?{GAP}*(?:\|{GAP}*:?-{{3,}}:?{GAP}*)+\|?{GAP}*(?:{EOL}|\z)){_ROW}"
 _AT_LINE = r"(?:(?<=[" + BREAKS + r"])|\A)(?<!\r(?=\n))"
 PIPE_TABLE = rf"(?U){_AT_LINE}{_ROW}{_RULE}(?:{_ROW})*+"
@@ -177,7 +182,7 @@ def table_segments(text: Column) -> Column:
     parts = F.filter(F.flatten(F.transform(let(edges, pieces), cut)), lambda p: p["text"].isNotNull() & (p["text"] != ""))
     plain = F.array(F.struct(text.alias("text"), (~is_blank(text)).alias("translatable"))).cast(kind)
     split = F.transform(parts, lambda p: F.struct(p["text"].alias("text"), (p["translatable"] & ~is_blank(p["text"])).alias("translatable")))
-    return F.when(text.contains("|") | F.lower(text).contains("<table"), split.cast(kind)).otherwise(plain)
+    return F.when(text.contains("|") | has_html_table(text), split.cast(kind)).otherwise(plain)
 
 
 def caption_openers(text: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: What ends a line besides the pair of carriage return and line feed.
 BREAKS = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
 EOL = rf"(?:\r\n|[{BREAKS}])"
+#: A line's character, and with a quantifier after it, its rest: printable ASCII goes by one comparison, all else by the class.
+IN_LINE = rf"(?:[ -~]++|[^{BREAKS}])"
 #: White space within a line.
 GAP = rf"[\s\x1F&&[^{BREAKS}]]"
 SPACE = r"[\s\x1C-\x1F]"
@@ -74,7 +76,7 @@ def is_blank(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines with their ends kept; put together they are the text. Empty text has none."""
-    return found(c, rf"[^{BREAKS}]*+{EOL}|[^{BREAKS}]++")
+    return found(c, rf"{IN_LINE}*+{EOL}|{IN_LINE}++")
 
 
 def found(c: Column, pattern: str, group: int = 0) -> Column:

@@ -266,3 +266,10 @@ def test_split_looks_for_spans_alone_in_the_jvm(spark):
     assert "(?<=[.!?" not in plan and "[^\\s\\x1C-\\x1F]+" not in plan
     assert [segment.nearest_split(t, [len(t)], n) for t, n in (("ww. ww\nww", 2), ("ww ww\nww", 2), ("ww\n\nww. ww", 2), ("ww ww", 3), (" \n ", 0))] == [4, 6, 4, None, None]
     assert segment.nearest_split("`a b` ww", [0, 5, 8], 2) == 6
+
+
+def test_long_lines_of_several_scripts(values):
+    """A line is read in runs of ASCII; however often scripts change, nothing is lost, and words are seen beside any mark."""
+    line = "aé中 " * 60_000
+    assert values(lambda c: M.blocks(c), f"{line}\n\n{line}\x1f x")[0] == [f"{line}\n\n", f"{line}\x1f x"]
+    assert values(lambda c: M.has_language(c), "**-- __", "a", "é--", "<b></b> *", "`x`", "\x1c　", "![a](b)", "~~~\nx~~~") == [False, True, True, False, True, False, False, False]
