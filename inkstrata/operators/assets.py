@@ -2,23 +2,79 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import accumulate
+from urllib.parse import quote, unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstrata.functions.markdown import HTML_IMAGE, MARKDOWN_IMAGE
-from inkstrata.functions.text import found, let, percent_decode, percent_encode, substitute
-
-# Where a reference's destination is, and what isn't a local path.
-IMAGE_DESTINATION = r"\A!\[[^\]\n]*\]\((<[^>\n]+>|[^\s)]+)"
-HTML_DESTINATION = r"(?i)\bsrc\s*=\s*(?:\"([^\"]*)\"|'([^']*)')\z"
+# Images as what is before a destination, it and what is after it (as in ``functions.markdown``, for Python), what isn't a local path, and where its query or fragment is.
+IMAGE = re.compile(r"(!\[[^\]\n]*\]\()(<[^>\n]+>|[^\s)]+)([^)\n]*\))", re.ASCII)
+HTML = re.compile(r"""(<(?ai:img)\b[^>]*\b(?ai:src\s*=\s*))("[^"]*"|'[^']*')""")
 REMOTE = r"\A(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#|/)"
-
-
-def destinations(text: Column) -> Column:
-    """Destinations of Markdown images, then of HTML images, each as often as it occurs."""
-    md = F.transform(found(text, MARKDOWN_IMAGE), lambda m: F.regexp_replace(F.regexp_extract(m, IMAGE_DESTINATION, 1), r"\A<+|>+\z", ""))
-    html = F.transform(found(text, HTML_IMAGE), lambda m: F.concat(F.regexp_extract(m, HTML_DESTINATION, 1), F.regexp_extract(m, HTML_DESTINATION, 2)))
-    return F.concat(md, html)
+_REMOTE = re.compile(REMOTE)
+_REST = re.compile(r"[?#][^\n\r\x85\u2028\u2029]*\Z")
+_ENDING = re.compile(r"[^?#]*([^\n\r\x85\u2028\u2029]*)\Z")
+
+
+_CODED = re.compile("(?:%[0-9A-Fa-f]{2})+")
+_UNSAFE = re.compile(r"[^A-Za-z0-9_.\-~/:@]+")
+# A corpus has few different runs of such characters, so each is coded about once in a worker.
+_decoded = lru_cache(4096)(unquote)
+_encoded = lru_cache(4096)(quote)
+
+
+def steps_to(path: str) -> str | None:
+    """Path without . and .. and empty steps; null if it leaves the folder it starts from. ``normalised`` for Python."""
+    steps = [s for s in path.split("/") if s and s != "."]
+    if ".." in steps:
+        given, steps = steps, []
+        for s in given:
+            if s != "..":
+                steps.append(s)
+            elif steps:
+                steps.pop()
+            else:
+                return None
+    return "/".join(steps) or None
+
+
+def local_references(text: str) -> dict[str, str | None]:
+    """The different local destinations of a text's Markdown images, then of its HTML images, each with its path."""
+    raws = dict.fromkeys([d.lstrip("<").rstrip(">") for d in IMAGE.split(text)[2::4]])
+    raws.update(dict.fromkeys([d[1:-1] for d in HTML.split(text)[2::3]]))
+    out = {}
+    for raw in raws:
+        if not _REMOTE.match(raw):
+            plain = _REST.sub("", raw) if "?" in raw or "#" in raw else raw
+            plain = _CODED.sub(lambda m: _decoded(m[0]), plain) if "%" in plain else plain
+            if plain:
+                out[raw] = steps_to(plain)
+    return out
+
+
+def led_to(text: str, new: dict[str, str]) -> str:
+    """The text with each image's destination replaced by what ``new`` has for it, if anything."""
+
+    def image(d: str) -> str:
+        to = new.get(d.removeprefix("<").removesuffix(">"))
+        return d if to is None else f"<{to}>" if d[0] == "<" else to
+
+    pieces = IMAGE.split(text)
+    pieces[2::4] = [image(d) for d in pieces[2::4]]
+    pieces = HTML.split("".join(pieces))
+    pieces[2::3] = [d if (to := new.get(d[1:-1])) is None else d[0] + to + d[0] for d in pieces[2::3]]
+    return "".join(pieces)
+
+
+def from_output(raw: str, path: str, up: str) -> str:
+    """A reference to a path that lies ``up`` from the output; query and fragment stay."""
+    ending = _ENDING.match(raw) if "?" in raw or "#" in raw else None
+    return _UNSAFE.sub(lambda m: _encoded(m[0]), f"{up}/{path}") + (ending[1] if ending else "")
 
 
 def is_local(raw: Column) -> Column:
@@ -39,9 +95,16 @@ def normalised(path: Column) -> Column:
 
 def asset_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, raw, path: the different local references of each document; path is null outside its folder."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(destinations(F.col(text_col)))).alias("raw")).where(is_local(F.col("raw")))
-    plain = percent_decode(F.regexp_replace("raw", r"[?#].*\z", ""))
-    return rows.withColumn("_plain", plain).where("_plain <> ''").select("doc_id", "raw", normalised(F.col("_plain")).alias("path"))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [[] if t is None else list(local_references(t).items()) for t in texts.to_pylist()]
+            raws, paths = ([x[k] for own in found for x in own] for k in (0, 1))
+            pairs = pa.StructArray.from_arrays([pa.array(raws, pa.string()), pa.array(paths, pa.string())], ["raw", "path"])
+            yield pa.ListArray.from_arrays(pa.array(accumulate(map(len, found), initial=0), pa.int32()), pairs)
+
+    refs = F.arrow_udf(run, "array<struct<raw:string,path:string>>")(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(refs).alias("_r")).select("doc_id", "_r.raw", "_r.path")
 
 
 def resolve(references: DataFrame, files: DataFrame) -> DataFrame:
@@ -59,32 +122,44 @@ def copy_plan(references: DataFrame, files: DataFrame, present: DataFrame) -> Da
 def shared_paths(docs: DataFrame, references: DataFrame, up: str = "..", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with resolved references led to the source folder, ``up`` from the output, and shared_assets.
 
-    Query and fragment of a reference stay. ``references`` are those of ``resolve``.
+    Query and fragment of a reference stay. ``references`` are those of ``resolve``. Where nothing else needs them, ``shared_files`` is cheaper.
     """
-    tail = F.regexp_extract("raw", r"\A[^?#]*(.*)\z", 1)
-    new = F.concat(percent_encode(F.concat(F.lit(up + "/"), F.col("path"))), tail)
-    by_doc = references.where("resolved").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("raw", new))).alias("_new"), F.count_distinct("path").cast("int").alias("shared_assets"))
-    rows = docs.join(by_doc.withColumnRenamed("doc_id", id_col), id_col, "left")
-
-    def moved(text: Column) -> Column:
-        def image(m: Column) -> Column:
-            return let(F.regexp_extract(m, IMAGE_DESTINATION, 1), lambda dest: led(m, dest))
-
-        def led(m: Column, dest: Column) -> Column:
-            to = F.col("_new")[F.regexp_replace(dest, r"\A<|>\z", "")]
-            head = F.regexp_extract(m, r"\A(!\[[^\]\n]*\]\()", 1)
-            put = F.when(dest.startswith("<"), F.concat(F.lit("<"), to, F.lit(">"))).otherwise(to)
-            return F.coalesce(F.concat(head, put, F.substring(m, F.length(head) + F.length(dest) + 1, F.length(m))), m)
-
-        def html(m: Column) -> Column:
-            raw = F.concat(F.regexp_extract(m, HTML_DESTINATION, 1), F.regexp_extract(m, HTML_DESTINATION, 2))
-            quote = F.right(m, F.lit(1))
-            return F.coalesce(F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(raw) - 2), quote, F.col("_new")[raw], quote), m)
-
-        return let(substitute(text, MARKDOWN_IMAGE, image), lambda t: substitute(t, HTML_IMAGE, html))
-
-    out = F.when(F.col("_new").isNull(), F.col(text_col)).otherwise(moved(F.col(text_col)))
-    return rows.withColumns({text_col: out, "shared_assets": F.coalesce("shared_assets", F.lit(0))}).drop("_new")
+    by_doc = references.where("resolved").groupBy("doc_id").agg(F.collect_list(F.struct("raw", "path")).alias("_own"))
+    return _shared(docs, by_doc, lambda text, own: {x["raw"]: x["path"] for x in own}, up, id_col, text_col)
+
+
+def shared_files(docs: DataFrame, files: DataFrame, up: str = "..", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``shared_paths`` of all references that lead to one of the document's ``files`` (doc_id, path).
+
+    References are found, resolved and rewritten where the text is, so no text is made or read twice, and only paths travel
+    to it: a document's text and its different paths are the largest thing held.
+    """
+    by_doc = files.groupBy("doc_id").agg(F.collect_set("path").alias("_own"))
+
+    def resolved(text: str, own: list[str]) -> dict[str, str]:
+        there = set(own)
+        return {raw: path for raw, path in local_references(text).items() if path in there}
+
+    return _shared(docs, by_doc, resolved, up, id_col, text_col)
+
+
+def _shared(docs: DataFrame, by_doc: DataFrame, resolved: Callable[[str, list], dict[str, str]], up: str, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with text and shared_assets by what ``resolved`` (raw: path) makes of a text and the document's ``_own`` in ``by_doc``."""
+
+    def moved(text: str | None, own: list | None) -> tuple[str | None, int]:
+        if text is None or not own:
+            return text, 0
+        refs = resolved(text, own)
+        return led_to(text, {raw: from_output(raw, path, up) for raw, path in refs.items()}), len(set(refs.values()))
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, own in batches:
+            got = [moved(t, o) for t, o in zip(texts.to_pylist(), own.to_pylist(), strict=True)]
+            yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32())], ["text", "shared_assets"])
+
+    # What a document has grows beyond what its columns' sizes say, so it is never broadcast.
+    rows = docs.join(by_doc.withColumnRenamed("doc_id", id_col).hint("merge"), id_col, "left").withColumn("_m", F.arrow_udf(run, "text string, shared_assets int")(text_col, "_own"))
+    return rows.withColumns({text_col: F.col("_m")["text"], "shared_assets": F.coalesce(F.col("_m")["shared_assets"], F.lit(0))}).drop("_m", "_own")
 
 
 def main_markdown(files: DataFrame) -> DataFrame:

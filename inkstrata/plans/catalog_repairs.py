@@ -140,8 +140,8 @@ def shared_paths(spark, sf_dir):
     line = F.concat(F.lit("![a](images/p%20"), key, F.lit('.jpg "t") ![b](<images/p '), key, F.lit(".jpg?v=1>) <img src='./images/ü"), key, F.lit(".jpg#f'>\n"))
     docs = _joined(_items(spark, sf_dir), line)
     some = _table(spark, sf_dir, "lineitem").where("l_partkey % 3 <> 0").select(F.col("l_orderkey").alias("doc_id"), "l_partkey")
-    files = some.select("doc_id", F.explode(F.array(F.concat(F.lit("images/p "), "l_partkey", F.lit(".jpg")), F.concat(F.lit("images/ü"), "l_partkey", F.lit(".jpg")))).alias("path")).distinct()
-    out = assets.shared_paths(docs, assets.resolve(assets.asset_references(docs), files))
+    files = some.select("doc_id", F.explode(F.array(F.concat(F.lit("images/p "), "l_partkey", F.lit(".jpg")), F.concat(F.lit("images/ü"), "l_partkey", F.lit(".jpg")))).alias("path"))
+    out = assets.shared_files(docs, files)
     return out.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.col("shared_assets").cast("long").alias("shared_assets"))
 
 

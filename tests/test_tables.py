@@ -85,6 +85,19 @@ def test_assets(spark):
     assert plan == {"o/full.md": "keep", "o/x.md": "drop", "o/images/p.jpg": "same", "images/p.jpg": "keep", "q/images/z.jpg": "conflict", "images/z.jpg": "conflict", "o/1_content_list.json": "keep", "o/1_content_list_v2.json": "drop"}
 
 
+def test_paths_of_one_pass(spark):
+    """References found, resolved and rewritten beside the text are those of the longer way, on odd ones too; what a document has is not broadcast."""
+    odd = """![](<a b.png?x#y>) ![](c%20d.png) ![](+%zz.png) ![](../out.png) ![](q/../r.png "t") <IMG alt='' SRC = 's/./t.png#f'> <img src="u.png?a\nb"> <imgx src="r.png"> ![](http://e.org/r.png) ![](#r) ![](<<r.png>)"""
+    docs = spark.createDataFrame([(1, odd), (2, "![](r.png)"), (3, None), (4, "")], "doc_id long, text string")
+    files = spark.createDataFrame([(1, p) for p in ("a b.png", "c d.png", "+%zz.png", "out.png", "r.png", "s/t.png", "u.png")] + [(1, "r.png"), (3, "r.png")], "doc_id long, path string")
+    whole = assets.shared_files(docs, files, "up dir")
+    assert "Broadcast" not in whole._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: (r["text"], r["shared_assets"]) for r in whole.collect()}
+    assert got == {r["doc_id"]: (r["text"], r["shared_assets"]) for r in assets.shared_paths(docs, assets.resolve(assets.asset_references(docs), files), "up dir").collect()}
+    led = """![](<up%20dir/a%20b.png?x#y>) ![](up%20dir/c%20d.png) ![](up%20dir/%2B%25zz.png) ![](../out.png) ![](up%20dir/r.png "t") <IMG alt='' SRC = 'up%20dir/s/t.png#f'> <img src="u.png?a\nb"> <imgx src="r.png"> ![](http://e.org/r.png) ![](#r) ![](<<r.png>)"""
+    assert got == {1: (led, 5), 2: ("![](r.png)", 0), 3: (None, 0), 4: ("", 0)}
+
+
 POLLS = "job_id long, ts timestamp, state string, result_url string, err_msg string"
 
 
