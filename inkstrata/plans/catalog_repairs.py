@@ -17,18 +17,12 @@ from inkstrata.operators import assets, figures, jobs, segment, tables
 from inkstrata.plans import translate
 from inkstrata.sources import readers
 
-from .catalog import _content, _dealt, _items, _plans, _table
+from .catalog import _content, _dealt, _items, _joined, _plans, _table
 from .catalog_sql import CONTENT, LI
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(8195) || chr(12288)"
 
 
-def _joined(rows: DataFrame, line: Column) -> DataFrame:
-    """doc_id, text: the lines of an order's items in their order."""
-    got = rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("i", line.alias("line")))).alias("x"))
-    return got.select("doc_id", F.array_join(F.transform("x", lambda x: x["line"]), "").alias("text"))
-
-
 def outer_fence(spark, sf_dir):
     text = F.concat(F.lit("T "), F.coalesce("text", F.lit("")))
     k = F.col("doc_id") % 3

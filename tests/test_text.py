@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkstrata.functions import cleanup, markdown as M, protect as P, pseudocode, text as T, validate
 from inkstrata.operators import segment
@@ -169,6 +170,18 @@ def test_multiset_difference(spark):
     assert multisets.difference(a, a).count() == multisets.difference(a.limit(0), b.limit(0)).count() == 0
 
 
+def test_multiset_difference_within_rows(spark):
+    """Arrays of one row differ as rows of values do, and nothing is exchanged for it."""
+    from inkstrata.operators import multisets
+
+    docs = spark.createDataFrame([(1, ["x", "x", "y", None], ["x", "y", "y", None, None]), (2, ["z"], ["z"]), (3, None, ["a"]), (4, [], None)], "doc_id long, a array<string>, b array<string>")
+    out = docs.select("doc_id", F.explode(multisets.array_difference(F.col("a"), F.col("b"))).alias("x")).select("doc_id", "x.*")
+    rows = multisets.difference(docs.select("doc_id", F.explode("a").alias("value")), docs.select("doc_id", F.explode("b").alias("value")))
+    key = lambda r: (r["doc_id"], r["value"] or "", r["lost"], r["new"])
+    assert sorted(map(key, out.collect())) == sorted(map(key, rows.collect())) == [(1, "", 0, 1), (1, "x", 1, 0), (1, "y", 0, 1), (3, "a", 0, 1)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_prefix_avoids_collisions(values):
     import hashlib
 
