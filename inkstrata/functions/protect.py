@@ -122,7 +122,8 @@ def protect(text: Column, terms: Sequence[str] = ()) -> Column:
         prefix, pieces = x["prefix"], x["pieces"]
 
         def placeholder(i: Column) -> Column:
-            return F.concat(prefix, F.format_string("%05d", i), F.lit("__"))
+            digits = i.cast("string")
+            return F.concat(prefix, F.lpad(digits, F.greatest(F.lit(5), F.length(digits)), F.lit("0")), F.lit("__"))
 
         swapped = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, placeholder(F.floor(i / 2).cast("int"))).otherwise(p)), "")
         values = F.filter(pieces, lambda p, i: i % 2 == 1)
@@ -137,16 +138,19 @@ def restore(translated: Column, protected: Column) -> Column:
     pattern = F.concat(protected["prefix"], F.lit(r"\d{5,}__"))
     kept = protected["replacements"]
 
-    def made(seen: Column) -> Column:
-        expected = F.transform(kept, lambda r: r["placeholder"])
-        fixed = F.transform(F.filter(kept, lambda r: r["ordered"]), lambda r: r["placeholder"])
+    def made(x: Column) -> Column:
+        seen, expected = x["seen"], x["expected"]
+        # A placeholder's number is its place among those kept, so none is searched for.
+        own = lambda p: F.get(kept, F.substring(p, F.length(protected["prefix"]) + 1, F.length(p) - F.length(protected["prefix"]) - 2).try_cast("int"))
         gaps = F.split(translated, pattern, F.lit(-1))
-        number = F.length(protected["prefix"])
-        values = F.transform(seen, lambda p: F.get(kept, F.substring(p, number + 1, F.length(p) - number - 2).cast("int"))["value"])
-        text = F.array_join(F.zip_with(gaps, values, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
-        error = F.when(F.sort_array(seen) != F.sort_array(expected), F.lit("placeholders changed, lost or repeated")).when(
-            F.filter(seen, lambda p: F.array_contains(fixed, p)) != fixed, F.lit("ordered placeholders moved")
+        text = F.array_join(F.zip_with(gaps, F.transform(seen, lambda p: own(p)["value"]), lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+        fixed = F.transform(F.filter(kept, lambda r: r["ordered"]), lambda r: r["placeholder"])
+        error = (
+            F.when(seen == expected, F.lit(None).cast("string"))
+            .when(F.sort_array(seen) != F.sort_array(expected), F.lit("placeholders changed, lost or repeated"))
+            .when(F.filter(seen, lambda p: own(p)["ordered"]) != fixed, F.lit("ordered placeholders moved"))
         )
-        return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))
+        return let(error, lambda error: F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error")))
 
-    return let(F.regexp_extract_all(translated, pattern, F.lit(0)), made)
+    seen = F.regexp_extract_all(translated, pattern, F.lit(0))
+    return let(F.struct(seen.alias("seen"), F.transform(kept, lambda r: r["placeholder"]).alias("expected")), made)

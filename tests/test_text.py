@@ -182,6 +182,19 @@ def test_multiset_difference_within_rows(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_placeholders_are_put_back(spark):
+    """20,000 ordered spans of one text: each is found by its number, not among all (this took minutes)."""
+    import time
+
+    text = "<b> x </b> " * 10_000
+    rows = spark.createDataFrame([(text,)], "text string").select("text", F.explode(F.array(P.protect(F.col("text")))).alias("p"))
+    turned = F.concat(F.substring("p.text", 25, 10**9), F.substring("p.text", 1, 24))
+    began = time.time()
+    got = rows.select(P.restore(F.col("p.text"), F.col("p")).alias("b"), P.restore(turned, F.col("p")).alias("t"), F.col("p.replacements")[19_999]["placeholder"].alias("last")).first()
+    assert got["b"]["text"] == text and got["b"]["error"] is None and got["t"]["error"] == "ordered placeholders moved" and got["last"].endswith("_19999__")
+    assert time.time() - began < 30
+
+
 def test_prefix_avoids_collisions(values):
     import hashlib
 
