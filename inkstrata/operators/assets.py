@@ -98,15 +98,43 @@ def asset_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [[] if t is None else list(local_references(t).items()) for t in texts.to_pylist()]
-            raws, paths = ([x[k] for own in found for x in own] for k in (0, 1))
-            pairs = pa.StructArray.from_arrays([pa.array(raws, pa.string()), pa.array(paths, pa.string())], ["raw", "path"])
-            yield pa.ListArray.from_arrays(pa.array(accumulate(map(len, found), initial=0), pa.int32()), pairs)
+            yield _listed([[] if t is None else list(local_references(t).items()) for t in texts.to_pylist()])
 
     refs = F.arrow_udf(run, "array<struct<raw:string,path:string>>")(text_col)
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(refs).alias("_r")).select("doc_id", "_r.raw", "_r.path")
 
 
+def _listed(found: list[list[tuple]], *kinds: tuple[str, pa.DataType]) -> pa.ListArray:
+    """Each text's references as structs of raw, path and ``kinds``."""
+    flat, kinds = [x for own in found for x in own], (("raw", pa.string()), ("path", pa.string()), *kinds)
+    columns = [pa.array([x[k] for x in flat], t) for k, (_, t) in enumerate(kinds)]
+    return pa.ListArray.from_arrays(pa.array(accumulate(map(len, found), initial=0), pa.int32()), pa.StructArray.from_arrays(columns, [n for n, _ in kinds]))
+
+
+def resolved_references(docs: DataFrame, files: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``resolve`` of ``asset_references``, worked out beside the text: only paths travel, and the references stay with their document."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, owns in batches:
+            pairs = zip(texts.to_pylist(), map(set, _lists(owns)), strict=True)
+            yield _listed([[] if t is None else [(raw, path, path in own) for raw, path in local_references(t).items()] for t, own in pairs], ("resolved", pa.bool_()))
+
+    refs = F.arrow_udf(run, "array<struct<raw:string,path:string,resolved:boolean>>")(text_col, F.coalesce("_own", F.array().cast("array<string>")))
+    rows = _beside(docs, files.groupBy("doc_id").agg(F.collect_set("path").alias("_own")), id_col)
+    return rows.select(F.col(id_col).alias("doc_id"), F.explode(refs).alias("_r")).select("doc_id", "_r.raw", "_r.path", "_r.resolved")
+
+
+def _lists(arrays: pa.ListArray) -> Iterator[list]:
+    """Lists of an array that has no nulls."""
+    values, ends = arrays.values.to_numpy(zero_copy_only=False), arrays.offsets.to_numpy().tolist()
+    return (values[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False))
+
+
+def _beside(docs: DataFrame, by_doc: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with what each has in ``by_doc``: this grows beyond what its columns' sizes say, so it is never broadcast."""
+    return docs.join(by_doc.withColumnRenamed("doc_id", id_col).hint("merge"), id_col, "left")
+
+
 def resolve(references: DataFrame, files: DataFrame) -> DataFrame:
     """References with ``resolved``: whether the document has such a file (doc_id, path)."""
     there = files.select("doc_id", "path", F.lit(True).alias("_there")).distinct()
@@ -157,8 +185,7 @@ def _shared(docs: DataFrame, by_doc: DataFrame, resolved: Callable[[str, list],
             got = [moved(t, o) for t, o in zip(texts.to_pylist(), own.to_pylist(), strict=True)]
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32())], ["text", "shared_assets"])
 
-    # What a document has grows beyond what its columns' sizes say, so it is never broadcast.
-    rows = docs.join(by_doc.withColumnRenamed("doc_id", id_col).hint("merge"), id_col, "left").withColumn("_m", F.arrow_udf(run, "text string, shared_assets int")(text_col, "_own"))
+    rows = _beside(docs, by_doc, id_col).withColumn("_m", F.arrow_udf(run, "text string, shared_assets int")(text_col, "_own"))
     return rows.withColumns({text_col: F.col("_m")["text"], "shared_assets": F.coalesce(F.col("_m")["shared_assets"], F.lit(0))}).drop("_m", "_own")
 
 

@@ -94,6 +94,8 @@ def test_paths_of_one_pass(spark):
     assert "Broadcast" not in whole._jdf.queryExecution().executedPlan().toString()
     got = {r["doc_id"]: (r["text"], r["shared_assets"]) for r in whole.collect()}
     assert got == {r["doc_id"]: (r["text"], r["shared_assets"]) for r in assets.shared_paths(docs, assets.resolve(assets.asset_references(docs), files), "up dir").collect()}
+    near, far = assets.resolved_references(docs, files), assets.resolve(assets.asset_references(docs), files)
+    assert near.exceptAll(far).count() == far.exceptAll(near).count() == 0 and near.where("resolved").count() == 6 and "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
     led = """![](<up%20dir/a%20b.png?x#y>) ![](up%20dir/c%20d.png) ![](up%20dir/%2B%25zz.png) ![](../out.png) ![](up%20dir/r.png "t") <IMG alt='' SRC = 'up%20dir/s/t.png#f'> <img src="u.png?a\nb"> <imgx src="r.png"> ![](http://e.org/r.png) ![](#r) ![](<<r.png>)"""
     assert got == {1: (led, 5), 2: ("![](r.png)", 0), 3: (None, 0), 4: ("", 0)}
 
