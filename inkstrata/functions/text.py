@@ -16,6 +16,7 @@ IN_LINE = rf"(?:[ -~]++|[^{BREAKS}])"
 #: White space within a line.
 GAP = rf"[\s\x1F&&[^{BREAKS}]]"
 SPACE = r"[\s\x1C-\x1F]"
+FEW = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,6 +28,7 @@ def running(values: Column, zero: Column, fold: Callable[[Column, Column], Colum
     """What ``fold`` makes of the values before each, and of all of them: one entry more than ``values``.
 
     Blocks of about the square root of the number are folded first, so n values take n times that root, and nothing grows inside the fold.
+    A few values (``FEW``) are folded one by one, where a growing array costs less than blocks do.
     """
 
     def by_block(values: Column, side: Column) -> Column:
@@ -46,7 +48,8 @@ def running(values: Column, zero: Column, fold: Callable[[Column, Column], Colum
 
     def made(values: Column) -> Column:
         side = F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int")
-        return F.when(F.size(values) == 0, F.array(zero)).otherwise(let(side, lambda side: by_block(values, side)))
+        few = F.aggregate(values, F.array(zero), lambda sums, v: F.concat(sums, F.array(fold(F.element_at(sums, -1), v))))
+        return F.when(F.size(values) <= FEW, few).otherwise(let(side, lambda side: by_block(values, side)))
 
     return let(values, made)
 
@@ -123,7 +126,7 @@ def collapse(c: Column) -> Column:
 def percent_decode(c: Column) -> Column:
     """%xx as UTF-8 bytes; a plus stays one, and so does a per cent sign without two digits after it."""
     whole = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.url_decode(whole)
+    return F.when(c.contains("%"), F.url_decode(whole)).otherwise(c)
 
 
 def percent_encode(c: Column) -> Column:
@@ -131,7 +134,7 @@ def percent_encode(c: Column) -> Column:
     out = F.url_encode(c)
     for a, b in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%3A", ":"), ("%40", "@"), ("%7E", "~")):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return F.when(c.rlike(r"[^A-Za-z0-9/:@\-._~]"), out).otherwise(c)
 
 
 def redact(c: Column, secret: Column, keep: int = 600) -> Column:

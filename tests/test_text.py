@@ -299,3 +299,20 @@ def test_long_lines_of_several_scripts(values):
     line = "aé中 " * 60_000
     assert values(lambda c: M.blocks(c), f"{line}\n\n{line}\x1f x")[0] == [f"{line}\n\n", f"{line}\x1f x"]
     assert values(lambda c: M.has_language(c), "**-- __", "a", "é--", "<b></b> *", "`x`", "\x1c　", "![a](b)", "~~~\nx~~~") == [False, True, True, False, True, False, False, False]
+
+
+def test_running_sums_of_few_and_many(values):
+    """Few values are folded one by one, more by blocks: the same sums."""
+    sizes = [0, 1, T.FEW - 1, T.FEW, T.FEW + 1, 200]
+    got = values(lambda c: T.running(F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: x.cast("int")), F.lit(0), lambda a, b: a + b), *[",".join(str(k * k) for k in range(n)) for n in sizes])
+    assert got == [[sum(k * k for k in range(m)) for m in range(n + 1)] for n in sizes]
+
+
+def test_plain_paths_are_not_taken_apart(values):
+    """Paths without codes or odd steps stay as they are; all others come out as by the whole way."""
+    from inkstrata.operators import assets
+
+    odd = ["a/b.c", "", "/", ".", "..", "a/..", "a/../b", "./a", "a//b", "a/", "/a", "a/.b", "a/..b", "...", "a/...", "../a", "a\n/b", None]
+    assert values(assets.normalised, *odd) == [None if p is None else assets.steps_to(p) for p in odd]
+    assert values(T.percent_decode, "a+b", "a%20b", "%zz+", "", None) == ["a+b", "a b", "%zz+", "", None]
+    assert values(T.percent_encode, "a/b:c@d~e-._1", "a b", "é*", "+\n", "", None) == ["a/b:c@d~e-._1", "a%20b", "%C3%A9%2A", "%2B%0A", "", None]
