@@ -90,7 +90,8 @@ def normalised(path: Column) -> Column:
         F.array().cast("array<string>"),
         lambda acc, s: F.when(acc.isNull(), none).when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))).otherwise(F.concat(acc, F.array(s))),
     )
-    return F.when(F.size(folded) > 0, F.array_join(folded, "/"))
+    # Most paths have no such steps and are as they should be.
+    return F.when(path.rlike(r"(?:\A|/)\.{0,2}(?:/|\z)"), F.when(F.size(folded) > 0, F.array_join(folded, "/"))).otherwise(path)
 
 
 def asset_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
