@@ -316,3 +316,10 @@ def test_plain_paths_are_not_taken_apart(values):
     assert values(assets.normalised, *odd) == [None if p is None else assets.steps_to(p) for p in odd]
     assert values(T.percent_decode, "a+b", "a%20b", "%zz+", "", None) == ["a+b", "a b", "%zz+", "", None]
     assert values(T.percent_encode, "a/b:c@d~e-._1", "a b", "é*", "+\n", "", None) == ["a/b:c@d~e-._1", "a%20b", "%C3%A9%2A", "%2B%0A", "", None]
+
+
+def test_failures_of_a_text_given_back(values):
+    """A text given back breaks what it breaks by itself, as with a space after it, and nothing else."""
+    texts = ["# a\n<b>x</b> $y$", "** a", f"{P.PREFIX}x ** b", "", "a **b** `c`"]
+    got = values(lambda c: F.array(validate.failures(c, c), validate.failures(c, F.concat(c, F.lit(" ")))), *texts)
+    assert [g[0] for g in got] == [g[1] for g in got] == [[], ["strong marks unpaired"], ["placeholder left", "strong marks unpaired"], [], []]
