@@ -8,13 +8,14 @@ character at that place; the word then counts the mean over its places.
 The model is fitted on a bounded sample: ``max_rows`` expected rows of each language,
 taken by a hash of the id, whole texts and all their words. The bound is a parameter, so
 what is broadcast does not grow with the corpus. Prediction is one narrow stage over every
-text.
+text; the scores of words that a worker remembers are bounded in bytes.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,10 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, unused
+from .pack import PART_BYTES, SLICE_BYTES, _slices
 
 UNKNOWN = "und"
 GRAMS = 4
-KEEP_WORDS = 300_000
+KEEP_BYTES = 32 << 20  # of remembered words, 140,000 or so of usual length in a few languages
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -72,8 +74,12 @@ class Model:
         self.no_gram = int(first[1] - 1)
         self.rows = np.vstack(rows[1:])
         self.numbers = self.numbers[:1]
+        self.forget()
+
+    def forget(self) -> None:
         self.seen: dict[str, int] = {}
-        self.known = np.zeros((0, k))
+        self.known = np.zeros((0, len(self.langs)))
+        self.held = 0  # bytes of both, about
 
     def learn(self, words: list[str]) -> None:
         """Remember the scores of words that weren't met before."""
@@ -93,13 +99,14 @@ class Model:
         start = len(self.seen)
         self.seen.update(zip(words, range(start, start + len(words)), strict=True))
         self.known = np.concatenate([self.known, out])
+        self.held += sum(map(sys.getsizeof, words)) + PART_BYTES * len(words) + out.nbytes
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         found = []
         for at in range(0, len(texts), 200):
             part = [words_of(t) for t in texts[at : at + 200]]
-            if len(self.seen) > KEEP_WORDS:
-                self.seen, self.known = {}, self.known[:0]
+            if self.held > KEEP_BYTES:
+                self.forget()
             if self.langs and (new := list(set().union(*part).difference(self.seen))):
                 self.learn(new)
             for words in part:
@@ -154,7 +161,7 @@ def predict(docs: DataFrame, model: Model, into: str = "language", text_col: str
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for texts in batches:
-            got = m.predict([t or "" for t in texts.to_pylist()])
+            got = [x for part in _slices(texts, SLICE_BYTES) for x in m.predict([t or "" for t in part.to_pylist()])]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["lang", "score"])
 
     return attach(docs, into, run, "lang string, score double", F.col(text_col).cast("string"))

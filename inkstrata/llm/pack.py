@@ -7,15 +7,18 @@ batch drawn from one bucket needs no padding and no sequence crosses documents.
 
 How texts are encoded is read from the tokenizer's file. Where its normaliser and splitter
 are of a kind by which white space always ends a token, a text's ids are those of its words
-one after another: a worker encodes each different word once, and texts are put together
+one after another: a worker encodes a word that it knows only once, and texts are put together
 from them as arrays. With any other file whole texts are encoded. All of it is one narrow
-stage: no shuffle, and a batch of texts is the largest thing held.
+stage: no shuffle. A batch of texts is worked through in slices, whose pieces are given out one
+by one, and what a worker knows of words is bounded in bytes, so its memory follows neither the
+number of texts nor how long or how different their words are.
 """
 
 from __future__ import annotations
 
 import json
 import string
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +31,10 @@ from .common import attach, utf8
 
 LENGTH = 2048
 END = 1
-KEEP_PARTS = 800_000
+KEEP_BYTES = 40 << 20  # of known parts, 200,000 or so of usual length
+PART_BYTES = 130  # of a known part besides its text and ids: entry, number, place and size
 BATCH_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 AT_ONCE = 5_000
 MARK = "\0"
 
@@ -71,6 +76,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known = {"": 0}  # a part's number
+        self.held = 0  # bytes of all known parts, about
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0  # of all known parts, one after another
         self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -85,6 +91,7 @@ class Encoder:
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
         self.ids[used : used + len(ids)] = ids
         self.used += len(ids)
+        self.held += sum(map(sys.getsizeof, parts)) + PART_BYTES * len(parts) + ids.nbytes
         self.first[n : n + len(parts)] = used + starts
         self.size[n : n + len(parts)] = stops - starts
         self.known.update(zip(parts, range(n, n + len(parts)), strict=True))
@@ -131,7 +138,7 @@ class Encoder:
             for text in texts:
                 yield self._encode(text.as_py())
             return
-        if len(self.known) > KEEP_PARTS:
+        if self.held > KEEP_BYTES:
             self.forget()
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
@@ -165,28 +172,29 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Stretches of about ``BATCH_BYTES``; a longer text is one by itself."""
+def _slices(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[pa.Array]:
+    """Stretches of about ``most`` bytes; a longer text is one by itself."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
         yield texts.slice(at, to - at)
         at = to
 
 
 def _encoded(coder: Encoder, texts: pa.Array) -> Iterator[bytes]:
-    for part in _slices(texts):
+    for part in _slices(texts, SLICE_BYTES):
         yield from (ids.tobytes() for ids in coder.encode(part))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (packed uint32), doc_tokens, bucket, sequence_id, offset.
 
     Null text counts as empty and gives the end id alone. Repeated documents give pieces
     of their own with other sequence ids. Other columns of ``docs`` are left out, so none
     can clash. An empty table gives no rows. ``length`` has to be a power of two. A sequence's
-    id is its place in the table's layout, the same in every run over the same files.
+    id is its place in the table's layout, the same in every run over the same files. A worker
+    encodes texts of about ``slice_bytes`` at a time.
     """
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
@@ -194,9 +202,9 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = encoder(tokenizer_path)
-        for texts in batches:
+        for part in (p for texts in batches for p in _slices(texts, slice_bytes)):
             rows, starts, sizes, ids, totals = [0], [], [], [], []
-            for found in _encoded(coder, texts):
+            for found in _encoded(coder, part):
                 all_ids = found + end
                 at = 0
                 for size in piece_lengths(len(all_ids) // 4, length):

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -505,6 +506,26 @@ def test_pack(spark, docs, empty, tmp_path):
         pack.pack(docs, path, length=1000)
 
 
+def test_known_words_take_bounded_memory(spark, monkeypatch):
+    """However many words there are and however long, what is kept of them is a fixed number of bytes; results are the same for any bound and slices."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = ["".join(chr(97 + k // 26**i % 26) for i in range(4)) + "語é"[k % 2] * (k % 60) for k in range(12_000)]
+    texts = [" ".join(words[at : at + 200]) for at in range(0, len(words), 200)]
+    counts = {"a": {"some": 2, "words": 1}, "b": {"others": 3}}
+    ids, named = list(pack._encoded(pack.Encoder(path), pa.array(texts))), langid.Model(counts).predict(texts)
+    for module in (pack, langid):
+        monkeypatch.setattr(module, "KEEP_BYTES", 1 << 18, raising=False)
+    coder, model, most = pack.Encoder(path), langid.Model(counts), [0, 0]
+    for text, raw, lang in zip(texts, ids, named, strict=True):
+        assert list(pack._encoded(coder, pa.array([text]))) == [raw] and model.predict([text]) == [lang]
+        held = sum(map(sys.getsizeof, coder.known)) + coder.ids[: coder.used].nbytes, sum(map(sys.getsizeof, model.seen)) + model.known.nbytes
+        most = list(map(max, most, held))
+    assert max(most) < 1 << 19, most  # the bound and one text's words
+    docs = spark.createDataFrame(list(enumerate([None, "", *texts[:20]])), "doc_id long, text string").coalesce(1)
+    small, large = (pack.pack(docs, path, slice_bytes=n).collect() for n in (10, 1 << 30))
+    assert small == large and {r["doc_id"] for r in small} == set(range(22))
+
+
 def fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] * bool(w)
