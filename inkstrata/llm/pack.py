@@ -182,8 +182,8 @@ def _slices(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[pa.Array]:
         at = to
 
 
-def _encoded(coder: Encoder, texts: pa.Array) -> Iterator[bytes]:
-    for part in _slices(texts, SLICE_BYTES):
+def _encoded(coder: Encoder, texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[bytes]:
+    for part in _slices(texts, most):
         yield from (ids.tobytes() for ids in coder.encode(part))
 
 
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         coder = encoder(tokenizer_path)
         for part in (p for texts in batches for p in _slices(texts, slice_bytes)):
             rows, starts, sizes, ids, totals = [0], [], [], [], []
-            for found in _encoded(coder, part):
+            for found in _encoded(coder, part, slice_bytes):
                 all_ids = found + end
                 at = 0
                 for size in piece_lengths(len(all_ids) // 4, length):
