@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BREAKS, EOL, GAP, IN_LINE, found, is_blank, let, places, running, strip
+from .text import BREAKS, EOL, GAP, IN_LINE, found, gaps_and_matches, is_blank, let, places, running, strip
 
 # Patterns and words that decide what is a heading, a table or an image.
 HEADING = r"\A[ \t]*(#{1,6})[ \t]+([^\n]+?)[ \t]*(?:\n|\z)"
@@ -149,6 +149,25 @@ def table_spans(text: Column) -> Column:
     return F.when(text.isNotNull(), let(F.struct(html.alias("html"), pipe.alias("pipe")), made))
 
 
+def pieces_at(text: Column, spans: Column) -> Column:
+    """What lies before the first span, the span, and so on in turn, to what lies after the last."""
+
+    def pair(s: Column, i: Column) -> Column:
+        before = F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["stop"])
+        return F.array(F.substring(text, before + 1, s["start"] - before), F.substring(text, s["start"] + 1, s["stop"] - s["start"]))
+
+    rest = F.substring(text, F.coalesce(F.get(spans, F.size(spans) - 1)["stop"], F.lit(0)) + 1, F.length(text))
+    return F.concat(F.flatten(F.transform(spans, pair)), F.array(rest))
+
+
+def table_pieces(text: Column) -> Column:
+    """Prose and tables (those of ``table_spans``) in turn, prose first and last; put together they are the text."""
+    html, pipe = has_html_table(text), text.contains("|")
+    both = let(table_spans(text), lambda s: pieces_at(text, s))
+    # A text that can have tables of one kind alone is cut by their pattern, without places.
+    return F.when(html & pipe, both).when(html, gaps_and_matches(text, HTML_TABLE)).when(pipe, gaps_and_matches(text, PIPE_TABLE)).when(text.isNotNull(), F.array(text))
+
+
 _ROW = rf"(?=(?:[ -{{}}~]++|[^|{BREAKS}])*+\|){IN_LINE}*+(?:{EOL}|\z)"
 _RULE = rf"(?={GAP}*\|?{GAP}*:?-{{3,}}:?{GAP}*(?:\|{GAP}*:?-{{3,}}:?{GAP}*)+\|?{GAP}*(?:{EOL}|\z)){_ROW}"
 _AT_LINE = r"(?:(?<=[" + BREAKS + r"])|\A)(?<!\r(?=\n))"

@@ -68,6 +68,30 @@ def places(c: Column, pattern: str) -> Column:
     return let(gaps_and_matches(c, pattern), made)
 
 
+def paired(values: Column, others: Column) -> Column:
+    """For each of the values the place (from 0) of its like among the others, the k-th of equal ones going with the k-th; null if there is none.
+
+    Both are sorted as one, others first: a value stands as many places behind its like as there are others like it.
+    """
+    kind = lambda own, n: F.transform(own, lambda v, at: F.struct(v.alias("value"), F.lit(n).alias("kind"), at.alias("at")))
+
+    def made(rows: Column) -> Column:
+        first = F.transform(rows, lambda r, p: F.when((p > 0) & (F.get(rows, p - 1)["value"] == r["value"]), 0).otherwise(p))
+        firsts = running(first, F.lit(0), lambda a, b: F.greatest(a, b))
+        others_before = running(F.transform(rows, lambda r: 1 - r["kind"]), F.lit(0), lambda a, b: a + b)
+
+        def like(x: Column) -> Column:
+            def one(r: Column, p: Column) -> Column:
+                it = F.get(rows, p - (F.get(x["before"], p) - F.get(x["before"], F.get(x["firsts"], p + 1))))
+                return F.struct(r["kind"].alias("kind"), r["at"].alias("at"), F.when(it["kind"] == 0, it["at"]).alias("like"))
+
+            return F.transform(F.filter(F.sort_array(F.transform(rows, one)), lambda r: r["kind"] == 1), lambda r: r["like"])
+
+        return let(F.struct(firsts.alias("firsts"), others_before.alias("before")), like)
+
+    return let(F.sort_array(F.concat(kind(others, 0), kind(values, 1))), made)
+
+
 def strip(c: Column) -> Column:
     """Without white space (of all scripts) at either end."""
     return F.regexp_replace(c, rf"(?U)\A{SPACE}++|{SPACE}++\z", "")

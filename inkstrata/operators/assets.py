@@ -121,7 +121,7 @@ def resolved_references(docs: DataFrame, files: DataFrame, id_col: str = "doc_id
             yield _listed([[] if t is None else [(raw, path, path in own) for raw, path in local_references(t).items()] for t, own in pairs], ("resolved", pa.bool_()))
 
     refs = F.arrow_udf(run, "array<struct<raw:string,path:string,resolved:boolean>>")(text_col, F.coalesce("_own", F.array().cast("array<string>")))
-    rows = _beside(docs, files.groupBy("doc_id").agg(F.collect_set("path").alias("_own")), id_col)
+    rows = beside(docs, files.groupBy("doc_id").agg(F.collect_set("path").alias("_own")), id_col)
     return rows.select(F.col(id_col).alias("doc_id"), F.explode(refs).alias("_r")).select("doc_id", "_r.raw", "_r.path", "_r.resolved")
 
 
@@ -131,9 +131,9 @@ def _lists(arrays: pa.ListArray) -> Iterator[list]:
     return (values[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False))
 
 
-def _beside(docs: DataFrame, by_doc: DataFrame, id_col: str) -> DataFrame:
+def beside(docs: DataFrame, by_doc: DataFrame, id_col: str, how: str = "left") -> DataFrame:
     """``docs`` with what each has in ``by_doc``: this grows beyond what its columns' sizes say, so it is never broadcast."""
-    return docs.join(by_doc.withColumnRenamed("doc_id", id_col).hint("merge"), id_col, "left")
+    return docs.join(by_doc.withColumnRenamed("doc_id", id_col).hint("merge"), id_col, how)
 
 
 def resolve(references: DataFrame, files: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def _shared(docs: DataFrame, by_doc: DataFrame, resolved: Callable[[str, list],
             got = [moved(t, o) for t, o in zip(texts.to_pylist(), own.to_pylist(), strict=True)]
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32())], ["text", "shared_assets"])
 
-    rows = _beside(docs, by_doc, id_col).withColumn("_m", F.arrow_udf(run, "text string, shared_assets int")(text_col, "_own"))
+    rows = beside(docs, by_doc, id_col).withColumn("_m", F.arrow_udf(run, "text string, shared_assets int")(text_col, "_own"))
     return rows.withColumns({text_col: F.col("_m")["text"], "shared_assets": F.coalesce(F.col("_m")["shared_assets"], F.lit(0))}).drop("_m", "_own")
 
 

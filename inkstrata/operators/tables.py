@@ -6,26 +6,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkstrata.functions.markdown import captions_of_table, table_spans
-from inkstrata.functions.text import percent_decode, percent_encode
+from inkstrata.functions.markdown import captions_of_table, pieces_at, table_pieces, table_spans
+from inkstrata.functions.text import let, paired, percent_decode, percent_encode, running
 
-from .assets import is_local, normalised
+from .assets import beside, is_local, normalised
 
 MODES = ("image", "auto", "html")
 
 
 def table_images(content: DataFrame, files: DataFrame) -> DataFrame:
-    """doc_id, list, body, k, image: table crops that exist, the k-th (from 1) of each list with the same body.
+    """doc_id, lists (list, digests, paths): a document's lists by name, each with its table crops that exist in their order.
 
     ``content``: doc_id, list, i, type, table_body, img_path. ``files``: doc_id, path. Paths that leave
-    the document's folder, aren't local, or aren't among its files are left out.
+    the document's folder, aren't local, or aren't among its files are left out. Rows are gathered by
+    document alone, with a digest for the body: what is grouped by document already isn't moved again.
     """
     rows = content.where((F.col("type") == "table") & F.col("table_body").isNotNull() & is_local(F.col("img_path")))
-    plain = percent_decode(F.regexp_replace("img_path", r"[?#].*\z", ""))
-    rows = rows.select("doc_id", "list", "i", F.col("table_body").alias("body"), plain.alias("_plain"), normalised(plain).alias("path")).where("path is not null")
-    there = rows.join(files.select("doc_id", "path").distinct(), ["doc_id", "path"], "left_semi")
-    order = W.partitionBy("doc_id", "list", "body").orderBy("i")
-    return there.select("doc_id", "list", "body", F.row_number().over(order).alias("k"), percent_encode(F.col("_plain")).alias("image"))
+    rows = rows.withColumn("_raw", percent_decode(F.regexp_replace("img_path", r"[?#].*\z", ""))).withColumn("_path", normalised(F.col("_raw")))
+    crop = F.struct("list", "i", _digest(F.col("table_body")).alias("digest"), F.col("_path").alias("path"), F.when(F.col("_raw") != F.col("_path"), F.col("_raw")).alias("raw"))
+    crops = rows.select("doc_id", crop.alias("_c")).groupBy("doc_id").agg(F.collect_list("_c").alias("_crops"))
+    own = files.groupBy("doc_id").agg(F.collect_set("path").alias("_own"))
+    both = beside(crops, own, "doc_id", "inner").withColumn("_all", F.size(F.array_except(F.col("_crops")["path"], F.col("_own"))) == 0)
+    # Mostly none is missing.
+    there = both.select("doc_id", F.sort_array(F.when(F.col("_all"), F.col("_crops")).otherwise(_existing(F.col("_crops"), F.col("_own")))).alias("_crops"))
+    one = F.size(F.array_distinct(F.col("_crops")["list"])) == 1
+    return there.select("doc_id", F.when(one, F.array(_list(F.col("_crops")))).otherwise(_by_list(F.col("_crops"))).alias("lists"))
+
+
+def _digest(body: Column) -> Column:
+    return F.unhex(F.sha2(body, 256))
+
+
+def _existing(crops: Column, own: Column) -> Column:
+    """Those crops whose paths are among a document's own.
+
+    A path that leaves its folder is null and no file's. Paths are put in order, each file's before the crops that may be it: a crop's is there if it is the last file's before it.
+    """
+    asked = F.transform(crops, lambda c: F.struct(c["path"].alias("path"), F.lit(1).alias("kind"), c.alias("crop")))
+    files = F.transform(own, lambda p: F.struct(p.alias("path"), F.lit(0).alias("kind"), F.get(crops, F.lit(-1)).alias("crop")))
+
+    def found(rows: Column) -> Column:
+        last = running(F.transform(rows, lambda r: F.when(r["kind"] == 0, r["path"])), F.lit(None).cast("string"), lambda a, b: F.coalesce(b, a))
+        return let(last, lambda last: F.filter(rows, lambda r, k: (r["kind"] == 1) & (r["path"] == F.get(last, k))))
+
+    return let(F.sort_array(F.concat(files, asked)), found)["crop"]
+
+
+def _list(crops: Column) -> Column:
+    """(list, digests, paths) of the crops of one list in order."""
+    return F.struct(F.get(crops, F.lit(0))["list"].alias("list"), crops["digest"].alias("digests"), F.transform(crops, lambda c: F.coalesce(c["raw"], c["path"])).alias("paths"))
+
+
+def _by_list(crops: Column) -> Column:
+    """Crops in order of their lists, cut into lists."""
+    firsts = F.filter(F.transform(crops, lambda c, k: F.when((k == 0) | ~c["list"].eqNullSafe(F.get(crops, k - 1)["list"]), k)), lambda k: k.isNotNull())
+    return let(firsts, lambda at: F.transform(at, lambda k, n: let(F.slice(crops, k + 1, F.coalesce(F.get(at, n + 1), F.size(crops)) - k), _list)))
 
 
 def document_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,31 +75,33 @@ def document_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("doc_id", "t", "_x.body", F.row_number().over(W.partitionBy("doc_id", "_x.body").orderBy("t")).alias("k"), "_x.start", "_x.stop", "n")
 
 
-def match_tables(tables: DataFrame, images: DataFrame) -> DataFrame:
-    """doc_id, list, pictures, spans (by t): of each document's lists, the first that has an image for every table.
+def _match(digests: Column, lists: Column) -> Column:
+    """(list, pictures) of the first of the lists that has an image for every table, else null.
 
-    The k-th table with a body goes with the list's k-th image of that body: an equi-join,
-    by a digest of the body and k. Nothing is matched for a document that no list covers.
+    The k-th table with a body goes with the list's k-th image of that body.
     """
-    left = tables.select("doc_id", "t", "k", "start", "stop", "n", F.sha2("body", 256).alias("_h"))
-    right = images.select("doc_id", "list", "k", "image", F.sha2("body", 256).alias("_h"))
-    hits = left.join(right, ["doc_id", "_h", "k"]).groupBy("doc_id", "list").agg(F.max("n").alias("_need"), F.sort_array(F.collect_list(F.struct("t", "image", "start", "stop"))).alias("_x"))
-    first = hits.where("size(_x) = _need").groupBy("doc_id").agg(F.min(F.struct("list", "_x")).alias("_m"))
-    spans = F.transform("_m._x", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
-    return first.select("doc_id", "_m.list", F.transform("_m._x", lambda x: x["image"]).alias("pictures"), spans.alias("spans"))
 
+    def covered(own: Column) -> Column:
+        some = let(paired(digests, own["digests"]), lambda at: F.when(F.forall(at, lambda k: k.isNotNull()), F.transform(at, lambda k: F.get(own["paths"], k))))
+        pictures = F.when(F.size(own["digests"]) < F.size(digests), F.lit(None)).when(own["digests"] == digests, own["paths"]).otherwise(some)
+        return F.struct(own["list"].alias("list"), pictures.alias("pictures"))
+
+    return F.when(F.size(digests) > 0, F.get(F.filter(F.transform(lists, covered), lambda m: m["pictures"].isNotNull()), F.lit(0)))
 
-def _replaced(text: Column, spans: Column, pictures: Column) -> Column:
-    """The text with the words of each table's captions, and its picture, in place of the table."""
-    size = F.size(spans)
 
-    def piece(s: Column, i: Column) -> Column:
-        before = F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["stop"])
-        words = F.array_join(F.transform(captions_of_table(F.substring(text, s["start"] + 1, s["stop"] - s["start"])), lambda c: F.concat(c, F.lit("\n\n"))), "")
-        return F.concat(F.substring(text, before + 1, s["start"] - before), words, F.lit("![]("), F.get(pictures, i), F.lit(")\n"))
+def _put(pieces: Column, pictures: Column) -> Column:
+    """The text of pieces (gaps and tables in turn) with the words of each table's captions, and its picture, in place of the table."""
 
-    rest = F.substring(text, F.coalesce(F.get(spans, size - 1)["stop"], F.lit(0)) + 1, F.length(text))
-    return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
+    def piece(p: Column, i: Column) -> Column:
+        words = F.array_join(F.transform(captions_of_table(p), lambda c: F.concat(c, F.lit("\n\n"))), "")
+        return F.when(i % 2 == 0, p).otherwise(F.concat(words, F.lit("![]("), F.get(pictures, F.floor(i / 2).cast("int")), F.lit(")\n")))
+
+    return F.array_join(F.transform(pieces, piece), "")
+
+
+def _replaced(text: Column, spans: Column, pictures: Column) -> Column:
+    """``_put`` where tables are given by their places."""
+    return _put(pieces_at(text, spans), pictures)
 
 
 def tables_to_images(docs: DataFrame, images: DataFrame, mode: str = "image", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,26 +109,27 @@ def tables_to_images(docs: DataFrame, images: DataFrame, mode: str = "image", id
 
     ``html`` leaves all tables. Where no list covers a document's tables, ``auto`` leaves its
     text and says ``html``; ``image`` gives an error and no text. Documents without tables stay.
+    ``images`` are those of ``table_images``. Tables are found, matched and replaced where the text is, so a
+    document's text and its crops are the largest thing held, and only the latter travel.
     """
     if mode not in MODES:
         raise ValueError(f"mode has to be one of {MODES}")
     text, none = F.col(text_col), F.lit(None).cast("string")
     if mode == "html":
         return docs.withColumns({"table_mode": F.lit("html"), "table_images": F.lit(0), "content_list": none, "table_error": none})
-    match = match_tables(document_tables(docs, id_col, text_col), images)
-    rows = docs.join(match.select(F.col("doc_id").alias(id_col), "list", "pictures", F.col("spans").alias("_spans")), id_col, "left")
-    hit = F.col("list").isNotNull()
-    # Only texts without a match are looked through once more, for whether they have a table at all.
-    rows = rows.withColumn("_missed", F.when(hit, False).otherwise(F.coalesce(F.size(table_spans(text)) > 0, F.lit(False))))
-    missed = F.col("_missed")
-    new = F.when(hit, _replaced(text, F.col("_spans"), F.col("pictures"))).otherwise(text)
+    rows = beside(docs, images.select("doc_id", F.col("lists").alias("_lists")), id_col).withColumn("_pieces", table_pieces(text))
+    digests = F.transform(F.filter("_pieces", lambda p, i: i % 2 == 1), _digest)
+    rows = rows.withColumn("_m", let(digests, lambda d: _match(d, F.col("_lists"))))
+    n, hit = F.floor(F.size("_pieces") / 2).cast("int"), F.col("_m").isNotNull()
+    missed = ~hit & F.coalesce(n > 0, F.lit(False))
+    new = F.when(hit, let(F.transform(F.col("_m")["pictures"], percent_encode), lambda p: _put(F.col("_pieces"), p))).otherwise(text)
     rows = rows.withColumns(
         {
             text_col: F.when(missed & F.lit(mode == "image"), none).otherwise(new),
             "table_mode": F.when(hit, "image").when(missed, F.lit("html" if mode == "auto" else "image")).otherwise(F.lit(mode)),
-            "table_images": F.when(hit, F.size("_spans")).otherwise(0),
-            "content_list": F.col("list"),
+            "table_images": F.when(hit, n).otherwise(0),
+            "content_list": F.col("_m")["list"],
             "table_error": F.when(missed & F.lit(mode == "image"), F.lit("no content list has an image for every table")),
         }
     )
-    return rows.drop("_spans", "_missed", "pictures", "list")
+    return rows.drop("_lists", "_pieces", "_m")

@@ -180,7 +180,7 @@ MERGED_SPANS = "SELECT l_orderkey AS doc_id, count(*) FILTER (l_returnflag IN ('
 def caption_tables(spark, sf_dir):
     key = F.col("l_partkey").cast("string")
     cell = F.concat(F.lit("<table><caption>Part "), key, F.lit("</caption><tr><td>"), F.col("l_suppkey") % 2, F.lit("</td></tr><CAPTION a='b'>two</CAPTION></table>"))
-    rows = _items(spark, sf_dir)
+    rows = _items(spark, sf_dir, "l_suppkey")
     content = rows.select(F.col("l_orderkey").alias("doc_id"), F.explode(F.array(F.lit("b"), F.when(F.col("l_orderkey") % 2 == 0, "a"))).alias("list"), "i", F.lit("table").alias("type"), cell.alias("table_body"), F.concat(F.lit("images/t "), F.col("i"), F.lit(".jpg")).alias("img_path")).where("list is not null")
     # Of even orders list a comes first; but where it lacks a table, list b is taken.
     content = content.where("not (list = 'a' and doc_id % 4 = 0 and i = 0)")

@@ -2,6 +2,8 @@
 
 import hashlib
 import io
+import random
+import re
 import zipfile
 
 import pytest
@@ -345,3 +347,77 @@ def test_many_tables_of_one_text_are_replaced(spark):
     got = rows.select(tables._replaced(F.col("text"), F.col("spans"), F.col("pictures")).alias("t")).first().t
     assert got == "".join(f"c\n\n![]({k}.jpg)\n\n" for k in range(n))
     assert time.time() - began < 60
+
+
+def test_tables_are_matched_by_document_alone(spark, tmp_path):
+    """Each row of a table and of its image was moved by document, body, path and number in turn, so disk grew to twenty times the input."""
+    from inkstrata.plans import catalog, catalog_repairs
+
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    # Lines that are equal up to the supplier and differ after it.
+    spark.range(400).selectExpr("id % 90 l_orderkey", "id % 7 l_partkey", "id % 3 l_suppkey", "cast(id % 2 as int) l_linenumber", "id * 1.0D l_quantity", "id * 2.0D l_extendedprice", "0.1D l_discount", "0.2D l_tax", "'A' l_returnflag", "'F' l_linestatus", "timestamp_ntz '2020-01-01' l_shipdate").to(
+        spark.createDataFrame([], kinds).schema
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for query, fields in ((catalog_repairs.caption_tables, 4), (catalog.table_images, 11)):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        moves = re.findall(r"Exchange (?:hash|range)partitioning\((\w+)#\d+L?, ", plan)
+        assert len(re.findall(r"\bExchange ", plan)) == len(moves) == 3 and set(moves) == {"l_orderkey"}
+        assert {len(f.split(",")) for f in re.findall(r"FileScan parquet \[([^\]]*)\]", plan)} == {fields}
+    got = {r.doc_id: (r.content_list, r.text_sha256) for r in catalog_repairs.caption_tables(spark, str(tmp_path)).collect()}
+    lines = {}
+    for key, *rest in sorted((r.l_orderkey, r.l_linenumber, r.l_partkey) for r in spark.read.parquet(str(tmp_path / "lineitem.parquet")).collect()):
+        lines.setdefault(key, []).append(rest[1])
+    text = {k: "".join(f"Part {p}\n\ntwo\n\n![](images/t%20{i}.jpg)\n\n" for i, p in enumerate(own)) for k, own in lines.items()}
+    assert got == {k: ("a" if k % 4 == 2 else "b", hashlib.sha256(t.encode()).hexdigest()) for k, t in text.items()}
+
+
+def test_first_list_that_covers_all_tables(spark):
+    """Tables and crops of a few bodies at random, some paths missing or outside: against a search in order."""
+    draw = random.Random(3)
+    bodies = [f"<table><tr><td>{k}</td></tr></table>" for k in range(3)] + ["| a | b |\n|---|---|\n| 1 | \x01 |\n"]
+    docs, content, files, want = [], [], [], {}
+    for doc in range(120):
+        own = draw.choices(bodies[: 4 if doc % 3 == 0 else 3], k=draw.choice([0, 1, 3, 6, 60]))
+        docs.append((doc, "start\n" + "".join(f"\n{b}\nwörds\n" for b in own)))
+        there, found = set(), {}
+        for name in draw.sample(["a", "b", "c"], k=draw.randint(0, 3)):
+            crops = draw.sample(own, k=len(own)) if draw.random() < 0.6 else list(own)
+            crops += draw.choices(bodies, k=draw.choice([0, 0, 2]))
+            for i, body in enumerate(crops):
+                path = f"images/{name} {i}.jpg"
+                raw = {0: "../" + path, 1: "./" + path + "?v=1", 2: "https://e.org/" + path}.get(draw.randint(0, 40), path)
+                if draw.random() > (0.02 if doc % 2 else 0):
+                    there.add(path)
+                content.append((doc, name, i, "table", body, raw))
+                if path in there and not raw.startswith(("../", "https")):
+                    found.setdefault(name, []).append((body, raw.removesuffix("?v=1").replace(" ", "%20")))
+        files += [(doc, p) for p in there] + [(doc, "images/other.jpg")]
+        for name in sorted(found):
+            left, pictures = list(found[name]), []
+            for body in own:
+                if hit := next((x for x in left if x[0] == body), None):
+                    left.remove(hit)
+                    pictures.append(hit[1])
+            if own and len(pictures) == len(own):
+                want[doc] = (name, "start\n" + "".join(f"\n![]({p})\n\nwörds\n" for p in pictures))
+                break
+        want.setdefault(doc, (None, docs[-1][1]))
+    draw.shuffle(content)
+    rows = spark.createDataFrame(content, "doc_id long, list string, i int, type string, table_body string, img_path string")
+    images = tables.table_images(rows, spark.createDataFrame(files, "doc_id long, path string"))
+    out = {r.doc_id: r for r in tables.tables_to_images(spark.createDataFrame(docs, "doc_id long, text string"), images, "auto").collect()}
+    assert {k: (r.content_list, r.text) for k, r in out.items()} == want
+    assert {len([1 for name, _ in want.values() if name == x]) > 5 for x in ("a", "b", "c", None)} == {True}
+    assert all(r.table_images == r.text.count("![](") and r.table_mode == ("image" if r.content_list else "html" if "|---|" in r.text or "<table" in r.text else "auto") for r in out.values())
+
+
+def test_pairs_of_equal_values(values):
+    from inkstrata.functions.text import paired
+
+    draw = random.Random(5)
+    rows = [(",".join(draw.choices("abcd", k=n)), ",".join(draw.choices("abce", k=m))) for n, m in ((1, 1), (5, 4), (9, 30), (200, 250))]
+    for (own, others), got in zip(rows, values(lambda x, y: paired(F.split(x, ","), F.split(y, ",")), *rows), strict=True):
+        places = {}
+        for at, v in enumerate(others.split(",")):
+            places.setdefault(v, []).append(at)
+        assert got == [places[v].pop(0) if places.get(v) else None for v in own.split(",")]
